@@ -94,7 +94,7 @@ class Block:
         return sorted(out)[:k]
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", n_pivots: int = 512, depth: int = 64, keep: int = 101) -> tuple[DataFrame, np.ndarray]:
+def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", n_pivots: int = 512, depth: int = 128, keep: int = 101) -> tuple[DataFrame, np.ndarray]:
     """The index as a table of blocks in the shared folder, and the pivots. ``keep``: ids kept of equal vectors of a block,
     one more than any search asks for."""
     ship_package(df.sparkSession)
@@ -142,7 +142,7 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = rows[-1][0]
 
 
-def search(index: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int = 20, depth: int = 64, share: float = 0.10, least: int = 256) -> DataFrame:
+def search(index: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int = 20, depth: int = 128, share: float = 0.12, least: int = 400) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found. ``queries``: vec_id, vector, as :func:`valid`."""
     sc = index.sparkSession.sparkContext
     kind = "query_id long, vec_id long, score double"
