@@ -8,7 +8,7 @@ nearest ``share`` of a block, and ``least`` vectors at least, are then ranked by
 double precision on the original vectors. Equal vectors of a block are indexed once with the smallest of their ids, more
 than which can't be among the nearest.
 
-Pivots are a bounded sample (``n_pivots`` distinct vectors of ``8 * n_pivots`` rows by a hash of the id); every row is
+Pivots are chosen from a bounded sample (``8 * n_pivots`` rows by a hash of the id) so that they lie apart; every row is
 indexed. Queries come in blocks of ``QUERY_BLOCK`` rows, each broadcast in turn; a task keeps only the best of each query
 over all blocks that it reads. Recall is measured in the tests against brute force.
 
@@ -59,10 +59,21 @@ def permutations(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :depth].astype(np.int32)
 
 
-def fit_pivots(rows: DataFrame, n_pivots: int) -> np.ndarray:
+def fit_pivots(rows: DataFrame, n_pivots: int, apart: float = 0.8) -> np.ndarray:
+    """Up to ``n_pivots`` sampled vectors, none with a cosine above ``apart`` to another: pivots of one dense cluster would
+    fill the permutations of all that is near it, and tell nothing."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * n_pivots).select("vector").collect()
-    seen = dict.fromkeys(tuple(r[0]) for r in sample)
-    return unit(np.array(list(seen)[:n_pivots])) if seen else np.zeros((0, 1))
+    return spread(unit(np.array([r[0] for r in sample])), n_pivots, apart) if sample else np.zeros((0, 1))
+
+
+def spread(x: np.ndarray, n: int, apart: float) -> np.ndarray:
+    free, chosen = np.ones(len(x), bool), []
+    while len(chosen) < n and free.any():
+        i = int(free.argmax())
+        chosen.append(i)
+        free &= x @ x[i] <= apart
+        free[i] = False
+    return x[chosen]
 
 
 class Block:
