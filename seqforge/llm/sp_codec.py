@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,21 @@ from seqforge.llm.text import arrow_column
 
 MARK = "▁"
 #: Words that a worker remembers with their ids, and characters of new words that one flat array may hold.
-CACHE_WORDS, FLAT_CHARS = 400_000, 4_000_000
-_NONE = np.int64(1 << 40)
+CACHE_WORDS, FLAT_CHARS = 400_000, 1_000_000
+#: A pair's value: its rank, then the piece that it makes, in one int32; above all of these where it makes none.
+_NONE, _PIECE_BITS = np.int32((1 << 31) - 1), 15
+
+
+class Words(dict):
+    """Numbers words as they come; ``new`` has those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class Codec:
@@ -66,130 +78,174 @@ class Codec:
         scores = sorted({model.pieces[i].score for i in normal_ids}, reverse=True)
         rank = {s: k for k, s in enumerate(scores)}
         left, right, ranks, results = [], [], [], []
+        code = dict(self.ids)  # a character need not be a piece to take part in a merge
+        for p in self.ids:
+            for c in p if len(p) > 1 else "":
+                code.setdefault(c, len(self.pieces) + len(code))
         for i in normal_ids:
             p = self.pieces[i]
             for cut in range(1, len(p)):
-                a, b = self.ids.get(p[:cut]), self.ids.get(p[cut:])
-                # a character need not be a piece to take part in a merge
-                a = a if a is not None else -1 - ord(p[0]) if cut == 1 else None
-                b = b if b is not None else -1 - ord(p[-1]) if cut == len(p) - 1 else None
+                a, b = code.get(p[:cut]), code.get(p[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), ranks.append(rank[model.pieces[i].score]), results.append(i)
-        keys = self._key(np.array(left, np.int64), np.array(right, np.int64))
-        order = np.argsort(keys)
-        self.keys, self.ranks, self.results = keys[order], np.array(ranks, np.int64)[order], np.array(results, np.int64)[order]
+        left, right, ranks, results = (np.array(x, np.int64) for x in (left, right, ranks, results))
+        if len(self.pieces) > 1 << _PIECE_BITS or len(scores) >= 1 << (30 - _PIECE_BITS):
+            raise ValueError("the vocabulary is too large")
+        # an open-addressed hash table of the pairs
+        self.bits = max(4, int(np.ceil(np.log2(8 * len(left) + 1))))
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        keys = self._key(left, right)
+        for key, slot, value in zip(keys.tolist(), self._slot(keys).tolist(), (ranks << _PIECE_BITS | results).tolist(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.values[slot] = key, value
         # All pairs of a rank in a word may merge at once if the pairs that this makes can only have worse ranks.
-        own = np.full(len(self.pieces), -1)
+        own = np.full(len(self.pieces) + len(code), -1)
         own[results] = ranks
         self.safe = np.ones(len(scores) + 1, bool)
-        for operand in (np.array(left), np.array(right)):
-            made = operand >= 0
-            early = made & (np.array(ranks) <= own[np.maximum(operand, 0)])
+        for operand in (left, right):
+            early = (own[operand] >= 0) & (ranks <= own[operand])
             self.safe[own[operand[early]]] = False
         self.cuttable = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.words: dict[str, tuple[int, ...]] = {}
         self.chars = -1 - np.arange(0x110000, dtype=np.int32)
-        for p, i in self.ids.items():
+        self.strange = {}
+        for p, i in code.items():
             if len(p) == 1:
                 self.chars[ord(p)] = i
+                if i >= len(self.pieces):
+                    self.strange[i] = p
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.flat, self.ends = Words(), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     @staticmethod
     def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((a + (1 << 22)) << 24) | (b + (1 << 22))
+        """Never a key of the table where a symbol is below 0."""
+        return np.where((a | b) < 0, -2, (a.astype(np.int64) << 21) | b)
 
-    def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and resulting piece of each pair; _NONE where it is no piece."""
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The value of each pair; _NONE where it makes no piece."""
         keys = self._key(a, b)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        fits = self.keys[at] == keys
-        return np.where(fits, self.ranks[at], _NONE), self.results[at]
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], _NONE)
+        left = np.flatnonzero((held != keys) & (held >= 0) & (keys >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[left]]
+            found = held == keys[left]
+            out[left[found]] = self.values[slot[left[found]]]
+            left = left[~found & (held >= 0)]
+        return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each word (marks in place), by rounds over all words at once."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (marks in place) one after another, and how many each has; rounds over all at once."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        symbols = self.chars[flat].astype(np.int64)
-        word = np.repeat(np.arange(len(words)), sizes)
+        symbols = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         n = len(symbols)
-        rank, result = np.full(n, _NONE), np.zeros(n, np.int64)
+        value = np.full(n, _NONE)
         if n > 1:
-            r, p = self._lookup(symbols[:-1], symbols[1:])
-            rank[:-1], result[:-1] = np.where(word[:-1] == word[1:], r, _NONE), p
+            value[:-1] = np.where(word[:-1] == word[1:], self._lookup(symbols[:-1], symbols[1:]), _NONE)
         while n:
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat(rank, first)
+            best = np.minimum.reduceat(value, first) >> _PIECE_BITS
             lengths = np.diff(np.r_[first, n])
-            live = best < _NONE
+            live = best < _NONE >> _PIECE_BITS
             if not live.all():  # words without a pair left are ready
                 keep = np.repeat(live, lengths)
                 done.append((word[~keep], symbols[~keep]))
-                word, symbols, rank, result = word[keep], symbols[keep], rank[keep], result[keep]
+                word, symbols, value = word[keep], symbols[keep], value[keep]
                 n = len(symbols)
                 if not n:
                     break
                 lengths, best = lengths[live], best[live]
-                first = np.r_[0, np.cumsum(lengths)[:-1]]
             # the leftmost pair of the smallest rank in each word; of a safe rank, all that do not overlap from the left
-            fits = np.flatnonzero(rank == np.repeat(best, lengths))
-            owner = word[fits]
+            fits = np.flatnonzero(value >> _PIECE_BITS == np.repeat(best, lengths))
+            owner, made = word[fits], value[fits]
             leftmost = np.r_[True, owner[1:] != owner[:-1]]
             apart = leftmost | np.r_[True, fits[1:] != fits[:-1] + 1]
             place = np.arange(len(fits))
             even = (place - np.maximum.accumulate(np.where(apart, place, 0))) % 2 == 0
-            at = fits[leftmost | (self.safe[rank[fits]] & even)]
-            symbols[at] = result[at]
+            chosen = leftmost | (self.safe[made >> _PIECE_BITS] & even)
+            at = fits[chosen]
+            symbols[at] = made[chosen] & ((1 << _PIECE_BITS) - 1)
             stay = np.ones(n, bool)
             stay[at + 1] = False
             at = at - np.arange(len(at))
-            word, symbols, rank, result = word[stay], symbols[stay], rank[stay], result[stay]
+            word, symbols, value = word[stay], symbols[stay], value[stay]
             n = len(symbols)
             # only the pairs beside the merged symbols are new
             beside = np.zeros(n, bool)
             beside[at] = True
             beside[at[at > 0] - 1] = True
             touched = np.flatnonzero(beside)
-            rank[touched] = _NONE
+            value[touched] = _NONE
             touched = touched[touched < n - 1]
             touched = touched[word[touched] == word[touched + 1]]
-            rank[touched], result[touched] = self._lookup(symbols[touched], symbols[touched + 1])
-        word = np.concatenate([w for w, _ in done]) if done else np.zeros(0, np.int64)
-        symbols = np.concatenate([s for _, s in done]) if done else word
+            value[touched] = self._lookup(symbols[touched], symbols[touched + 1])
+        word = np.concatenate([np.zeros(0, np.int32), *(w for w, _ in done)])
+        symbols = np.concatenate([np.zeros(0, np.int32), *(s for _, s in done)])
         order = np.argsort(word, kind="stable")
-        counts = np.bincount(word, minlength=len(words))
-        symbols = symbols[order]
-        ends = np.cumsum(counts)
-        strange = set(word[order][symbols < 0].tolist())
-        symbols = symbols.tolist()
-        out = [tuple(symbols[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        for i in strange:
-            out[i] = tuple(self._bytes(out[i]))
-        return out
-
-    def _bytes(self, symbols: Iterable[int]) -> Iterable[int]:
-        for s in symbols:
-            if s >= 0:
-                yield s
-            elif self.has_bytes:
-                yield from self.byte_ids[list(chr(-1 - s).encode())].tolist()
-            else:
-                yield self.unk
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        cut = re.compile(f"{MARK}+[^{MARK}]*") if self.cuttable else re.compile("(?s).+")
-        split = [cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        word, symbols = word[order], symbols[order]
+        odd = np.flatnonzero((symbols < 0) | (symbols >= len(self.pieces)))
+        if len(odd):  # characters that are no piece
+            spelled = [self._spell(x) for x in symbols[odd].tolist()]
+            times = np.ones(len(symbols), np.int64)
+            times[odd] = [len(x) for x in spelled]
+            at = np.cumsum(times) - times
+            word, symbols = np.repeat(word, times), np.repeat(symbols, times)
+            for i, x in zip(at[odd].tolist(), spelled, strict=True):
+                symbols[i : i + len(x)] = x
+        return symbols, np.bincount(word, minlength=len(words))
+
+    def _spell(self, symbol: int) -> list[int]:
+        """The byte pieces of a character, or the unknown piece."""
+        if not self.has_bytes:
+            return [self.unk]
+        return self.byte_ids[list((chr(-1 - symbol) if symbol < 0 else self.strange[symbol]).encode())].tolist()
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        known = self.words
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
-        begin = chars = 0
+            self.forget()
+        cut = re.compile(f"{MARK}+[^{MARK}]*") if self.cuttable else re.compile("(?s).+")
+        number = self.words.__getitem__
+        texts_words = [np.fromiter(map(number, cut.findall(MARK + t.replace(" ", MARK))), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        self._encode_new()
+        of = np.concatenate([np.zeros(0, np.int32), *texts_words])
+        ends = self.ends[of]
+        counts = ends - np.where(of > 0, self.ends[of - 1], 0)
+        # the ids of each word, one after another: positions in the words' ids
+        total = np.cumsum(counts)
+        at = np.arange(total[-1] if len(total) else 0) + np.repeat(ends - total, counts)
+        sizes = np.r_[0, total][np.cumsum([0, *map(len, texts_words)])]
+        return self.flat[at], np.diff(sizes)
+
+    def _encode_new(self) -> None:
+        new, self.words.new = self.words.new, []
+        flat, counts, begin, chars = [self.flat], [], 0, 0
         for i, w in enumerate(new):
             chars += len(w)
             if chars > FLAT_CHARS or i == len(new) - 1:
-                known.update(zip(new[begin : i + 1], self.encode_words(new[begin : i + 1]), strict=True))
+                ids, n = self.encode_words(new[begin : i + 1])
+                flat.append(ids)
+                counts.append(n)
                 begin, chars = i + 1, 0
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in split]
+        if counts:
+            start = len(self.flat)
+            self.flat = np.concatenate(flat)
+            self.ends = np.concatenate([self.ends, start + np.cumsum(np.concatenate(counts))])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        flat, counts = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if texts else []
 
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -222,13 +278,11 @@ def encode_column(text: Column, model: str | None = None) -> Column:
     """array<int>: the ids of each text. ``model``: a path that each machine has; default: the public model there."""
 
     def encode(texts: pa.Array) -> pa.Array:
-        own, values, counts = codec(model or default_model()), [], []
-        for s in _slices(len(texts)):
-            ids = own.encode([t or "" for t in texts[s].to_pylist()])
-            values += ids
-            counts += map(len, ids)
-        offsets = np.r_[0, np.cumsum(counts, dtype=np.int64)].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int32)]), pa.int32()))
+        own = codec(model or default_model())
+        done = [own.encode_flat([t or "" for t in texts[s].to_pylist()]) for s in _slices(len(texts))]
+        offsets = np.cumsum(np.concatenate([[0], *(n for _, n in done)])).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in done)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
     return arrow_column(encode, "array<int>", text)
 
@@ -238,7 +292,7 @@ def decode_column(ids: Column, model: str | None = None) -> Column:
 
     def decode(lists: pa.Array) -> pa.Array:
         own = codec(model or default_model())
-        return pa.array([own.decode(x.values.to_numpy() if x.is_valid else ()) for x in lists], pa.string())
+        return pa.array([own.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists], pa.string())
 
     return arrow_column(decode, "string", ids)
 
