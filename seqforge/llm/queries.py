@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqforge.llm import ann, decontam, license_scan, secret_scan, shard, sp_codec, toxicity, url_filter, warc
+from seqforge.llm import ann, decontam, license_scan, near_dup, secret_scan, shard, sp_codec, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op2_warc": lambda s, d: warc.report(_table(s, d, "pages")),
         "op3_decontamination": lambda s, d: decontam.report(_table(s, d, "documents"), _table(s, d, "benchmark")),
         "op4_license_scan": lambda s, d: license_scan.report(_table(s, d, "documents")),
+        "op5_near_duplicates": lambda s, d: near_dup.report(_table(s, d, "documents")),
         "op6_secret_scan": lambda s, d: secret_scan.report(_table(s, d, "documents")),
         "op7_sharding": lambda s, d: shard.shard(_table(s, d, "documents")),
         "op8_sentencepiece": lambda s, d: sp_codec.report(_table(s, d, "documents")),
