@@ -82,16 +82,19 @@ class Block:
     def __init__(self, ids: list[np.ndarray], vectors: np.ndarray, order: np.ndarray, n_pivots: int):
         self.ids, self.vectors, self.depth = ids, vectors, order.shape[1]
         place = np.argsort(order.ravel(), kind="stable")
-        self.row, self.at = (place // self.depth).astype(np.int32), (place % self.depth).astype(np.int32)
-        self.begin = np.searchsorted(order.ravel()[place], np.arange(n_pivots + 1))
+        self.row, self.short = (place // self.depth).astype(np.int32), place % self.depth - float(self.depth)
+        self.begin = np.searchsorted(order.ravel()[place], np.arange(n_pivots + 1)).tolist()
+        self.ranks = np.arange(self.depth) - float(self.depth)
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Of each vector from a query's permutation, up to a constant."""
-        parts = [slice(self.begin[p], self.begin[p + 1]) for p in order]
+        """Half of each vector's footrule from a query's permutation, up to a constant. A pivot at places a and r counts
+        abs(a - r) instead of the depth's (d - a) + (d - r) of two that miss it: a difference of twice max(a, r) - d."""
+        begin = self.begin
+        parts = [slice(begin[p], begin[p + 1]) for p in order.tolist()]
         row = np.concatenate([self.row[s] for s in parts])
-        at = np.concatenate([self.at[s] for s in parts])
-        rank = np.repeat(np.arange(self.depth), [s.stop - s.start for s in parts])
-        return np.bincount(row, np.abs(at - rank) - (self.depth - at) - (self.depth - rank), minlength=len(self.vectors))
+        short = np.concatenate([self.short[s] for s in parts])
+        rank = np.repeat(self.ranks, [s.stop - s.start for s in parts])
+        return np.bincount(row, np.maximum(short, rank, out=short), minlength=len(self.vectors))
 
     def nearest(self, query_id: int, query: np.ndarray, order: np.ndarray, k: int, share: float, least: int) -> list[tuple[float, int]]:
         n = len(self.vectors)
@@ -105,7 +108,7 @@ class Block:
         return sorted(out)[:k]
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", n_pivots: int = 512, depth: int = 128, keep: int = 101) -> tuple[DataFrame, np.ndarray]:
+def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", n_pivots: int = 512, depth: int = 64, keep: int = 101) -> tuple[DataFrame, np.ndarray]:
     """The index as a table of blocks in the shared folder, and the pivots. ``keep``: ids kept of equal vectors of a block,
     one more than any search asks for."""
     ship_package(df.sparkSession)
@@ -153,7 +156,7 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = rows[-1][0]
 
 
-def search(index: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int = 20, depth: int = 128, share: float = 0.12, least: int = 400) -> DataFrame:
+def search(index: DataFrame, pivots: np.ndarray, queries: DataFrame, k: int = 20, depth: int = 64, share: float = 0.18, least: int = 400) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` nearest found. ``queries``: vec_id, vector, as :func:`valid`."""
     sc = index.sparkSession.sparkContext
     kind = "query_id long, vec_id long, score double"
