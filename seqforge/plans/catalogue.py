@@ -1,17 +1,662 @@
-"""The registered queries of the engine and their DuckDB equivalents."""
+"""The registered queries of the engine and their DuckDB equivalents. Every query reads its tables and texts whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqforge.functions import loss as L
+from seqforge.functions import text as T
+from seqforge.operators import baselines, evaluate, generate, index, learn, model, multiclass, search
+from seqforge.plans import fixtures as X
+from seqforge.session import fresh_path, materialise
+from seqforge.sources import labelled, sinks
+from seqforge.streaming import scoring
+
+_queries: dict = {}
+_oracles: dict[str, str] = {}
+#: Largest n-gram of the searches.
+MAXPAT = 4
+MINSUP = 5
+
+
+def _register(name: str, sql: str | None = None):
+    def put(fn):
+        _queries[name] = fn
+        if sql is not None:
+            _oracles[name] = sql
+        return fn
+
+    return put
+
+
+def R(column, name: str):
+    """Rounded for comparison between engines, without negative zeros."""
+    return (F.round(column, 6) + 0.0).alias(name)
+
+
+def q(x: str) -> str:
+    return f"round({x}, 6) + 0.0"
+
+
+def grams_sql(sizes, frm: str = "e", keep: str = "") -> str:
+    """Distinct n-grams of each document, in SQL."""
+    one = "select distinct doc_id{k}, {n} sz, substr(seq, i, {n}) ng from (select doc_id{k}, seq, unnest(generate_series(1, length(seq) - {m})) i from {f} where length(seq) >= {n})"
+    return " union all ".join(one.format(n=n, m=n - 1, f=frm, k=keep) for n in sizes)
+
+
+def word_grams_sql(masks: list[tuple[bool, ...]]) -> str:
+    """Distinct word patterns of each document; wildcards shown as *."""
+    parts = []
+    for mask in masks:
+        n = len(mask)
+        gram = " || ' ' || ".join("'*'" if w else f"ws[i + {k}]" for k, w in enumerate(mask))
+        parts.append(f"select distinct doc_id, {n} sz, {gram} ng from (select doc_id, ws, unnest(generate_series(1, len(ws) - {n - 1})) i from w where len(ws) >= {n})")
+    return " union all ".join(parts)
+
+
+WORDS = "w as materialized (select doc_id, y, string_split(seq, ' ') ws from e)"
+
+
+# --- sources and projections -----------------------------------------------------------------------------------------
+
+_LINE_SQL = "case doc_id % 5 when 0 then '1.5abc' || chr(9) || seq when 1 then '-2e1 ' || seq || chr(13) when 2 then '; ' || seq when 3 then seq else '' end"
+
+
+@_register("parse_labelled_lines", f"""with {X.CHAR_DOCS}, l as (select doc_id, regexp_replace({_LINE_SQL}, '\\r$', '') v from e),
+k as (select doc_id, v, regexp_extract(v, '^([^ \\t]*)', 1) a, case when regexp_matches(v, '[ \\t]') then regexp_extract(v, '^[^ \\t]*[ \\t](.*)$', 1) else v end seq from l where v <> '' and not starts_with(v, ';'))
+select doc_id, coalesce(try_cast(regexp_extract(a, '^([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) as double), 0) y, md5(seq) seq_md5, not regexp_matches(v, '[ \\t]') malformed from k where length(seq) > 0""")
+def parse_labelled_lines(spark, d):
+    docs = X.char_docs(spark, d)
+    kind = F.col("doc_id") % 5
+    line = F.when(kind == 0, F.concat(F.lit("1.5abc\t"), "seq")).when(kind == 1, F.concat(F.lit("-2e1 "), "seq", F.lit("\r"))).when(kind == 2, F.concat(F.lit("; "), "seq")).when(kind == 3, F.col("seq")).otherwise("")
+    return labelled.parse_lines(docs.select("doc_id", line.alias("value"))).select("doc_id", "y", F.md5("seq").alias("seq_md5"), "malformed")
+
+
+@_register("read_stats", f"with {X.CHAR_DOCS} select count(*) filter (y > 0) n_pos, count(*) filter (y <= 0) n_neg, count(*) n, {q('avg(y)')} mean_y from e")
+def read_stats(spark, d):
+    return labelled.stats(X.char_docs(spark, d)).withColumn("mean_y", F.round("mean_y", 6) + 0.0)
+
+
+@_register("centre_response", f"with {X.CHAR_DOCS} select doc_id, {q('y - avg(y) over ()')} y from e")
+def centre_response(spark, d):
+    return labelled.centre(X.char_docs(spark, d))[0].select("doc_id", R("y", "y"))
+
+
+@_register("one_vs_rest_labels", f"""with {X.LANG_DOCS} select doc_id, cast(k as int) "class", case when "label" = k then 1.0::double else -1.0::double end y from e, range(1, 5) r(k)""")
+def one_vs_rest_labels(spark, d):
+    docs = X.lang_docs(spark, d).withColumn("class", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
+    y = F.when(F.col("label") == F.col("class"), 1.0).otherwise(-1.0)
+    return docs.select("doc_id", "class", y.alias("y"))
+
+
+@_register("log2_trim_response", f"select doc_id, {q('log2(n_chars)')} y, md5(substr(text, 1, cast(greatest(length(text) - 20, 0) as int))) seq_md5 from documents where n_chars > 0")
+def log2_trim_response(spark, d):
+    docs = X.table(spark, d, "documents").where("n_chars > 0")
+    return docs.select("doc_id", R(F.log2("n_chars"), "y"), F.md5(T.without_tail(F.col("text"), 20)).alias("seq_md5"))
+
+
+@_register("inverse_log2", "select doc_id, round(pow(2.0, log2(n_chars)), 3) + 0.0 signal from documents where n_chars > 0")
+def inverse_log2(spark, d):
+    return X.table(spark, d, "documents").where("n_chars > 0").select("doc_id", (F.round(F.pow(F.lit(2.0), F.log2("n_chars")), 3) + 0.0).alias("signal"))
+
+
+@_register("clean_markup_sequence", r"""with p as (select page_id, array_to_string(list_transform(regexp_split_to_array(html, '\r?\n'), lambda x: translate(regexp_replace(ltrim(x, ' '), '^\S+\s+', ''), ' ?', '')), '') s from pages)
+select page_id, length(s) n, md5(s) seq_md5 from p""")
+def clean_markup_sequence(spark, d):
+    seq = F.array_join(F.transform(F.split("html", "\r?\n"), T.clean_hex_line), "")
+    return X.table(spark, d, "pages").select("page_id", F.length(seq).cast("long").alias("n"), F.md5(seq).alias("seq_md5"))
+
+
+# --- tokens and index ------------------------------------------------------------------------------------------------
+
+
+@_register("char_tokens", f"with {X.CHAR_DOCS} select doc_id, length(seq) n, md5(array_to_string(string_split(seq, ''), '|')) toks_md5 from e")
+def char_tokens(spark, d):
+    toks = T.char_tokens(F.col("seq"))
+    return X.char_docs(spark, d).select("doc_id", F.size(toks).cast("long").alias("n"), F.md5(F.array_join(toks, "|")).alias("toks_md5"))
+
+
+@_register("byte_tokens", "select doc_id, cast(strlen(text) as bigint) n, md5(regexp_replace(hex(text), '(..)', '\\1|', 'g')) toks_md5 from documents where text <> ''")
+def byte_tokens(spark, d):
+    toks = T.byte_tokens(F.col("text"))
+    return X.table(spark, d, "documents").where("text <> ''").select("doc_id", F.size(toks).cast("long").alias("n"), F.md5(F.concat(F.array_join(toks, "|"), F.lit("|"))).alias("toks_md5"))
+
+
+@_register("word_tokens", f"with {X.EVENT_SEQS}, {WORDS} select doc_id, cast(i - 1 as int) pos, ws[i] tok from (select doc_id, ws, unnest(generate_series(1, len(ws))) i from w)")
+def word_tokens(spark, d):
+    return index.occurrences(X.event_seqs(spark, d), words=True)
+
+
+_OCC = "o as (select doc_id, i - 1 pos, substr(seq, i, 1) tok from (select doc_id, seq, unnest(generate_series(1, length(seq))) i from e))"
+
+
+@_register("inverted_index", f"with {X.CHAR_DOCS}, {_OCC} select tok, doc_id, count(*) n, cast(min(pos) as bigint) first_pos, cast(max(pos) as bigint) last_pos, cast(sum(pos) as bigint) sum_pos from o group by tok, doc_id")
+def inverted_index(spark, d):
+    places = index.inverted_index(X.char_docs(spark, d))
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)
+    return places.select("tok", "doc_id", F.size("places").cast("long").alias("n"), F.col("places")[0].cast("long").alias("first_pos"), F.element_at("places", -1).cast("long").alias("last_pos"), total.alias("sum_pos"))
+
+
+@_register("unigram_support", f"with {X.CHAR_DOCS}, {_OCC} select tok, count(distinct doc_id) support from o group by tok")
+def unigram_support(spark, d):
+    return index.support(X.char_docs(spark, d))
+
+
+@_register("minsup_unigrams", f"with {X.CHAR_DOCS}, {_OCC} select tok, count(distinct doc_id) support from o group by tok having count(distinct doc_id) >= 50")
+def minsup_unigrams(spark, d):
+    return index.support(X.char_docs(spark, d), minsup=50)
+
+
+@_register("bigram_children", f"""with {X.CHAR_DOCS}, {_OCC}, known as (select tok from o group by tok having count(distinct doc_id) >= 50)
+select a.tok || b.tok ngram, count(*) n, count(distinct a.doc_id) support from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where b.tok in (select tok from known) group by 1""")
+def bigram_children(spark, d):
+    docs = X.char_docs(spark, d)
+    occ = index.occurrences(docs)
+    found = index.children(index.first_level(occ), occ, known=index.support(docs, minsup=50))
+    by_doc = found.groupBy("ngram", "doc_id").agg(F.count("*").alias("n"))
+    return by_doc.groupBy("ngram").agg(F.sum("n").alias("n"), F.count("*").alias("support"))
+
+
+@_register("wildcard_children", f"""with {X.EVENT_SEQS}, {WORDS}, o as (select doc_id, i pos, ws[i] tok from (select doc_id, ws, unnest(generate_series(1, len(ws))) i from w)),
+x as (select a.doc_id, a.tok || ' ' || b.tok ngram, b.pos from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 union all select a.doc_id, a.tok || ' *', b.pos from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1)
+select ngram, count(*) n, count(distinct doc_id) support from x group by ngram""")
+def wildcard_children(spark, d):
+    occ = index.occurrences(X.event_seqs(spark, d), words=True)
+    found = index.children(index.first_level(occ), occ, words=True, wildcard=True)
+    return found.groupBy(T.shown(F.col("ngram")).alias("ngram")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("support"))
+
+
+@_register("shrunk_postings", f"with {X.EVENT_SEQS}, {WORDS} select distinct doc_id, ng ngram from ({word_grams_sql([(False, False)])})")
+def shrunk_postings(spark, d):
+    occ = index.occurrences(X.event_seqs(spark, d), words=True)
+    return index.shrink(index.children(index.first_level(occ), occ, words=True)).select("doc_id", "ngram")
+
+
+@_register("ngram_support", f"with {X.CHAR_DOCS} select ng ngram, count(*) support from ({grams_sql((1, 2, 3))}) group by ng having count(*) >= {MINSUP}")
+def ngram_support(spark, d):
+    docs = X.char_docs(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"))
+    out = None
+    for size in (1, 2, 3):
+        part = index.grams_of(docs, size, toks="toks").groupBy("ngram").agg(F.count("*").alias("support")).where(f"support >= {MINSUP}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_LOOSE = [m for n in (3, 4) for m in T.masks(n, 2, 2)]
+_TIGHT = [m for n in (3, 4) for m in T.masks(n, 2, 1)]
+
+
+@_register("wildcard_constraint_filter", f"with {X.EVENT_SEQS}, {WORDS} select ng ngram, count(*) support from ({word_grams_sql(_TIGHT)}) group by ng")
+def wildcard_constraint_filter(spark, d):
+    docs = X.event_seqs(spark, d).select(T.word_tokens(F.col("seq")).alias("toks"))
+    every = index.grams_of(docs, 3, True, (2, 2), "toks").unionByName(index.grams_of(docs, 4, True, (2, 2), "toks"))
+    kept = index.within_gaps(every, 2, 1, words=True)
+    return kept.groupBy(T.shown(F.col("ngram")).alias("ngram")).agg(F.count("*").alias("support"))
+
+
+# --- losses, gradients, bounds ---------------------------------------------------------------------------------------
+
+#: Loss and pull of each objective in SQL.
+_SQL = {
+    "squared": ("(y - score) * (y - score)", "2 * (y - score)"),
+    "logistic": ("ln(1 + exp(-y * score))", "y / (1 + exp(y * score))"),
+    "hinge": ("pow(greatest(1 - y * score, 0), 2)", "y * greatest(2 * (1 - y * score), 0)"),
+}
+for _kind in L.OBJECTIVES:
+
+    @_register(f"doc_gradients_{_kind}", f"with {X.SCORED} select doc_id, {q(_SQL[_kind][1])} g from s")
+    def _gradients(spark, d, kind=_kind):
+        return X.scored(spark, d).select("doc_id", R(L.pull(kind, F.col("y"), F.col("score")), "g"))
+
+    @_register(f"loss_{_kind}", f"with {X.SCORED} select {q(f'sum({_SQL[_kind][0]})')} loss from s")
+    def _loss(spark, d, kind=_kind):
+        return X.scored(spark, d).agg(R(F.sum(L.loss(kind, F.col("y"), F.col("score"))), "loss"))
+
+    @_register(f"gradient_bounds_{_kind}", f"""with {X.SCORED}, g as (select doc_id, {_SQL[_kind][1]} g from s), p as ({grams_sql((1, 2))})
+select ng ngram, {q('-sum(g)')} gradient, {q('-sum(case when g > 0 then g else 0 end)')} upos, {q('-sum(case when g > 0 then 0 else g end)')} uneg, count(*) support from p join g using (doc_id) group by ng""")
+    def _bounds(spark, d, kind=_kind):
+        state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), L.pull(kind, F.col("y"), F.col("score")).alias("g"))
+        out = search.rank_all(state, search.SearchConfig(objective=kind), 2)
+        return out.select("ngram", R("gradient", "gradient"), R("upos", "upos"), R("uneg", "uneg"), "support")
+
+    _f0 = "(select avg(y) from e)" if _kind == "squared" else "0.0"
+
+    @_register(f"best_ngram_{_kind}", f"""with {X.CHAR_DOCS}, s as (select doc_id, y, cast({_f0} as double) score from e), g as (select doc_id, {_SQL[_kind][1]} g from s), p as ({grams_sql(range(1, MAXPAT + 1))})
+select ng ngram, sz size, {q('-sum(g)')} gradient, count(*) support from p join g using (doc_id) group by ng, sz having count(*) >= {MINSUP} order by round(abs(sum(g)), 9) desc, sz, ng limit 1""")
+    def _best(spark, d, kind=_kind, minpat=1):
+        return best(spark, X.char_docs(spark, d), search.SearchConfig(objective=kind, maxpat=MAXPAT, minpat=minpat, minsup=MINSUP))
+
+
+def best(spark: SparkSession, docs: DataFrame, config: search.SearchConfig) -> DataFrame:
+    """The search's winner as a row; squared error starts from the mean."""
+    state = learn.prepare(docs, config.words)
+    f = F.lit(learn.intercept_step(state, "squared") if config.objective == "squared" else 0.0)
+    found = search.best_ngram(state.withColumn("g", L.pull(config.objective, F.col("y"), f)), config)
+    return spark.createDataFrame([(found.ngram.replace(T.WILD, "*"), found.size, round(found.gradient, 6) + 0.0, found.support)], "ngram string, size int, gradient double, support long")
+
+
+@_register("best_ngram_minpat", f"""with {X.CHAR_DOCS}, g as (select doc_id, 2 * (y - (select avg(y) from e)) g from e), p as ({grams_sql(range(3, MAXPAT + 1))})
+select ng ngram, sz size, {q('-sum(g)')} gradient, count(*) support from p join g using (doc_id) group by ng, sz having count(*) >= {MINSUP} order by round(abs(sum(g)), 9) desc, sz, ng limit 1""")
+def best_ngram_minpat(spark, d):
+    return _best(spark, d, "squared", 3)
+
+
+@_register("best_event_pattern", f"""with {X.EVENT_SEQS}, {WORDS}, g as (select doc_id, 2 * (y - (select avg(y) from e)) g from e), p as ({word_grams_sql([m for n in (1, 2, 3) for m in T.masks(n, 1, 1)])})
+select ng ngram, sz size, {q('-sum(g)')} gradient, count(*) support from p join g using (doc_id) group by ng, sz order by round(abs(sum(g)), 9) desc, sz, replace(ng, '*', chr(57344)) limit 1""")
+def best_event_pattern(spark, d):
+    return best(spark, X.event_seqs(spark, d), search.SearchConfig(words=True, maxpat=3, gaps=(1, 1)))
+
+
+@_register("penalised_loss", f"with {X.SCORED} select {q('sum((y - score) * (y - score)) + (select 0.2 * sum(abs(weight)) + 0.4 * sum(weight * weight) from m)')} loss from s")
+def penalised_loss(spark, d):
+    extra = L.penalty([w for _, w in X.RULES], 1.0, 0.2)
+    return X.scored(spark, d).agg(R(F.sum(L.loss("squared", F.col("y"), F.col("score"))) + extra, "loss"))
+
+
+@_register("intercept_gradient", f"with {X.SCORED} " + " union all ".join(f"select '{k}' objective, {q(f'-sum({_SQL[k][1]})')} gradient from s" for k in L.OBJECTIVES))
+def intercept_gradient(spark, d):
+    sums = X.scored(spark, d).agg(*[(F.round(-F.sum(L.pull(k, F.col("y"), F.col("score"))), 6) + 0.0).alias(k) for k in L.OBJECTIVES])
+    return sums.unpivot([], list(L.OBJECTIVES), "objective", "gradient")
+
+
+@_register("prune_survivors", f"""with {X.CHAR_DOCS}, g as (select doc_id, 2 * (y - (select avg(y) from e)) g from e), p as ({grams_sql((1, 2))}),
+b as (select ng, sz, -sum(g) gr, -sum(case when g > 0 then g else 0 end) up, -sum(case when g > 0 then 0 else g end) un, count(*) sup from p join g using (doc_id) group by ng, sz),
+tau as (select max(round(abs(gr), 9)) t from b where sz = 1 and sup >= {MINSUP})
+select ng ngram, sz size, sup support from b, tau where sup >= {MINSUP} and round(greatest(abs(up), abs(un)), 9) > t""")
+def prune_survivors(spark, d):
+    docs, _ = labelled.centre(X.char_docs(spark, d))
+    state = docs.select(T.char_tokens(F.col("seq")).alias("toks"), (2 * F.col("y")).alias("g"))
+    level = materialise(search.rank_all(state, search.SearchConfig(minsup=MINSUP), 2), "bounds")
+    tau = level.where("size = 1").agg(F.max(F.round(F.abs("gradient"), 9))).first()[0]
+    reach = F.greatest(F.abs("upos"), F.abs("uneg"))
+    return level.where(F.round(reach, 9) > tau).select("ngram", "size", "support")
+
+
+@_register("exact_step", f"with {X.CHAR_DOCS} select {q('avg(y)')} step, count(*) support from e where contains(seq, 'th')")
+def exact_step(spark, d):
+    state = learn.prepare(X.char_docs(spark, d), False)
+    return state.where(T.holds(F.col("bare"), "th", False)).agg(R(F.avg(F.col("y") - F.col("f")), "step"), F.count("*").alias("support"))
+
+
+@_register("convergence_rate", f"with {X.SCORED}, t as (select s.score, case when contains(seq, 'on') then 0.25 else 0 end move from s join e using (doc_id)) select {q('sum(abs(move)) / (1 + sum(abs(score)))')} rate from t")
+def convergence_rate(spark, d):
+    move = F.when(T.holds(F.col("seq"), "on", False), 0.25).otherwise(0.0)
+    return X.scored(spark, d).agg(R(F.sum(F.abs(move)) / (1 + F.sum(F.abs("score"))), "rate"))
+
+
+def learn_sql(k: int) -> str:
+    blocks = [f"with {X.CHAR_DOCS}, p as materialized ({grams_sql(range(1, MAXPAT + 1))}), f0 as (select doc_id, y, cast(0 as double) f from e)"]
+    for i in range(1, k + 1):
+        blocks.append(f"""i{i} as materialized (select avg(y - f) d from f{i - 1}), r{i} as materialized (select doc_id, y, f + d f from f{i - 1}, i{i}),
+b{i} as materialized (select ng, sz, avg(y - f) step from p join r{i} using (doc_id) group by ng, sz having abs(sum(y - f)) > 1e-9 order by round(abs(sum(2 * (y - f))), 9) desc, sz, ng limit 1),
+f{i} as materialized (select r.doc_id, r.y, r.f + case when p.ng is not null then b.step else 0 end f from r{i} r cross join b{i} b left join p on p.doc_id = r.doc_id and p.ng = b.ng)""")
+    rows = " union all ".join(f"select {i} itr, '*INTERCEPT*' ngram, {q('d')} step from i{i} union all select {i}, ng, {q('step')} from b{i}" for i in range(1, k + 1))
+    return ", ".join(blocks) + " " + rows
+
+
+@_register("learn_k_iterations", learn_sql(3))
+def learn_k_iterations(spark, d, k: int = 3):
+    config = learn.LearnConfig(maxpat=MAXPAT, max_iterations=k, convergence=-1.0)
+    steps = learn.learn(X.char_docs(spark, d), config).model.steps
+    return spark.createDataFrame([(i // 2 + 1, g, round(s, 6) + 0.0) for i, (s, g) in enumerate(steps)], "itr int, ngram string, step double")
+
+
+@_register("learning_log")
+def learning_log(spark, d):
+    config = learn.LearnConfig(objective="logistic", words=True, maxpat=2, c=1.0, max_iterations=3, convergence=-1.0)
+    docs = X.event_seqs(spark, d)
+    mean = docs.agg(F.avg("y")).first()[0]
+    return learn.log_frame(spark, learn.learn(docs.withColumn("y", F.when(F.col("y") > mean, 1.0).otherwise(-1.0)), config).log)
+
+
+_C, _ALPHA = 1.0, 0.2
+
+
+@_register("regularised_gradient", f"""with {X.SCORED}, p as ({grams_sql((1, 2, 3))}), b as (select ng, -sum(2 * (y - score)) g, count(*) support from p join s using (doc_id) group by ng)
+select ng ngram, {q(f'g + {_C} * ({_ALPHA} * sign(weight) + {1 - _ALPHA} * weight)')} gradient, support from b join m on b.ng = m.ngram""")
+def regularised_gradient(spark, d):
+    config = search.SearchConfig(c=_C, alpha=_ALPHA)
+    state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), L.pull("squared", F.col("y"), F.col("score")).alias("g"))
+    level = search.penalised(search.rank_all(state, config, 3), dict(X.RULES), config)
+    return level.where(F.col("ngram").isin([g for g, _ in X.RULES])).select("ngram", R("gradient", "gradient"), "support")
+
+
+@_register("prefix_bound_correction", f"""with {X.SCORED}, p as ({grams_sql((1, 2))}),
+b as (select ng, -sum(case when g > 0 then g else 0 end) up, -sum(case when g > 0 then 0 else g end) un from (select ng, 2 * (y - score) g from p join s using (doc_id)) group by ng),
+x as (select b.ng, up, un, {_C} * ({_ALPHA} * sign(weight) + {1 - _ALPHA} * weight) extra from b join m on starts_with(m.ngram, b.ng))
+select ng ngram, {q('greatest(max(abs(up)), max(abs(un)), max(abs(up + extra)), max(abs(un + extra)))')} reach from x group by ng""")
+def prefix_bound_correction(spark, d):
+    config = search.SearchConfig(c=_C, alpha=_ALPHA)
+    state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), L.pull("squared", F.col("y"), F.col("score")).alias("g"))
+    level = search.penalised(search.rank_all(state, config, 2), dict(X.RULES), config)
+    affected = [p for g, _ in X.RULES for p in [*T.prefixes(g, False), g]]
+    return level.where(F.col("ngram").isin(affected)).select("ngram", R("reach", "reach"))
+
+
+@_register("line_search_step")
+def line_search_step(spark, d):
+    state = learn.prepare(X.char_docs(spark, d), False)
+    rows = state.where(T.holds(F.col("bare"), "th", False))
+    out = []
+    for kind in L.OBJECTIVES:
+        g, n = rows.agg(-F.sum(L.pull(kind, F.col("y"), F.col("f"))), F.count("*")).first()
+        out.append((kind, float(learn.line_search(rows, kind, g or 0.0, n)), n))
+    return spark.createDataFrame(out, "objective string, step double, support long")
+
+
+# --- models and scores -----------------------------------------------------------------------------------------------
+
+_STEPS_SQL = f"st(itr, ngram, step) as (values {X.values(X.STEPS)})"
+
+
+def _steps(spark) -> DataFrame:
+    return spark.createDataFrame(X.STEPS, "itr int, ngram string, step double")
+
+
+@_register("model_weights", f"with {_STEPS_SQL} select ngram, {q('sum(step)')} weight from st group by ngram")
+def model_weights(spark, d):
+    return model.roll_up(_steps(spark)).select("ngram", R("weight", "weight"))
+
+
+_NORMS = "l1 as (select sum(abs(step)) l1 from st), wt as (select ngram, sum(step) w from st group by ngram)"
+
+
+@_register("model_norms", f"with {_STEPS_SQL}, {_NORMS} select {q('l1')} l1, {q('''sqrt(sum(w * w) filter (ngram <> '*INTERCEPT*'))''')} l2, {q('''sum(w) filter (ngram = '*INTERCEPT*')''')} intercept from l1, wt group by l1")
+def model_norms(spark, d):
+    return model.norms(_steps(spark)).select(R("l1", "l1"), R("l2", "l2"), R("intercept", "intercept"))
+
+
+@_register("normalised_weights", f"with {_STEPS_SQL}, {_NORMS} select ngram, {q('w / l1')} weight from wt, l1")
+def normalised_weights(spark, d):
+    l1 = model.norms(_steps(spark)).first()["l1"]
+    return model.normalised(model.roll_up(_steps(spark)), l1).select("ngram", R("weight", "weight"))
+
+
+@_register("model_lines", f"""with {_STEPS_SQL}, wt as (select ngram, sum(step) w from st group by ngram)
+select cast(1 as int) n, '0' line union all select 2, cast(w as varchar) || ' INTERCEPT' from wt where ngram = '*INTERCEPT*'
+union all select cast(2 + row_number() over (order by w desc, ngram) as int), cast(w as varchar) || ' ' || ngram from wt where ngram <> '*INTERCEPT*'""")
+def model_lines(spark, d):
+    m = model.SequenceModel([(s, g) for _, g, s in X.STEPS])
+    return spark.createDataFrame(list(enumerate(sinks.model_lines(m), 1)), "n int, line string")
+
+
+@_register("saved_model", f"with {_STEPS_SQL} select cast(row_number() over (order by itr, ngram <> '*INTERCEPT*') - 1 as int) itr, ngram, step from st")
+def saved_model(spark, d):
+    path = fresh_path(spark, "model")
+    sinks.save_model(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
+    steps = sinks.open_model(spark, path).steps
+    return spark.createDataFrame([(i, g, s) for i, (s, g) in enumerate(steps)], "itr int, ngram string, step double")
+
+
+@_register("score_docs", f"with {X.SCORED} select doc_id, {q('score')} score, n_rules from s")
+def score_docs(spark, d):
+    return X.scored(spark, d).select("doc_id", R("score", "score"), "n_rules")
+
+
+@_register("score_probability", f"with {X.SCORED} select doc_id, {q('1 / (1 + exp(-score))')} probability from s")
+def score_probability(spark, d):
+    return X.scored(spark, d).select("doc_id", R("probability", "probability"))
+
+
+@_register("score_docs_wildcard", f"""with {X.CHAR_DOCS}, m(ngram, weight) as (values {X.values(X.WILD_RULES)}), hit as (select doc_id, weight from e join m on regexp_matches(seq, replace(ngram, '*', '.')))
+select e.doc_id, {q('coalesce(sum(weight), 0)')} score, count(weight) n_rules from e left join hit on e.doc_id = hit.doc_id group by e.doc_id""")
+def score_docs_wildcard(spark, d):
+    out = model.score(X.char_docs(spark, d), X.rules_frame(spark, X.WILD_RULES), 0.0)
+    return out.select("doc_id", R("score", "score"), "n_rules")
+
+
+@_register("score_events", f"""with {X.EVENT_SEQS}, m(ngram, weight) as (values {X.values(X.EVENT_RULES)}), hit as (select doc_id, weight from e join m on regexp_matches(' ' || seq || ' ', ' ' || replace(ngram, '*', '[^ ]+') || ' '))
+select e.doc_id, {q('coalesce(sum(weight), 0)')} score, count(weight) n_rules from e left join hit on e.doc_id = hit.doc_id group by e.doc_id""")
+def score_events(spark, d):
+    out = model.score(X.event_seqs(spark, d), X.rules_frame(spark, X.EVENT_RULES), 0.0, words=True)
+    return out.select("doc_id", R("score", "score"), "n_rules")
+
+
+@_register("matched_rules", f"with {X.SCORED} select e.doc_id, coalesce(string_agg(ngram, ' ' order by ngram), '') rules from e left join hit on e.doc_id = hit.doc_id group by e.doc_id")
+def matched_rules(spark, d):
+    out = model.score(X.char_docs(spark, d), X.rules_frame(spark, X.RULES), 0.0, with_rules=True)
+    return out.select("doc_id", F.array_join("rules", " ").alias("rules"))
+
+
+@_register("feature_ids", f"with {X.SCORED}, k as (select ngram, row_number() over (order by ngram) id from m) select doc_id, string_agg(id || ':1.0', ' ' order by id) ids from hit join k using (ngram) group by doc_id")
+def feature_ids(spark, d):
+    ids = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(sorted(X.RULES), 1)], "ngram string, id int")
+    found = model.matches(X.char_docs(spark, d), X.rules_frame(spark, X.RULES)).join(ids, "ngram")
+    listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return listed.select("doc_id", F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(":1.0"))), " ").alias("ids"))
+
+
+@_register("oov_docs", f"with {X.SCORED} select doc_id, {q('score')} score from s where n_rules = 0")
+def oov_docs(spark, d):
+    return model.unmatched(X.scored(spark, d)).select("doc_id", R("score", "score"))
+
+
+@_register("stream_scores", _oracles["score_docs"].replace(", n_rules from s", " from s"))
+def stream_scores(spark, d):
+    """The same scores from a stream that reads the documents as files."""
+    source, out = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-out")
+    docs = X.char_docs(spark, d).select("doc_id", "seq")
+    docs.write.parquet(source)
+    m = model.SequenceModel([(w, g) for g, w in X.RULES], bias=X.OFFSET)
+    scoring.start(spark.readStream.schema(docs.schema).parquet(source), m, out, fresh_path(spark, "stream-state")).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", R("score", "score"))
+
+
+@_register("prediction_lines", f"with {X.SCORED} select e.doc_id, printf('%.1f %.4f', e.y, score) line, md5(seq) seq_md5 from s join e using (doc_id)")
+def prediction_lines(spark, d):
+    return X.scored(spark, d).select("doc_id", F.format_string("%.1f %.4f", "y", "score").alias("line"), F.md5("seq").alias("seq_md5"))
+
+
+@_register("train_lines", f"""with {X.LANG_DOCS} select '+' || "label" || ' ' || md5(seq) "value" from e""")
+def train_lines(spark, d):
+    return sinks.train_lines(X.lang_docs(spark, d).select("label", F.md5("seq").alias("seq")))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+
+@_register("regression_metrics", f"""with {X.SCORED}, t as (select avg(y) my from s),
+a as (select avg(pow(score - y, 2)) mse, avg(abs(score - y)) mae, sum(pow(score - y, 2)) sr, sum(pow(y - my, 2)) st, sum(abs(score - y)) ar, sum(abs(y - my)) atot, corr(score, y) pe from s, t)
+select {q('mse')} mse, {q('sqrt(mse)')} rmse, {q('mae')} mae, {q('sr / st')} rse, {q('sqrt(sr / st)')} root_rse, {q('1 - sr / st')} r2, {q('ar / atot')} rae, {q('pe')} pearson from a""")
+def regression_metrics(spark, d):
+    out = evaluate.regression(X.scored(spark, d))
+    return out.select(*[R(c, c) for c in out.columns])
+
+
+_COUNTS = "c as (select count(*) filter (y > 0 and score > 0) tp, count(*) filter (y <= 0 and score > 0) fp, count(*) filter (y > 0 and score <= 0) fn, count(*) filter (y <= 0 and score <= 0) tn from s)"
+
+
+@_register("confusion_counts", f"with {X.SCORED}, {_COUNTS} select * from c")
+def confusion_counts(spark, d):
+    return evaluate.counts(X.scored(spark, d))
+
+
+_SAFE = lambda a, b: f"(case when {b} <> 0 then ({a}) / cast({b} as double) else 0 end)"
+
+
+@_register("class_metrics", f"""with {X.SCORED}, {_COUNTS}, r as (select *, {_SAFE('tp', '(tp + fp)')} pr, {_SAFE('tp', '(tp + fn)')} re, {_SAFE('tn', '(tn + fp)')} sp, {_SAFE('tp + tn', '(tp + fp + fn + tn)')} ac, {_SAFE('fp + fn', '(tp + fp + fn + tn)')} er from c)
+select tp, fp, fn, tn, {q('pr')} "precision", {q('re')} recall, {q('sp')} specificity, {q('ac')} accuracy, {q('er')} error, {q('(fn / cast(tp + fn as double) + fp / cast(tn + fp as double)) / 2')} balanced_error,
+{q(_SAFE('2 * pr * re', '(pr + re)'))} f1, {q(_SAFE('2 * sp * re', '(sp + re)'))} fss from r""")
+def class_metrics(spark, d):
+    out = evaluate.classification(evaluate.counts(X.scored(spark, d)))
+    return out.select(*[c if c in ("tp", "fp", "fn", "tn") else R(c, c) for c in out.columns])
+
+
+_GROUPS = """gr as (select score, count(*) filter (y > 0) p, count(*) filter (y <= 0) n from s group by score),
+cu as (select score, p, n, coalesce(sum(p) over (order by score desc rows between unbounded preceding and 1 preceding), 0) bp, coalesce(sum(n) over (order by score desc rows between unbounded preceding and 1 preceding), 0) bn from gr),
+to_ as (select sum(p) pp, sum(n) nn from gr)"""
+
+
+@_register("auc", f"with {X.SCORED}, {_GROUPS} select {q('100.0 * sum(n * (2 * bp + p) / 2.0) / (max(pp) * max(nn))')} auc from cu, to_")
+def auc(spark, d):
+    return evaluate.auc(X.scored(spark, d)).select(R("auc", "auc"))
+
+
+@_register("auc50", f"""with {X.SCORED}, {_GROUPS}, br as (select bn x, bp yy, lead(bn) over (order by score desc) nx, lead(bp) over (order by score desc) ny from cu where bn < 50),
+area as (select sum(case when nx is null then (least(nn, 50) - x) * (pp + yy) / 2.0 else (nx - x) * (ny + yy) / 2.0 end) a, max(pp) pp from br, to_) select {q('100.0 * a / (50 * pp)')} auc50 from area""")
+def auc50(spark, d):
+    return evaluate.auc50(X.scored(spark, d)).select(R("auc50", "auc50"))
+
+
+@_register("tune_threshold", f"""with {X.SCORED}, gr as (select score, count(*) filter (y > 0) p, count(*) filter (y <= 0) n from s group by score),
+cu as (select score, lag(score) over (order by score) lo, coalesce(sum(p) over (order by score rows between unbounded preceding and 1 preceding), 0) bp, sum(n) over (order by score rows between current row and unbounded following) an from gr),
+th as (select case when lo is null then cast('-infinity' as double) else (lo + score) / 2 end threshold, bp + an errors from cu union all select max(score) + 1, sum(p) from gr)
+select {q('threshold')} threshold, cast(errors as bigint) errors from th order by errors, threshold limit 1""")
+def tune_threshold(spark, d):
+    return evaluate.tune(X.scored(spark, d)).select(R("threshold", "threshold"), "errors")
+
+
+_PLACE = """pl as (select doc_id, quality, row_number() over (partition by quality order by md5(cast(doc_id as varchar)), doc_id) - 1 pl from labels),
+fo as (select doc_id, quality, cast(pl % 4 as int) fold, floor(pl / 4) % 10 = 0 held from pl)"""
+
+
+@_register("stratified_folds", f"with {_PLACE} select doc_id, quality, fold, held from fo")
+def stratified_folds(spark, d):
+    return evaluate.stratified_folds(X.table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality").select("doc_id", "quality", "fold", "held")
+
+
+@_register("fold_disjointness", f"""with {_PLACE}, x as (select k, case when fold = k then 'test' when held then 'validation' else 'train' end split, doc_id from fo, range(0, 4) r(k))
+select cast(k as int) k, split, count(*) n, count(distinct doc_id) ids, cast(0 as bigint) shared from x group by k, split""")
+def fold_disjointness(spark, d):
+    folds = materialise(stratified_folds(spark, d), "folds")
+    out = None
+    for k in range(4):
+        part = evaluate.splits(folds, k).select(F.lit(k).alias("k"), "split", "doc_id")
+        out = part if out is None else out.unionByName(part)
+    out = materialise(out, "splits")
+    twice = out.groupBy("k", "doc_id").agg(F.count_distinct("split").alias("s")).where("s > 1").groupBy("k").agg(F.count("*").alias("shared"))
+    table = out.groupBy("k", "split").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    return table.join(twice, "k", "left").select("k", "split", "n", "ids", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
+
+
+#: Literal rules of four classes.
+_CLASS_RULES = [(1, "sch", 0.5), (1, "ung", 0.25), (2, "th", 0.5), (2, "sh", 0.25), (3, "ci", 0.5), (3, "ado", 0.25), (4, "eau", 0.5), (4, "oi", 0.25)]
+_CLASS_SQL = f"""{X.LANG_DOCS}, cm(k, ngram, weight) as (values {X.values(_CLASS_RULES)}),
+cs as (select e.doc_id, e."label", c.k, coalesce(sum(weight), 0) score from e cross join range(1, 5) c(k) left join cm on cm.k = c.k and contains(seq, ngram) group by e.doc_id, e."label", c.k),
+pr as (select doc_id, any_value("label") "label", cast(arg_max(k, score * 1000 - k) as int) predicted from cs group by doc_id)"""
+
+
+def _predicted(spark, d) -> DataFrame:
+    docs = X.lang_docs(spark, d)
+    rules = spark.createDataFrame([(g, float(w)) for _, g, w in _CLASS_RULES], "ngram string, weight double")
+    own = spark.createDataFrame([(g, k) for k, g, _ in _CLASS_RULES], "ngram string, class int")
+    sums = model.matches(docs, rules).join(own, "ngram").groupBy("doc_id", "class").agg(F.sum("weight").alias("s"))
+    every = docs.select("doc_id", "label", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("class"))
+    scores = every.join(sums, ["doc_id", "class"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)))
+    return multiclass.argmax(scores, ["doc_id", "label"])
+
+
+@_register("multiclass_argmax", f"""with {_CLASS_SQL} select doc_id, "label", predicted from pr""")
+def multiclass_argmax(spark, d):
+    return _predicted(spark, d)
+
+
+@_register("multiclass_confusion", f"""with {_CLASS_SQL} select "label", {', '.join(f'count(*) filter (predicted = {k}) p{k}' for k in (1, 2, 3, 4))} from pr group by "label" """)
+def multiclass_confusion(spark, d):
+    return multiclass.confusion(_predicted(spark, d), [1, 2, 3, 4])
+
+
+@_register("fold_accuracy", f"""with {_CLASS_SQL}, pl as (select *, cast((row_number() over (partition by "label" order by md5(cast(doc_id as varchar)), doc_id) - 1) % 4 as int) fold from pr)
+select fold, {q('avg(case when predicted = "label" then 1.0 else 0.0 end)')} accuracy, count(*) n from pl group by rollup (fold)""")
+def fold_accuracy(spark, d):
+    folds = evaluate.stratified_folds(_predicted(spark, d), "doc_id", "label")
+    return multiclass.fold_accuracy(folds).select("fold", R("accuracy", "accuracy"), "n")
+
+
+@_register("class_gradients", f"""with {X.LANG_DOCS}, p as ({grams_sql((2,))}) select ng ngram, count(*) support, {', '.join(q(f'-sum(case when "label" = {k} then 2.0::double else -2.0::double end)') + f' class{k}' for k in (1, 2, 3, 4))} from p join e using (doc_id) group by ng""")
+def class_gradients(spark, d):
+    out = multiclass.class_gradients(X.lang_docs(spark, d), [1, 2, 3, 4], 2, learn.LearnConfig())
+    return out.select("ngram", "support", *[R(f"class{k}", f"class{k}") for k in (1, 2, 3, 4)])
+
+
+@_register("one_vs_rest_models")
+def one_vs_rest_models(spark, d):
+    """Two learning steps for each language, scored and chosen among."""
+    docs = X.lang_docs(spark, d)
+    models = multiclass.learn_classes(docs, [1, 2, 3, 4], learn.LearnConfig(maxpat=2, max_iterations=2, convergence=-1.0))
+    chosen = multiclass.argmax(multiclass.score_classes(docs, models), ["doc_id"])
+    return docs.select("doc_id", "label").join(chosen, "doc_id")
+
+
+@_register("positional_zip", """with a as (select row_number() over (order by doc_id) place, doc_id, n_chars from documents), b as (select row_number() over (order by doc_id) place, doc_id, quality from labels)
+select a.doc_id, n_chars, b.doc_id right_doc_id, quality right_quality from a join b using (place)""")
+def positional_zip(spark, d):
+    left = X.table(spark, d, "documents").select("doc_id", "n_chars")
+    return evaluate.zip_rows(left, X.table(spark, d, "labels").select("doc_id", "quality"), "doc_id").drop("place")
+
+
+@_register("normalised_loss_curve", f"""with lo(c, iteration, loss) as (values {X.values(X.LOG)}) select c "class", iteration, {q('loss / max(loss) over (partition by c)')} relative, {q('lag(loss) over (partition by c order by iteration) - loss')} change from lo""")
+def normalised_loss_curve(spark, d):
+    log = spark.createDataFrame(X.LOG, "class int, iteration int, loss double")
+    return evaluate.loss_curve(log).select("class", "iteration", R("relative", "relative"), R("change", "change"))
+
+
+@_register("iteration_log", f"with lo(c, iteration, loss) as (values {X.values(X.LOG)}) select c \"class\", max(iteration) iterations, {q('min(loss)')} loss from lo group by c")
+def iteration_log(spark, d):
+    log = spark.createDataFrame(X.LOG, "class int, iteration int, loss double")
+    return log.groupBy("class").agg(F.max("iteration").alias("iterations"), R(F.min("loss"), "loss"))
+
+
+# --- generator and baselines -----------------------------------------------------------------------------------------
+
+
+@_register("toy_sequences")
+def toy_sequences(spark, d):
+    planted = generate.motifs(spark, 2, 5, seed=1)
+    return generate.toy_sequences(spark, 200, 50, 4, planted, seed=1).select("doc_id", "seq", R("y", "y"), F.array_join("contains", " ").alias("contains"), "test")
+
+
+@_register("motif_recovery")
+def motif_recovery(spark, d):
+    planted = generate.motifs(spark, 2, 5, seed=1)
+    docs = materialise(generate.toy_sequences(spark, 400, 50, 4, planted, seed=1), "toy")
+    learned = learn.learn(docs, learn.LearnConfig(maxpat=6, max_iterations=6, minsup=3))
+    return generate.recovered(planted, learned.model.rules(spark))
+
+
+@_register("ngram_vectoriser", f"with {X.CHAR_DOCS} select doc_id, count(*) n_features from ({grams_sql((1, 2))}) group by doc_id")
+def ngram_vectoriser(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows, _ = baselines.vectorise(X.char_docs(spark, d), range(1, 3))
+    return rows.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_features"))
+
+
+def _baseline(kind: str):
+    def run(spark, d):
+        docs = X.char_docs(spark, d)
+        rows, names = baselines.vectorise(docs, range(1, 2))
+        rows = materialise(rows.select("doc_id", "y", "features"), "features")
+        fitted = baselines.fit(kind, rows, rows.count())
+        return fitted.transform(rows).select("doc_id", F.col("prediction").alias("score"))
+
+    return run
+
+
+for _kind in ("ols", "ridge", "enet"):
+    _register(f"{_kind}_baseline")(_baseline(_kind))
+
+
+@_register("svr_baseline")
+def svr_baseline(spark, d):
+    docs = X.char_docs(spark, d)
+    rows, names = baselines.vectorise(docs, range(1, 2))
+    rows = materialise(baselines.sparse(rows.select("y", "features")), "features")
+    w, b = baselines.svr(rows, rows.count(), size=len(names))
+    return spark.createDataFrame([(g, float(x)) for g, x in [*zip(names, w, strict=True), (model.INTERCEPT, b)]], "ngram string, weight double")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Learn three rules on the documents and score them."""
+    docs = X.char_docs(spark, sf_dir)
+    learned = learn.learn(docs, learn.LearnConfig(maxpat=MAXPAT, max_iterations=3, convergence=-1.0))
+    return learned.model.transform(docs).select("doc_id", "y", "score", "n_rules")
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
