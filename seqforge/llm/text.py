@@ -27,6 +27,14 @@ def chunks(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+#: Rows of an Arrow batch that goes to Python. Texts may be long, so the usual 10,000 rows are too many.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def byte_values(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each row, one at a time; a null counts as empty."""
     column = pc.cast(column, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
@@ -38,6 +46,7 @@ def byte_values(column: pa.Array) -> Iterator[bytes]:
 def arrow_column(fn: Callable[[pa.Array], pa.Array], kind: str, *columns: Column) -> Column:
     """``fn`` over Arrow batches of ``columns``; rows stay in their order, and other columns stay in the JVM."""
     ship_package(SparkSession.active())
+    bound_batches(SparkSession.active())
     if len(columns) == 1:
 
         def one(a: pa.Array) -> pa.Array:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from seqforge.llm.text import arrow_column, byte_values, chunks
 
 #: Subsequence length, decay, the most landmarks, and units that a worker remembers.
-ORDER, DECAY, MAX_LANDMARKS, CACHE_UNITS = 3, 0.8, 128, 300_000
+ORDER, DECAY, MAX_LANDMARKS, CACHE_UNITS = 3, 0.8, 128, 150_000
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 _SPELLED = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:[a-z][ ._*-]+){2,}[a-z](?![a-z0-9\x80-\xff])")
 _MARKS = bytes(b for b in range(33, 128) if not (48 <= b <= 57 or 97 <= b <= 122))
