@@ -61,9 +61,12 @@ def gap_limits(total: int, run: int) -> tuple[int, int]:
     return total, total if run == 0 or run > total else run
 
 
-def mask_grams(toks: Column, mask: tuple[bool, ...], words: bool) -> Column:
-    """All n-grams of one mask in the order of their places, repeats included."""
+def mask_grams(toks: Column, mask: tuple[bool, ...], words: bool, bare_text: Column | None = None) -> Column:
+    """All n-grams of one mask in the order of their places, repeats included. ``bare_text``: the tokens as :func:`bare` has
+    them, in which a regular expression finds runs of characters much faster than an array is sliced."""
     n, sep = len(mask), " " if words else ""
+    if bare_text is not None and not words and not any(mask):
+        return F.regexp_extract_all(bare_text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
     def gram(i: Column) -> Column:
         if not any(mask):

@@ -65,11 +65,12 @@ def within_gaps(grams: DataFrame, total: int, run: int, words: bool = False) ->
 
 def grams_of(docs: DataFrame, size: int, words: bool = False, gaps: tuple[int, int] = (0, 0), toks: str | None = None) -> DataFrame:
     """``docs`` by distinct n-gram of one size, with ``parent``: the longest proper prefix that ends in a token. Repeats
-    inside a document are dropped in its own row, without a shuffle."""
+    inside a document are dropped in its own row, without a shuffle. A column ``bare`` of the documents is used where it is faster."""
     toks = T.tokens(F.col("seq"), words) if toks is None else F.col(toks)
+    bare = F.col("bare") if "bare" in docs.columns else None
     out = None
     for mask in T.masks(size, *T.gap_limits(*gaps)):
-        grams = F.explode(F.array_distinct(T.mask_grams(toks, mask, words))).alias("ngram")
+        grams = F.explode(F.array_distinct(T.mask_grams(toks, mask, words, bare))).alias("ngram")
         part = docs.select(*[c for c in docs.columns if c != "ngram"], grams)
         parent = max((i for i in range(1, size) if not mask[i - 1]), default=0)
         if words:

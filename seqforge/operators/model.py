@@ -69,14 +69,25 @@ def mask_of(ngram: str, words: bool) -> tuple[bool, ...]:
     return tuple(t == T.WILD for t in (ngram.split(" ") if words else ngram))
 
 
-def matches(docs: DataFrame, rules: DataFrame, words: bool = False) -> DataFrame:
-    """doc_id, ngram and weight of each distinct rule that a document holds. Documents explode into the distinct n-grams of
-    the rules' shapes (size and wildcards), and join the rules by equality; a table of rules is as small as the learning
-    that made it, and Spark broadcasts it by its size."""
-    shapes = sorted({mask_of(r[0], words) for r in rules.select("ngram").collect()})  # learned rules: driver-sized
-    docs = docs.select("doc_id", T.tokens(F.col("seq"), words).alias("toks"))
-    every = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.col("toks"), m, words) for m in shapes]))) if shapes else F.array().cast("array<string>")
-    return docs.select("doc_id", F.explode(every).alias("ngram")).join(rules.select("ngram", "weight"), "ngram")
+#: Rules up to which each is looked for in a document's text; more are joined with the document's n-grams.
+FEW_RULES = 500
+
+
+def matches(docs: DataFrame, rules: DataFrame, words: bool = False, few: int = FEW_RULES) -> DataFrame:
+    """doc_id, ngram and weight of each distinct rule that a document holds. A few rules are looked for in the text, in its
+    own row; for more, documents explode into the distinct n-grams of the rules' shapes (size and wildcards) and join the
+    rules by equality. Rules come from learning steps, so they fit the driver, and Spark broadcasts them by their size."""
+    known = rules.select("ngram", F.col("weight").cast("double").alias("weight")).collect()
+    if not known:
+        return docs.select("doc_id", F.lit("").alias("ngram"), F.lit(0.0).alias("weight")).limit(0)
+    if len(known) <= few:
+        bare = docs.select("doc_id", T.bare(F.col("seq"), words).alias("__bare"))
+        found = F.array(*[F.when(T.holds(F.col("__bare"), g, words), F.struct(F.lit(g).alias("ngram"), F.lit(w).alias("weight"))) for g, w in known])
+        return bare.select("doc_id", F.explode(F.array_compact(found)).alias("r")).select("doc_id", "r.ngram", "r.weight")
+    shapes = sorted({mask_of(g, words) for g, _ in known})
+    docs = docs.select("doc_id", T.tokens(F.col("seq"), words).alias("toks"), T.bare(F.col("seq"), words).alias("bare"))
+    every = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.col("toks"), m, words, F.col("bare")) for m in shapes])))
+    return docs.select("doc_id", F.explode(every).alias("ngram")).join(rules.select("ngram", "weight"), "ngram").select("doc_id", "ngram", "weight")
 
 
 def score(docs: DataFrame, rules: DataFrame, offset: float, words: bool = False, with_rules: bool = False) -> DataFrame:

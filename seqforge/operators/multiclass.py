@@ -22,7 +22,7 @@ def learn_classes(docs: DataFrame, classes: list[int], config: LearnConfig) -> d
 def class_gradients(docs: DataFrame, classes: list[int], size: int, config: LearnConfig) -> DataFrame:
     """The gradient of each n-gram of a size for all classes at f = 0, in one pass: a column for each class."""
     pulls = [L.pull(config.objective, one_vs_rest(F.col("label"), k), F.lit(0.0)).alias(f"g{k}") for k in classes]
-    rows = grams_of(docs.select(T.tokens(F.col("seq"), config.words).alias("toks"), *pulls), size, config.words, config.gaps, "toks")
+    rows = grams_of(docs.select(T.tokens(F.col("seq"), config.words).alias("toks"), T.bare(F.col("seq"), config.words).alias("bare"), *pulls), size, config.words, config.gaps, "toks")
     return rows.groupBy("ngram").agg(F.count("*").alias("support"), *[(-F.sum(f"g{k}")).alias(f"class{k}") for k in classes])
 
 

@@ -92,12 +92,12 @@ def best_ngram(state: DataFrame, config: SearchConfig, weights: dict[str, float]
     """The best n-gram of ``state`` (toks, g and what else). ``tau``: only a larger gradient counts; that of a former winner
     prunes from the start."""
     found, alive, size = Found(), None, 0
-    rows = state.select("toks", "g")
+    rows = state.select(*(c for c in ("toks", "bare", "g") if c in state.columns))
     best_abs = tau
     while size < config.maxpat:
         size += 1
         # only prefixes that survived are expanded; these tables are read by the next sizes as far as wildcards reach
-        grams = grams_of(rows, size, config.words, config.gaps, "toks").drop("toks")
+        grams = grams_of(rows, size, config.words, config.gaps, "toks").drop("toks", "bare")
         if alive is not None:
             grams = grams.join(alive, "parent", "left_semi")
         level = penalised(bounds(grams, ["ngram"]), weights, config)
@@ -129,6 +129,7 @@ def rank_all(state: DataFrame, config: SearchConfig, sizes: int) -> DataFrame:
     """Gradient, bounds and support of every n-gram up to a size, in one pass without pruning."""
     out = None
     for size in range(1, sizes + 1):
-        part = bounds(grams_of(state.select("toks", "g"), size, config.words, config.gaps, "toks").drop("toks", "parent"), ["ngram"]).withColumn("size", F.lit(size))
+        rows = state.select(*(c for c in ("toks", "bare", "g") if c in state.columns))
+        part = bounds(grams_of(rows, size, config.words, config.gaps, "toks").drop("toks", "bare", "parent"), ["ngram"]).withColumn("size", F.lit(size))
         out = part if out is None else out.unionByName(part)
     return out.where(F.col("support") >= config.minsup)

@@ -175,7 +175,7 @@ def shrunk_postings(spark, d):
 
 @_register("ngram_support", f"with {X.CHAR_DOCS} select ng ngram, count(*) support from ({grams_sql((1, 2, 3))}) group by ng having count(*) >= {MINSUP}")
 def ngram_support(spark, d):
-    docs = X.char_docs(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"))
+    docs = X.char_docs(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), F.col("seq").alias("bare"))
     out = None
     for size in (1, 2, 3):
         part = index.grams_of(docs, size, toks="toks").groupBy("ngram").agg(F.count("*").alias("support")).where(f"support >= {MINSUP}")
@@ -216,7 +216,7 @@ for _kind in L.OBJECTIVES:
     @_register(f"gradient_bounds_{_kind}", f"""with {X.SCORED}, g as (select doc_id, {_SQL[_kind][1]} g from s), p as ({grams_sql((1, 2))})
 select ng ngram, {q('-sum(g)')} gradient, {q('-sum(case when g > 0 then g else 0 end)')} upos, {q('-sum(case when g > 0 then 0 else g end)')} uneg, count(*) support from p join g using (doc_id) group by ng""")
     def _bounds(spark, d, kind=_kind):
-        state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), L.pull(kind, F.col("y"), F.col("score")).alias("g"))
+        state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), F.col("seq").alias("bare"), L.pull(kind, F.col("y"), F.col("score")).alias("g"))
         out = search.rank_all(state, search.SearchConfig(objective=kind), 2)
         return out.select("ngram", R("gradient", "gradient"), R("upos", "upos"), R("uneg", "uneg"), "support")
 
@@ -266,7 +266,7 @@ tau as (select max(round(abs(gr), 9)) t from b where sz = 1 and sup >= {MINSUP})
 select ng ngram, sz size, sup support from b, tau where sup >= {MINSUP} and round(greatest(abs(up), abs(un)), 9) > t""")
 def prune_survivors(spark, d):
     docs, _ = labelled.centre(X.char_docs(spark, d))
-    state = docs.select(T.char_tokens(F.col("seq")).alias("toks"), (2 * F.col("y")).alias("g"))
+    state = docs.select(T.char_tokens(F.col("seq")).alias("toks"), F.col("seq").alias("bare"), (2 * F.col("y")).alias("g"))
     level = materialise(search.rank_all(state, search.SearchConfig(minsup=MINSUP), 2), "bounds")
     tau = level.where("size = 1").agg(F.max(F.round(F.abs("gradient"), 9))).first()[0]
     reach = F.greatest(F.abs("upos"), F.abs("uneg"))
@@ -317,7 +317,7 @@ _C, _ALPHA = 1.0, 0.2
 select ng ngram, {q(f'g + {_C} * ({_ALPHA} * sign(weight) + {1 - _ALPHA} * weight)')} gradient, support from b join m on b.ng = m.ngram""")
 def regularised_gradient(spark, d):
     config = search.SearchConfig(c=_C, alpha=_ALPHA)
-    state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), L.pull("squared", F.col("y"), F.col("score")).alias("g"))
+    state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), F.col("seq").alias("bare"), L.pull("squared", F.col("y"), F.col("score")).alias("g"))
     level = search.penalised(search.rank_all(state, config, 3), dict(X.RULES), config)
     return level.where(F.col("ngram").isin([g for g, _ in X.RULES])).select("ngram", R("gradient", "gradient"), "support")
 
@@ -328,7 +328,7 @@ x as (select b.ng, up, un, {_C} * ({_ALPHA} * sign(weight) + {1 - _ALPHA} * weig
 select ng ngram, {q('greatest(max(abs(up)), max(abs(un)), max(abs(up + extra)), max(abs(un + extra)))')} reach from x group by ng""")
 def prefix_bound_correction(spark, d):
     config = search.SearchConfig(c=_C, alpha=_ALPHA)
-    state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), L.pull("squared", F.col("y"), F.col("score")).alias("g"))
+    state = X.scored(spark, d).select(T.char_tokens(F.col("seq")).alias("toks"), F.col("seq").alias("bare"), L.pull("squared", F.col("y"), F.col("score")).alias("g"))
     level = search.penalised(search.rank_all(state, config, 2), dict(X.RULES), config)
     affected = [p for g, _ in X.RULES for p in [*T.prefixes(g, False), g]]
     return level.where(F.col("ngram").isin(affected)).select("ngram", R("reach", "reach"))

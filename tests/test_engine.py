@@ -87,6 +87,16 @@ def test_wildcard_scores(spark):
     assert streamed == {k: v[0] for k, v in got.items()}
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_rules_joined_equal_rules_looked_for(spark, words):
+    rng = random.Random(1)
+    sep = " " if words else ""
+    docs = docs_of(spark, [(i, sep.join(rng.choice(["a", "b", "é", "😀", "."]) for _ in range(rng.randint(0, 12))), 0.0) for i in range(60)] + [(99, None, 0.0)])
+    rules = spark.createDataFrame([(sep.join(p), 0.5) for p in (["a"], ["a", "b"], ["😀", "é", "."], [".", T.WILD, "a"], ["a", "b", "é", "a"])], "ngram string, weight double")
+    few, many = model.matches(docs, rules, words), model.matches(docs, rules, words, few=0)
+    assert few.count() > 20 and few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
+
+
 def test_word_rules_do_not_join_words(spark):
     docs = docs_of(spark, [(1, "ab  c", 0.0), (2, "a bc", 0.0), (3, "x ab y c", 0.0)])
     m = model.SequenceModel([(1.0, "ab c"), (4.0, f"ab {T.WILD} c")], words=True, gaps=(1, 1))
