@@ -28,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": warc.ORACLE_SQL,
         "op3_decontamination": decontam.ORACLE_SQL,
+        "op5_near_duplicates": near_dup.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }
