@@ -44,19 +44,24 @@ def classification(found: DataFrame) -> DataFrame:
 
 
 def running(rows: DataFrame, key: str, values: list[str], descending: bool = False, parts: int = 64) -> DataFrame:
-    """``rows`` (distinct keys) with ``before_<value>`` for each value: its sum over the rows before, in the order of the key."""
+    """``rows`` (distinct keys) with ``before_<value>`` for each value: its sum over the rows before, in the order of the key,
+    and ``previous``: the key of the row before."""
     order = F.col(key).desc() if descending else F.col(key).asc()
     bounds = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
     part = F.lit(0)
     for b in bounds:
         part = part + F.when(F.col(key) > b, 1).otherwise(0)
     dealt = rows.withColumn("__part", -part if descending else part)
-    totals = dealt.groupBy("__part").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    end = F.min if descending else F.max
+    totals = dealt.groupBy("__part").agg(end(key).alias("__end"), *[F.sum(v).alias(f"__t_{v}") for v in values])
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows at most
-    starts = totals.select("__part", *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__s_{v}") for v in values])
-    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumns({f"__i_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).join(F.broadcast(starts), "__part")
-    return out.withColumns({f"before_{v}": F.col(f"__s_{v}") + F.col(f"__i_{v}") for v in values}).drop("__part", *[f"__{x}_{v}" for v in values for x in "si"])
+    starts = totals.select("__part", end("__end").over(earlier).alias("__last"), *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__s_{v}") for v in values])
+    placed = Window.partitionBy("__part").orderBy(order)
+    inside = placed.rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"__i_{v}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
+    out = dealt.withColumns({**sums, "__lag": F.lag(key).over(placed)}).join(F.broadcast(starts), "__part")
+    out = out.withColumns({**{f"before_{v}": F.col(f"__s_{v}") + F.col(f"__i_{v}") for v in values}, "previous": F.coalesce("__lag", "__last")})
+    return out.drop("__part", "__lag", "__last", *[f"__{x}_{v}" for v in values for x in "si"])
 
 
 def by_score(scored: DataFrame) -> DataFrame:
@@ -93,11 +98,8 @@ def tune(scored: DataFrame) -> DataFrame:
     """The threshold with the fewest errors (score > threshold is positive) among the midpoints of neighbouring distinct scores,
     below all (-inf) and above all (max + 1); ties to the lowest. One row: threshold and errors."""
     groups = running(by_score(scored), "score", ["p", "n"])
-    nearest = Window.orderBy("score")
     total = groups.agg(F.sum("n").alias("N"), F.max("score").alias("top"), F.sum("p").alias("P"))
-    # the next score down; groups are distinct scores, sorted once
-    cuts = groups.select("score", "before_p", "before_n", F.lag("score").over(nearest).alias("below"))
-    cuts = cuts.crossJoin(F.broadcast(total))
+    cuts = groups.select("score", "before_p", "before_n", F.col("previous").alias("below")).crossJoin(F.broadcast(total))  # one row
     threshold = F.when(F.col("below").isNull(), F.lit(float("-inf"))).otherwise((F.col("below") + F.col("score")) / 2)
     errors = F.col("before_p") + F.col("N") - F.col("before_n")
     above = total.select((F.col("top") + 1).alias("threshold"), F.col("P").alias("errors"))
@@ -149,4 +151,4 @@ def zip_rows(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, order: str) -> DataFrame:
-    return running(rows.withColumn("__one", F.lit(1)), order, ["__one"]).withColumn("place", F.col("before___one") + 1).drop("__one", "before___one")
+    return running(rows.withColumn("__one", F.lit(1)), order, ["__one"]).withColumn("place", F.col("before___one") + 1).drop("__one", "before___one", "previous")

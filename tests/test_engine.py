@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import pytest
@@ -201,8 +202,17 @@ def test_area_of_one_class_is_zero(spark):
 
 def test_running_sums_over_many_parts(spark):
     rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-    got = {r.k: r.before_v for r in evaluate.running(rows, "k", ["v"], descending=True).collect()}
-    assert got == {i: 999 - i for i in range(1000)}
+    got = {r.k: (r.before_v, r.previous) for r in evaluate.running(rows, "k", ["v"], descending=True).collect()}
+    assert got == {i: (999 - i, i + 1 if i < 999 else None) for i in range(1000)}
+    assert {r.k: r.previous for r in evaluate.running(rows, "k", ["v"]).collect()} == {i: i - 1 if i else None for i in range(1000)}
+
+
+def test_shared_folder_is_cleared(spark):
+    from seqforge.session import clear_shared, materialise, shared_dir
+
+    materialise(spark.range(3), "x")
+    clear_shared(spark)
+    assert not os.path.exists(shared_dir(spark).removeprefix("file://") + "/seqforge")
 
 
 def test_folds_are_stratified(spark):
