@@ -31,6 +31,8 @@ MORE = [
     ("prefixed", "gh[pousr]_|xox[abprs]-|[sr]k_live_", r"(?:gh[pousr]_|xox[abprs]-|[sr]k_live_)[A-Za-z0-9_-]{16,}", 0, 20),
     ("bearer", "eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
 ]
+#: Finds up to which the counted table of spans is broadcast (some 20 MB at most); a larger one is joined by a shuffle.
+BROADCAST_FINDS = 200_000
 #: Owners from which on a value is a widely copied example.
 WIDE = 3
 
@@ -87,6 +89,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     span = F.struct("start", _rank(F.col("kind"), kinds).alias("rank"), "kind", "end", is_base.alias("base"), "owners", "repos", F.when(live, "live").otherwise("example").alias("verdict"))
     spans = judged.where(is_base | live).groupBy("__id", "__text").agg(F.array_sort(F.collect_set(span)).alias("secrets"))
     spans = spans.withColumnsRenamed({"__id": "__id2", "__text": "__text2"})
+    if finds.count() <= BROADCAST_FINDS:
+        spans = F.broadcast(spans)
     out = docs.drop("secrets").withColumn("__text", F.xxhash64(text))
     out = out.join(spans, F.col(id_col).eqNullSafe(F.col("__id2")) & (F.col("__text") == F.col("__text2")), "left")
     empty = F.array().cast(spans.schema["secrets"].dataType)
