@@ -1,7 +1,8 @@
 """License scans with a positional index of rare words.
 
-Each template (a notice, below) is posted word by word as (template, position). A file is looked up by the licence
-words of highest inverse document frequency that it holds; postings of one template that agree on the difference
+Each template (a notice, below) posts its words of highest inverse document frequency as (template, position): as many
+as it takes that all its other words weigh less than ``least`` of it together, so that no alignment without one of them
+can count. A file is looked up by all of these that it holds; postings of one template that agree on the difference
 between file and template position make an alignment, whose matched share of the template's weight is its score; an
 alignment counts when the score reaches ``least`` and every mandatory key phrase of the template stands in the file.
 Document frequencies are counted over all files. Base phrases are found besides, in every file, and always stay.
@@ -45,31 +46,37 @@ _PLACE = pa.struct([("label", pa.string()), ("start", pa.int64())])
 class Index:
     """Postings of the templates' words, weighted by rarity in the corpus."""
 
-    def __init__(self, df: dict[bytes, int], n_docs: int, templates=None, base=None, rare: int = 6, least: float = 0.6):
+    def __init__(self, df: dict[bytes, int], n_docs: int, templates=None, base=None, least: float = 0.6):
         self.templates = [(label, words(t.encode()), [b" " + b" ".join(words(k.encode())) + b" " for k in keys]) for label, t, keys in (TEMPLATES if templates is None else templates)]
         self.base = [(b" " + b" ".join(words(p.encode())) + b" ", label) for p, label in (BASE if base is None else base).items()]
         self.idf = {w: math.log((1 + n_docs) / (1 + df.get(w, 0))) + 1e-6 for _, t, _ in self.templates for w in t}
-        self.rare, self.least = rare, least
+        self.least = least
+        self.total = [sum(self.idf[w] for w in t) for _, t, _ in self.templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, t, _) in enumerate(self.templates):
+            starts = self.starts(k)
             for i, w in enumerate(t):
-                self.postings[w].append((k, i))
+                if w in starts:
+                    self.postings[w].append((k, i))
         self.postings = dict(self.postings)
-        self.total = [sum(self.idf[w] for w in t) for _, t, _ in self.templates]
-        #: A template can reach ``least`` only if one of its words above this weight stands in the file; words that are
-        #: in most files start no look-up.
-        self.starts = {w for _, t, _ in self.templates for w in sorted(set(t), key=lambda w: -self.idf[w])[:rare]}
+
+    def starts(self, k: int) -> set[bytes]:
+        """The rarest words of a template without which it can't reach ``least``; words that are in most files are
+        seldom among them."""
+        template, chosen = self.templates[k][1], set()
+        rest, enough = self.total[k], self.least * self.total[k] * (1 - 1e-9)
+        for w in sorted(set(template), key=lambda w: (-self.idf[w], w)):
+            if rest < enough:
+                break
+            chosen.add(w)
+            rest -= self.idf[w] * template.count(w)
+        return chosen
 
     def aligned(self, text: list[bytes]) -> dict[int, float]:
-        """The best alignment's score of each template that the file's rarest licence words point to."""
-        present = self.starts.intersection(text)
-        if not present:
+        """The best alignment's score of each template that has a start word in the file."""
+        if self.postings.keys().isdisjoint(text):
             return {}
-        rarest = set(sorted(present, key=lambda w: (-self.idf[w], w))[: self.rare])
-        votes: set[tuple[int, int]] = set()
-        for i, w in enumerate(text):
-            if w in rarest:
-                votes.update((k, i - j) for k, j in self.postings[w])
+        votes = {(k, i - j) for i, w in enumerate(text) if w in self.postings for k, j in self.postings[w]}
         best: dict[int, float] = {}
         for k, offset in votes:
             template = self.templates[k][1]
@@ -121,11 +128,11 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
     return {w.encode(): n for w, n in counts.items()}, n_docs
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", templates=None, base=None, rare: int = 6, least: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", templates=None, base=None, least: float = 0.6) -> DataFrame:
     """``docs`` with ``license``: n_words, places (label and first word of each base phrase), labels (sorted), score."""
     vocabulary = {w for _, t, _ in (TEMPLATES if templates is None else templates) for w in words(t.encode())}
     df, n_docs = document_frequencies(docs, vocabulary, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(Index(df, n_docs, templates, base, rare, least))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(df, n_docs, templates, base, least))
 
     def find(texts: pa.Array) -> pa.Array:
         n, places, labels, scores = [], [], [], []

@@ -203,6 +203,25 @@ def test_license_scan(spark, docs, none):
     assert license_scan.report(none).count() == 0
 
 
+def test_license_scan_of_files_with_several_notices():
+    df = {b"apache": 57, b"2": 57, b"4": 63, b"cc": 63, b"nc": 63, b"released": 63, b"gnu": 79, b"general": 79, b"public": 79, b"work": 79, b"the": 6000, b"under": 900}
+    index = license_scan.Index(df, 10_000)
+    notice = {label: t for label, t, _ in reversed(license_scan.TEMPLATES)}
+    whole = " x ".join(t for _, t, _ in license_scan.TEMPLATES)
+    assert index.scan(" y ".join(notice[x] for x in ("mit", "apache-2", "cc-by-nc", "gpl")).encode())[2] == {"mit", "apache-2", "cc-by-nc", "gpl"}
+    assert index.scan(whole.encode())[2] == {label for label, _, _ in license_scan.TEMPLATES}
+    rng = random.Random(4)
+    for _ in range(300):  # every alignment that reaches the least share, against all offsets; words go missing at random
+        text = [w if rng.random() < 0.75 else b"z" for w in words(whole.encode())]
+        got = {k: v for k, v in index.aligned(text).items() if v >= index.least}
+        want = {}
+        for k, (_, t, _) in enumerate(index.templates):
+            hits = (sum(index.idf[w] for j, w in enumerate(t) if 0 <= o + j < len(text) and text[o + j] == w) for o in range(-len(t), len(text)))
+            if (v := max(hits) / index.total[k]) >= index.least:
+                want[k] = v
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
