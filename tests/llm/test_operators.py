@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -275,6 +276,28 @@ def test_near_duplicates_of_a_large_family(spark):
     assert got == {i: least[c] for (i, _), c in zip(rows, comp)}
 
 
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_shingles_of_any_size(size):
+    known, a, b = near_dup.WordHashes(), b"a b c d e f g h".split(), b"x a b c d e f g".split()
+    for ws in (a, a[:2], a[:1], a * 2):
+        want = {tuple(ws[i : i + size]) for i in range(max(1, len(ws) - size + 1))}
+        assert len(near_dup.shingle_hashes(ws, known, size)) == len(want) == len(near_dup.shingle_set(b" ".join(ws), size))
+    both = set(near_dup.shingle_hashes(a, known, size).tolist()) & set(near_dup.shingle_hashes(b, known, size).tolist())
+    assert len(both) == len(near_dup.shingle_set(b" ".join(a), size) & near_dup.shingle_set(b" ".join(b), size)) == 8 - size
+
+
+def test_pipeline_keeps_texts_that_only_share_pairs_of_words(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+    loose = [f"y{i}" if i % 20 == 10 else w for i, w in enumerate(base)]  # 0.8 or more on two words, below it on five
+    close = [*base[:-1], "z"]
+    sets = [[{tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (base, loose, close)] for k in (2, 5)]
+    assert [len(x[0] & x[1]) / len(x[0] | x[1]) >= 0.8 for x in sets] == [True, False]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate((base, loose, close))]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1]
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)]
     got = {r.node: r.comp for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
