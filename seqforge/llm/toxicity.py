@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqforge.llm.near_dup import WordHashes, lanes, shingle_hashes
 from seqforge.llm.text import arrow_column, byte_values, chunks
 
 #: Subsequence length, decay, the most landmarks, and units that a worker remembers.
@@ -175,51 +176,91 @@ def pieces(unit: bytes, least: int = 4, most: int = 12):
                 yield word[i : i + size]
 
 
+def families(texts: list[bytes]) -> list[set[bytes]]:
+    """The units of each text, those of near copies (as a rule from a similarity of 0.8) together."""
+    known, of_band, same, out = WordHashes(), {}, {}, []
+    for t in dict.fromkeys(texts):
+        if not (units := chunks(t)):
+            continue
+        bands = list(enumerate(map(bytes, lanes(shingle_hashes(units, known), 0, 128).reshape(16, 8))))
+        family = min((of_band[b] for b in bands if b in of_band), default=len(out))
+        if family == len(out):
+            out.append(set())
+        out[family].update(same.setdefault(u, u) for u in units)
+        of_band.update(dict.fromkeys(bands, family))
+    return out
+
+
+class Pieces:
+    """Pieces of the units that tell toxic texts from clean ones, with the toxic texts that hold them. Texts are
+    sets of units."""
+
+    def __init__(self, toxic: list[set[bytes]], clean: list[set[bytes]]):
+        self.n_toxic, self.n_clean = len(toxic), len(clean)
+        own: dict[bytes, list[int]] = defaultdict(list)
+        for i, t in enumerate(toxic):
+            for u in t:
+                own[u].append(i)
+        self.other: Counter[bytes] = Counter()
+        for t in clean:
+            self.other.update(t)
+        #: The texts of the units that no landmark covers yet.
+        self.left = {u: n for u, n in own.items() if len(n) >= 2 and self.other[u] * len(toxic) <= 0.02 * len(n) * len(clean)}
+        self.covers: dict[bytes, list[bytes]] = defaultdict(list)
+        for u in self.left:
+            for p in set(pieces(u)):
+                self.covers[p].append(u)
+        self.everything = b" " + b" ".join(self.other) + b" "
+
+    def texts(self, p: bytes) -> int:
+        """In how many toxic texts the units that ``p`` newly covers stand."""
+        return len(set().union(*(self.left.get(u, ()) for u in self.covers[p])))
+
+    def is_rare(self, p: bytes, texts: int) -> bool:
+        """Whether the share of clean texts that have ``p`` in a unit is at most a hundredth of that of toxic ones."""
+        n, enough, at = 0, 0.01 * texts / self.n_toxic * self.n_clean, self.everything.find(p)
+        while at >= 0 and n <= enough:
+            end = self.everything.index(b" ", at)
+            n += self.other[self.everything[self.everything.rindex(b" ", 0, at) + 1 : end]]
+            at = self.everything.find(p, end)
+        return n <= enough
+
+    def noise(self) -> int:
+        """The most texts of a piece that could be a landmark."""
+        for texts, p in sorted(((self.texts(p), p) for p in self.covers), reverse=True):
+            if self.is_rare(p, texts):
+                return texts
+        return 0
+
+
 def choose_landmarks(toxic: list[bytes], clean: list[bytes], most: int = MAX_LANDMARKS) -> list[bytes]:
     """Greedy cover of the units that tell toxic texts from clean ones by pieces of them: each time the piece with the
-    largest product of the texts of the units that it newly covers and its length beyond two."""
-    own: Counter[bytes] = Counter()
-    for t in toxic:
-        own.update(set(chunks(t)))
-    other: Counter[bytes] = Counter()
-    for t in clean:
-        other.update(set(chunks(t)))
-    telling = {u: n for u, n in own.items() if n >= 2 and other[u] * len(toxic) <= 0.02 * n * len(clean)}
-    covers: dict[bytes, set[bytes]] = defaultdict(set)
-    for u in telling:
-        for p in set(pieces(u)):
-            covers[p].add(u)
-    least = max(3, len(toxic) // 50)
-    everything = b" " + b" ".join(other) + b" "
-
-    def clean_share(p: bytes, enough: float) -> float:
-        """The share of clean texts that have ``p`` in a unit, or a share above ``enough``."""
-        n, at = 0, everything.find(p)
-        while at >= 0 and n <= enough * len(clean):
-            end = everything.index(b" ", at)
-            n += other[everything[everything.rindex(b" ", 0, at) + 1 : end]]
-            at = everything.find(p, end)
-        return n / len(clean)
-
+    largest product of the texts of the units that it newly covers and its length beyond two. Near copies count once.
+    A piece needs three texts, and more than any piece has by chance: than the best one that tells a part of the clean
+    texts from the others, dealt at random in the proportion of toxic to clean."""
+    toxic, clean = families(toxic), families(clean)
+    dealt = np.random.default_rng(0).permutation(len(clean)).tolist()
+    part = len(clean) * len(toxic) // (len(toxic) + len(clean))
+    least = 3
+    if 0 < part < len(clean):
+        least = max(least, 1 + Pieces([clean[i] for i in dealt[:part]], [clean[i] for i in dealt[part:]]).noise())
+    found = Pieces(toxic, clean)
     out: list[bytes] = []
-    left = dict(telling)
-    gain = lambda p: sum(left.get(u, 0) for u in covers[p])
-    gains = {p: g * (len(p) - 2) for p in covers if (g := gain(p)) >= least}
+    gains = {p: g * (len(p) - 2) for p in found.covers if (g := found.texts(p)) >= least}
     while len(out) < most and gains:
         best = max(gains, key=lambda p: (gains[p], len(p), p))
         # gains only fall, so a piece whose renewed gain is still the largest is the best
-        texts = gain(best)
+        texts = found.texts(best)
         if texts < least:
             del gains[best]
         elif texts * (len(best) - 2) < gains[best]:
             gains[best] = texts * (len(best) - 2)
         else:
             del gains[best]
-            share = 0.01 * texts / len(toxic)
-            if clean_share(best, share) <= share:
+            if found.is_rare(best, texts):
                 out.append(best)
-                for u in covers[best]:
-                    left.pop(u, None)
+                for u in found.covers[best]:
+                    found.left.pop(u, None)
     return out
 
 

@@ -461,6 +461,23 @@ def test_toxicity(spark, docs, none):
     assert {r.predicted for r in toxicity.report(df, lab.limit(0)).collect()} == {0}
 
 
+def labelled_texts(insults, n_toxic, n_clean):
+    rng, vocab = random.Random(8), vocabulary(9, 300)
+    out = [[rng.choice(vocab) for _ in range(rng.randint(5, 40))] for _ in range(n_toxic + n_clean)]
+    for i, ws in enumerate(out[:n_toxic]):
+        ws.insert(rng.randrange(len(ws) + 1), insults[i % len(insults)])
+    return [" ".join(ws).encode() for ws in out[:n_toxic]], [" ".join(ws).encode() for ws in out[n_toxic:]]
+
+
+def test_toxicity_of_many_rare_insults():
+    rng = random.Random(12)
+    insults = ["".join(rng.choice("qrstuvwxyz") for _ in range(8)) for _ in range(100)]
+    toxic, clean = labelled_texts(insults, 1000, 2000)
+    model = toxicity.train(toxic, clean[:1800])
+    assert (model.scores([f"so {z} there".encode() for z in insults]) > 0.5).all()
+    assert (model.scores(clean[1800:]) > 0.5).mean() < 0.02
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 
 
