@@ -1,25 +1,28 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join; DataFrame operations only.
 
-A listed entry is a host and a path prefix. A url's possible entries are its host and all parent domains, each with the
-prefixes of its path that have the length of a listed one. Each possible entry is looked up in the filter (one 64-bit
-block by the hash's upper half, four bits of it by the lower half); what passes is joined with the list by equality,
-which removes false positives, and the longest entry wins (ties: the longer host, then block).
+A listed entry is a host and a path prefix, canonical if the host is in lower case and the path begins with a slash;
+entries are brought to this form. The filter (:mod:`seqforge.llm.bloom`) holds the listed hosts and the listed entries, and
+grows with the list. A url's host gives as possible hosts only those parent domains that have as many labels as some listed
+host, so a host of many labels makes few. Those that the filter may hold go on: each is put before the prefixes of the
+path that have the length of a listed one with as many labels, and is looked up again. What passes is joined with the
+list by equality, which removes false positives, and the longest entry wins (ties: the longer host, then block).
 
 Defined results: host and path of a null url, or one without ``://``, are empty, its rule is null and its verdict the
-default; pages that repeat get a row each; an empty list gives the default everywhere; extra columns pass through, and
-columns of the added names are replaced.
+default; pages that repeat get a row each; an empty list gives the default everywhere; listed entries that are null take no
+part; very long urls are judged whole; an empty table gives no rows; extra columns pass through, and columns of the added
+names are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqforge.llm import bloom
+from seqforge.session import materialise
+
 #: The rules of the report.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: Bits for each listed entry, and the most 64-bit blocks of the filter, which is a literal of the plan (512 KB); a
-#: longer list makes it less selective, and the join does the rest.
-BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,57 +34,36 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, parts, 1), _UPPER, _LOWER), F.regexp_extract(rest, parts, 2)
 
 
-def _block(key_hash: Column, blocks: int) -> Column:
-    return F.shiftrightunsigned(key_hash, 32).bitwiseAND(F.lit(blocks - 1)).cast("int")
-
-
-def _mask(key_hash: Column) -> Column:
-    mask = F.lit(0).cast("long")
-    for k in range(4):
-        bit = F.shiftrightunsigned(key_hash, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return mask
-
-
-def bloom(keys: DataFrame) -> list[int]:
-    """The filter's blocks, for the column ``key``."""
-    n = keys.count()
-    blocks = 64
-    while blocks < MAX_BLOCKS and blocks * 64 < n * BITS_PER_KEY:
-        blocks *= 2
-    h = F.xxhash64("key")
-    out = [0] * blocks
-    for k, mask in keys.groupBy(_block(h, blocks).alias("b")).agg(F.bit_or(_mask(h))).collect():  # MAX_BLOCKS rows at most
-        out[k] = mask
-    return out
-
-
-def might_hold(blocks: list[int], key: Column) -> Column:
-    h = F.xxhash64(key)
-    word = F.get(F.array(*[F.lit(b).cast("long") for b in blocks]), _block(h, len(blocks)))
-    return word.bitwiseAND(_mask(h)) == _mask(h)
-
-
-def rules_frame(spark, rules) -> DataFrame:
-    rows = [(v, r, r.split("/", 1)[0], "/" + r.split("/", 1)[1]) for v, r in rules]
-    return spark.createDataFrame(rows, "verdict string, rule string, host string, path string")
+def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    """verdict, rule, host and path of literal rules (verdict, rule)."""
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("rule")) for v, r in rules])
+    listed = spark.range(1).select(F.inline(rows))
+    at = F.instr("rule", "/")
+    return listed.select("verdict", "rule", F.substring("rule", F.lit(1), at - 1).alias("host"), F.substring("rule", at, F.length("rule")).alias("path"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule and verdict. ``rules``: verdict, rule, host (lower case) and path, any number."""
-    keyed = rules.select(F.concat("host", "path").alias("key"), "rule", "verdict", F.length("host").alias("n_host"), F.length("path").alias("n_path"))
-    blocks = bloom(keyed.select("key").distinct())
-    lengths = sorted(r[0] for r in keyed.select("n_path").distinct().collect())  # path lengths: as many as a url is long at most
+    """``pages`` with host, path, rule and verdict. ``rules``: verdict, rule, host and path, any number."""
+    low = F.translate("host", _UPPER, _LOWER)
+    listed = rules.where("host is not null and path is not null").select(low.alias("h"), F.when(F.startswith("path", F.lit("/")), F.col("path")).otherwise(F.concat(F.lit("/"), "path")).alias("p"), "rule", "verdict")
+    listed = materialise(listed.select(F.concat("h", "p").alias("key"), "h", "rule", "verdict", F.length("h").alias("n_host"), F.length("p").alias("n_path"), F.size(F.split("h", r"\.")).alias("labels")), "listed")
+    # distinct numbers of labels, and the path lengths of each: no more than a host has labels and a url characters
+    sizes = listed.groupBy("labels").agg(F.sort_array(F.collect_set("n_path")).alias("lengths")).orderBy("labels").collect()
+    filter_ = bloom.build(listed.select("key").unionByName(listed.select(F.col("h").alias("key"))))
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(url_col).alias("__url")).where(F.col("__url").isNotNull()).distinct()
     h, p = host_and_path(F.col("__url"))
-    urls = urls.select("__url", F.split(h, r"\.").alias("labels"), p.alias("p"))
-    domains = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda n: n <= F.length("p")), lambda n: F.substring("p", F.lit(1), n))
-    keys = F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda q: F.concat(d, q))))
-    possible = urls.select("__url", F.explode(F.filter(keys, lambda k: might_hold(blocks, k))).alias("key"))
+    urls = urls.select("__url", h.alias("h"), p.alias("p"))
+    n = F.length("h") - F.length(F.replace("h", F.lit("."), F.lit(""))) + 1
+    kind = "array<struct<labels:int,domain:string,lengths:array<int>>>"
+    domains = F.array(*[F.struct(F.lit(r["labels"]).alias("labels"), F.substring_index("h", ".", -r["labels"]).alias("domain"), F.array(*[F.lit(x) for x in r["lengths"]]).cast("array<int>").alias("lengths")) for r in sizes]).cast(kind)
+    domains = urls.select("__url", "p", F.explode(F.filter(domains, lambda d: d["labels"] <= n)).alias("d")).select("__url", "p", "d.domain", "d.lengths")
+    domains = filter_.flag(domains, F.col("domain")).where("__maybe").drop("__maybe")
+    prefixes = F.transform(F.filter("lengths", lambda k: k <= F.length("p")), lambda k: F.substring("p", F.lit(1), k))
+    keys = domains.select("__url", "domain", F.explode(prefixes).alias("q")).select("__url", F.concat("domain", "q").alias("key"))
+    possible = filter_.flag(keys, F.col("key")).where("__maybe").drop("__maybe")
     order = F.struct(F.col("n_host") + F.col("n_path"), F.col("n_host"), F.col("verdict"))
-    best = possible.join(keyed, "key").groupBy("__url").agg(F.max_by(F.struct("rule", "verdict"), order).alias("__best"))
+    best = possible.join(listed.drop("h", "labels"), "key").groupBy("__url").agg(F.max_by(F.struct("rule", "verdict"), order).alias("__best"))
     out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     out = out.join(best, F.col(url_col) == F.col("__url"), "left").drop("__url")
     return out.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce(F.col("__best.verdict"), F.lit(default))}).drop("__best")
