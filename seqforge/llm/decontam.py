@@ -1,84 +1,141 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 A pattern is a window of ``window`` consecutive words of a benchmark item (an item of fewer words, but not none, is
-one window). Windows of one length form a matcher: a table of shifts for blocks of words skips positions at which no
-window can end; where the shift is zero, the bucket of the block, split by the window's first word, gives the windows
-that may stand there, and these are compared word by word.
+one window). Windows of one length form a matcher: a table of shifts, looked up by a hash of a block of words, skips
+positions at which no window can end (blocks that share a place in the table keep the smallest shift, so nothing is
+missed); where the shift is zero, the windows whose last block has the same hash are selected, and these are compared
+with the text directly, byte by byte. A matcher is a few numpy arrays beside the benchmark's words: some 25 bytes a window.
+
+A benchmark is taken in parts of about ``part_bytes`` of text; a worker holds the matchers of one part. Further parts are
+jobs of their own over the table that the one before has written. Long items are cut into pieces that overlap by a window
+less a word before anything comes to the driver, so that no part is larger than stated.
 
 Defined results: null and empty texts have no words and no hits; items that are null, empty or without an id take no
-part; items that repeat count once for an id; documents that repeat get a row each; extra columns pass through, and
-columns of the added names are replaced.
+part; items that repeat count once for an id; documents that repeat get a row each; very long texts are searched whole;
+an empty table gives no rows, and an empty benchmark no hits; extra columns pass through, and a column of the added name
+is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.llm.text import arrow_column, byte_values, struct_array, words
+from seqforge.session import materialise
 
-#: Benchmark text that one broadcast may hold; a larger benchmark is searched for in several passes, each over a part.
-PART_BYTES = 16 << 20
+#: Benchmark text of one part (its matchers are some 8 times as large), and words of a piece of a long item.
+PART_BYTES, PIECE_WORDS = 4 << 20, 4096
+#: Words that a worker remembers with their hashes.
+CACHE_WORDS = 100_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 KIND = "struct<n_words: bigint, n_hit: bigint, spans: array<struct<start: bigint, end: bigint>>, items: array<string>>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def word_hashes(text: list[bytes], known: WordHashes) -> np.ndarray:
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, text), np.uint64, len(text))
+
+
+def block_hashes(hashes: np.ndarray, block: int) -> np.ndarray:
+    """A hash of each run of ``block`` words, at the place of its last word less ``block - 1``."""
+    n = len(hashes) - block + 1
+    out = hashes[:n].copy()
+    for i in range(1, block):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + hashes[i : i + n]
+    return (out ^ (out >> np.uint64(32))) * _MIX
+
+
 class WuManber:
-    """Finds all occurrences of word tuples of one length."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.size = len(next(iter(patterns)))
-        self.block = min(3, self.size)
-        self.most = self.size - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-        for pattern, items in patterns.items():
-            for end in range(self.block, self.size + 1):
-                key = pattern[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.most), self.size - end)
-            self.buckets[pattern[-self.block :]][pattern[0]].append((list(pattern), items))
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
-
-    def find(self, text: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """The start of each occurrence, and the items of its window."""
-        size, block, most, shift, i = self.size, self.block, self.most, self.shift, self.size
-        while i <= len(text):
-            key = tuple(text[i - block : i])
-            step = shift.get(key, most)
-            if step:
+    """Finds all occurrences of the windows of one length of items, given as (number, words)."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], size: int):
+        self.size, self.block = size, min(3, size)
+        self.most = size - self.block + 1
+        known = WordHashes()
+        text: list[bytes] = []
+        starts, owners = [], []
+        for number, item in items:
+            n = len(item) - size + 1
+            starts.append(np.arange(len(text), len(text) + n, dtype=np.int32))
+            owners.append(np.full(n, number, np.int32))
+            text += item
+        starts, owners = np.concatenate(starts), np.concatenate(owners)
+        #: All words one after another, and where each begins.
+        self.text = b" ".join(text)
+        self.at = np.cumsum([0, *(len(w) + 1 for w in text)]).astype(np.int64)
+        hashes = block_hashes(word_hashes(text, known), self.block)
+        bits = max(10, int(np.ceil(np.log2(8 * len(hashes) + 1))))
+        self.right = np.uint64(64 - bits)
+        self.shift = np.full(1 << bits, self.most, np.uint8 if self.most < 256 else np.int32)
+        for k in range(self.most):  # a block whose last word is k words before a window's end
+            np.minimum.at(self.shift, hashes[starts + self.most - 1 - k] >> self.right, k)
+        last = hashes[starts + self.most - 1]
+        order = np.argsort(last, kind="stable")
+        self.last, self.starts, self.owners = last[order], starts[order], owners[order]
+
+    def find(self, text: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The start of each occurrence, and the number of an item that has the window."""
+        if len(text) < self.size:
+            return
+        blocks = block_hashes(hashes, self.block)[self.most - 1 :]  # of each possible end of a window
+        shifts = self.shift[blocks >> self.right]
+        if shifts.all():
+            return
+        steps, i, ends = shifts.tolist(), 0, []
+        while i < len(steps):
+            if step := steps[i]:
                 i += step
-                continue
-            for pattern, items in self.buckets[key].get(text[i - size], ()):
-                if text[i - size : i] == pattern:
-                    yield i - size, items
-            i += 1
-
-
-def matchers(items: list[tuple[str, str]], window: int) -> list[WuManber]:
-    by_size: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        text_words = words(text.encode())
-        size = min(window, len(text_words))
-        for i in range(len(text_words) - size + 1 if size else 0):
-            by_size[size][tuple(text_words[i : i + size])].add(item)
-    return [WuManber(dict(patterns)) for _, patterns in sorted(by_size.items())]
-
-
-def scan(text: bytes, found: list[WuManber]) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """The number of words, the merged spans of words that are hit, and the items that occur."""
-    text_words = words(text)
-    hits: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for matcher in found:
-        for start, of in matcher.find(text_words):
-            hits.append((start, start + matcher.size))
-            items |= of
-    return len(text_words), merged(hits), items
+            else:
+                ends.append(i)
+                i += 1
+        low, high = (np.searchsorted(self.last, blocks[ends], side) for side in ("left", "right"))
+        for start, a, b in zip(ends, low.tolist(), high.tolist(), strict=True):
+            if a < b:
+                here = b" ".join(text[start : start + self.size])
+                for k in range(a, b):
+                    first = self.starts[k]
+                    if self.text[self.at[first] : self.at[first + self.size] - 1] == here:
+                        yield start, int(self.owners[k])
+
+
+class Matchers:
+    """The matchers of a part of a benchmark: pieces of items as (id, words)."""
+
+    def __init__(self, pieces: list[tuple[str, list[bytes]]], window: int):
+        self.items = sorted({item for item, _ in pieces})
+        number = {item: i for i, item in enumerate(self.items)}
+        by_size: dict[int, list[tuple[int, list[bytes]]]] = {}
+        for item, of in pieces:
+            if of:
+                by_size.setdefault(min(window, len(of)), []).append((number[item], of))
+        self.matchers = [WuManber(of, size) for size, of in sorted(by_size.items())]
+
+    def scan(self, text: bytes, known: WordHashes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """The number of words, the merged spans of words that are hit, and the items that occur."""
+        text_words = words(text)
+        hits: list[tuple[int, int]] = []
+        items: set[int] = set()
+        if self.matchers and text_words:
+            hashes = word_hashes(text_words, known)
+            for matcher in self.matchers:
+                for start, of in matcher.find(text_words, hashes):
+                    hits.append((start, start + matcher.size))
+                    items.add(of)
+        return len(text_words), merged(hits), {self.items[i] for i in items}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,31 +148,42 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in lists of about ``part_bytes``; each list is taken alone, so the driver never holds more."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def pieces_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """item (string) and piece (array of words): the items' words in runs of PIECE_WORDS, and ``window - 1`` words more."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id is not null and text is not null")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = items.select("item", F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)).alias("ws")).where(F.size("ws") > 0)
+    cuts = F.sequence(F.lit(0), F.greatest(F.size("ws") - window, F.lit(0)), F.lit(PIECE_WORDS))
+    return items.select("item", "ws", F.explode(cuts).alias("i")).select("item", F.slice("ws", F.col("i") + 1, PIECE_WORDS + window - 1).alias("piece"))
+
+
+def parts(benchmark: DataFrame, window: int, part_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The pieces in lists of about ``part_bytes`` of text; each list is taken alone, so the driver never holds more."""
+    pieces = materialise(pieces_of(benchmark, window), "benchmark")
+    total = pieces.agg(F.sum(F.length(F.array_join("piece", " ")))).first()[0] or 0
     n = max(1, -(-total // part_bytes))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
+        part = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(n)) == k)
+        yield [(r[0], [w.encode() for w in r[1]]) for r in part.distinct().collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with ``leak``: n_words, n_hit, spans (merged, of words, end exclusive) and items (distinct, sorted)."""
     out = docs.drop("leak")
     sc = docs.sparkSession.sparkContext
-    for k, part in enumerate(parts(benchmark, part_bytes)):
-        shared = sc.broadcast(matchers(part, window))
+    for k, part in enumerate(parts(benchmark, window, part_bytes)):
+        shared = sc.broadcast(Matchers(part, window))
 
-        def find(texts: pa.Array, shared=shared) -> pa.Array:
-            return _leaks(scan(text, shared.value) for text in byte_values(texts))
+        def finder(shared=shared):
+            own, known = shared.value, WordHashes()
+            return lambda texts: _leaks(own.scan(text, known) for text in byte_values(texts))
 
-        one = arrow_column(find, KIND, F.col(text_col))
+        one = arrow_column(finder, KIND, F.col(text_col))
         if k == 0:
             out = out.withColumn("leak", one)
-        else:
-            out = out.withColumn("leak", arrow_column(_both, KIND, F.col("leak"), one))
+        else:  # a job of its own, with the matchers of this part alone
+            out = materialise(out, "searched")
+            out = out.withColumn("leak", arrow_column(lambda: _both, KIND, F.col("leak"), one))
     return out
 
 
@@ -150,10 +218,6 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
     )
 
 
-def digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 #: DuckDB: the same report. ASCII letters are lower-cased by translate.
 ORACLE_SQL = r"""
 with lowered as (

@@ -8,7 +8,8 @@ alignment counts when the score reaches ``least`` and every mandatory key phrase
 Document frequencies are counted over all files. Base phrases are found besides, in every file, and always stay.
 
 Defined results: a null text counts as empty; a file without licence words has no label and the score 0; rows that
-repeat get a row each; an empty table gives no rows.
+repeat get a row each; very long texts are scanned whole; an empty table gives no rows; extra columns pass through, and a
+column of the added name is replaced.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=None, base=
             scores.append(score)
         return struct_array(n_words=pa.array(n, pa.int64()), places=pa.array(places, pa.list_(_PLACE)), labels=pa.array(labels, pa.list_(pa.string())), score=pa.array(scores, pa.float64()))
 
-    return docs.withColumn("license", arrow_column(find, KIND, F.col(text_col)))
+    return docs.withColumn("license", arrow_column(lambda: find, KIND, F.col(text_col)))
 
 
 def report(docs: DataFrame) -> DataFrame:

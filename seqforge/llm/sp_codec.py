@@ -2,23 +2,27 @@
 
 A text is prefixed with the word mark, spaces become word marks, and it is cut before each run of marks: no piece has a
 mark after another symbol, so no merge crosses a cut (checked when the model is loaded; a model that has such a piece is
-encoded text by text, uncut). The distinct words of a batch lie one after another in a flat numpy array of symbols. A
-round finds the smallest pair rank of each word, merges that word's leftmost pair of this rank, all words at once, and
-compacts the array; it ends when no pair is left. Merging one pair of a word at a time, best rank and then leftmost
-first, is what the sequential algorithm does, so the results are equal. Where all pairs that a merge can make rank worse
-than it, the word's other pairs of that rank that do not overlap are next in turn, and merge in the same round.
+encoded text by text, uncut). The distinct words of a batch lie one after another in a flat numpy array of symbols. Two
+neighbours whose characters together are part of no piece never come to be in one symbol, so words fall into segments
+there, and into more as symbols grow. A round finds the smallest pair rank of each segment, merges that segment's leftmost
+pair of this rank, all segments at once, and compacts the array; segments without a pair are done. Merging one pair of a
+segment at a time, best rank and then leftmost first, is what the sequential algorithm does, so the results are equal.
+Where all pairs that a merge can make rank worse than it, the segment's other pairs of that rank that do not overlap are
+next in turn, and merge in the same round. A long text without spaces is many segments, so its rounds are few.
 
 Symbols out of the vocabulary fall back to byte pieces. Decoding joins the pieces' bytes, turns marks into spaces, drops
 the first space, and replaces ill-formed UTF-8, as the library does.
 
 Defined results: a null text counts as empty and has no ids; rows that repeat get a row each; ids of a null list decode
-to the empty text.
+to the empty text; very long texts are encoded whole; an empty table gives no rows; extra columns pass through, and columns
+of the added names are replaced. What a worker remembers of words is bounded and ends with its task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import weakref
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,14 @@ from pyspark.sql import functions as F
 from seqforge.llm.text import arrow_column
 
 MARK = "▁"
-#: Words that a worker remembers with their ids, and characters of new words that one flat array may hold.
-CACHE_WORDS, FLAT_CHARS = 400_000, 1_000_000
-#: A pair's value: its rank, then the piece that it makes, in one int32; above all of these where it makes none.
+#: Words that a worker remembers with their ids, characters of these, and characters of new words that one flat array may hold.
+CACHE_WORDS, CACHE_CHARS, FLAT_CHARS = 200_000, 4_000_000, 250_000
+#: Characters of texts that are encoded at once, beyond the first text.
+SLICE_CHARS = 1_000_000
+#: A pair's value: its rank, then the piece that it makes, in one int32; above all of these: a pair that makes no piece, but whose
+#: characters stand in one (_PART), and a pair that can never come to be in one symbol (_NONE).
 _NONE, _PIECE_BITS = np.int32((1 << 31) - 1), 15
+_PART = _NONE - np.int32(1)
 
 
 class Words(dict):
@@ -91,14 +99,24 @@ class Codec:
         left, right, ranks, results = (np.array(x, np.int64) for x in (left, right, ranks, results))
         if len(self.pieces) > 1 << _PIECE_BITS or len(scores) >= 1 << (30 - _PIECE_BITS):
             raise ValueError("the vocabulary is too large")
-        # an open-addressed hash table of the pairs
-        self.bits = max(4, int(np.ceil(np.log2(8 * len(left) + 1))))
+        # an open-addressed hash table of the pairs, and of those whose characters together are part of a piece
+        parts = {p[i:j] for p in self.ids for i in range(len(p)) for j in range(i + 2, len(p) + 1)}
+        near = np.array([(code[t[:k]], code[t[k:]]) for t in parts for k in range(1, len(t)) if t[:k] in code and t[k:] in code], np.int64).reshape(-1, 2)
+        keys = np.concatenate([self._key(left, right), self._key(near[:, 0], near[:, 1])])
+        values = np.concatenate([ranks << _PIECE_BITS | results, np.full(len(near), _PART, np.int64)]).astype(np.int32)
+        keys, first = np.unique(keys, return_index=True)  # a pair that makes a piece stands before its repeat as a part
+        values = values[first]
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NONE, np.int32)
-        keys = self._key(left, right)
-        for key, slot, value in zip(keys.tolist(), self._slot(keys).tolist(), (ranks << _PIECE_BITS | results).tolist(), strict=True):
-            while self.keys[slot] >= 0:
-                slot = (slot + 1) & ((1 << self.bits) - 1)
-            self.keys[slot], self.values[slot] = key, value
+        slots = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            taken, first = np.unique(slots[free], return_index=True)
+            put = free[first]
+            self.keys[taken], self.values[taken] = keys[put], values[put]
+            stay = np.ones(len(keys), bool)
+            stay[put] = False
+            keys, values, slots = keys[stay], values[stay], (slots[stay] + 1) & ((1 << self.bits) - 1)
         # All pairs of a rank in a word may merge at once if the pairs that this makes can only have worse ranks.
         own = np.full(len(self.pieces) + len(code), -1)
         own[results] = ranks
@@ -117,7 +135,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.flat, self.ends = Words(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.words, self.flat, self.ends, self.held = Words(), np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
     @staticmethod
     def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,7 +146,7 @@ class Codec:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The value of each pair; _NONE where it makes no piece."""
+        """The value of each pair."""
         keys = self._key(a, b)
         slot = self._slot(keys)
         held = self.keys[slot]
@@ -147,52 +165,51 @@ class Codec:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         n = len(symbols)
+        place = np.arange(n, dtype=np.int32)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         value = np.full(n, _NONE)
         if n > 1:
             value[:-1] = np.where(word[:-1] == word[1:], self._lookup(symbols[:-1], symbols[1:]), _NONE)
         while n:
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            first = np.flatnonzero(np.r_[True, value[:-1] == _NONE])  # a segment begins where no pair leads into it
             best = np.minimum.reduceat(value, first) >> _PIECE_BITS
             lengths = np.diff(np.r_[first, n])
             live = best < _NONE >> _PIECE_BITS
-            if not live.all():  # words without a pair left are ready
+            if not live.all():  # segments without a pair left are ready
                 keep = np.repeat(live, lengths)
-                done.append((word[~keep], symbols[~keep]))
-                word, symbols, value = word[keep], symbols[keep], value[keep]
+                done.append((place[~keep], symbols[~keep]))
+                place, symbols, value = place[keep], symbols[keep], value[keep]
                 n = len(symbols)
                 if not n:
                     break
                 lengths, best = lengths[live], best[live]
-            # the leftmost pair of the smallest rank in each word; of a safe rank, all that do not overlap from the left
+            # the leftmost pair of the smallest rank in each segment; of a safe rank, all that do not overlap from the left
             fits = np.flatnonzero(value >> _PIECE_BITS == np.repeat(best, lengths))
-            owner, made = word[fits], value[fits]
+            owner, made = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[fits], value[fits]
             leftmost = np.r_[True, owner[1:] != owner[:-1]]
             apart = leftmost | np.r_[True, fits[1:] != fits[:-1] + 1]
-            place = np.arange(len(fits))
-            even = (place - np.maximum.accumulate(np.where(apart, place, 0))) % 2 == 0
+            turn = np.arange(len(fits))
+            even = (turn - np.maximum.accumulate(np.where(apart, turn, 0))) % 2 == 0
             chosen = leftmost | (self.safe[made >> _PIECE_BITS] & even)
             at = fits[chosen]
             symbols[at] = made[chosen] & ((1 << _PIECE_BITS) - 1)
+            value[at] = value[at + 1]
             stay = np.ones(n, bool)
             stay[at + 1] = False
             at = at - np.arange(len(at))
-            word, symbols, value = word[stay], symbols[stay], value[stay]
+            place, symbols, value = place[stay], symbols[stay], value[stay]
             n = len(symbols)
-            # only the pairs beside the merged symbols are new
+            # only the pairs beside the merged symbols are new, and only those that can still come together count
             beside = np.zeros(n, bool)
             beside[at] = True
             beside[at[at > 0] - 1] = True
-            touched = np.flatnonzero(beside)
-            value[touched] = _NONE
-            touched = touched[touched < n - 1]
-            touched = touched[word[touched] == word[touched + 1]]
+            touched = np.flatnonzero(beside & (value != _NONE))
             value[touched] = self._lookup(symbols[touched], symbols[touched + 1])
-        word = np.concatenate([np.zeros(0, np.int32), *(w for w, _ in done)])
+        place = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in done)])
         symbols = np.concatenate([np.zeros(0, np.int32), *(s for _, s in done)])
-        order = np.argsort(word, kind="stable")
-        word, symbols = word[order], symbols[order]
+        order = np.argsort(place, kind="stable")
+        word, symbols = word[place[order]], symbols[order]
         odd = np.flatnonzero((symbols < 0) | (symbols >= len(self.pieces)))
         if len(odd):  # characters that are no piece
             spelled = [self._spell(x) for x in symbols[odd].tolist()]
@@ -212,7 +229,7 @@ class Codec:
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS or self.held > CACHE_CHARS:
             self.forget()
         cut = re.compile(f"{MARK}+[^{MARK}]*") if self.cuttable else re.compile("(?s).+")
         number = self.words.__getitem__
@@ -232,6 +249,7 @@ class Codec:
         flat, counts, begin, chars = [self.flat], [], 0, 0
         for i, w in enumerate(new):
             chars += len(w)
+            self.held += len(w)
             if chars > FLAT_CHARS or i == len(new) - 1:
                 ids, n = self.encode_words(new[begin : i + 1])
                 flat.append(ids)
@@ -270,31 +288,45 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _slices(n: int, step: int = 500) -> Iterable[slice]:
-    return (slice(i, i + step) for i in range(0, n, step))
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about SLICE_CHARS characters."""
+    begin, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > SLICE_CHARS:
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += len(t)
+    if begin < len(texts):
+        yield texts[begin:]
 
 
 def encode_column(text: Column, model: str | None = None) -> Column:
     """array<int>: the ids of each text. ``model``: a path that each machine has; default: the public model there."""
 
-    def encode(texts: pa.Array) -> pa.Array:
+    def encoder():
         own = codec(model or default_model())
-        done = [own.encode_flat([t or "" for t in texts[s].to_pylist()]) for s in _slices(len(texts))]
-        offsets = np.cumsum(np.concatenate([[0], *(n for _, n in done)])).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in done)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+        own.forget()
+
+        def encode(texts: pa.Array) -> pa.Array:
+            done = [own.encode_flat(part) for part in _slices([t or "" for t in texts.to_pylist()])]
+            offsets = np.cumsum(np.concatenate([[0], *(n for _, n in done)])).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in done)])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+        weakref.finalize(encode, own.forget)
+        return encode
 
-    return arrow_column(encode, "array<int>", text)
+    return arrow_column(encoder, "array<int>", text)
 
 
 def decode_column(ids: Column, model: str | None = None) -> Column:
     """string: the text of each list of ids."""
 
-    def decode(lists: pa.Array) -> pa.Array:
+    def decoder():
         own = codec(model or default_model())
-        return pa.array([own.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists], pa.string())
+        return lambda lists: pa.array([own.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists], pa.string())
 
-    return arrow_column(decode, "string", ids)
+    return arrow_column(decoder, "string", ids)
 
 
 def encode_decode(docs: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from seqforge.session import ship_package
 ASCII_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+_SPACE = b" \t\n\x0b\x0c\r"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -27,12 +30,25 @@ def chunks(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-#: Rows of an Arrow batch that goes to Python. Texts may be long, so the usual 10,000 rows are too many.
-BATCH_ROWS = 1000
+def slices_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut at white space only."""
+    begin = 0
+    while len(text) - begin > size:
+        end = begin + size
+        while end < len(text) and text[end] not in _SPACE:
+            end += 1
+        yield text[begin:end]
+        begin = end
+    yield text[begin:] if begin else text
+
+
+#: Rows and bytes of an Arrow batch that goes to Python. Texts may be long, so rows alone are no bound.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def byte_values(column: pa.Array) -> Iterator[bytes]:
@@ -43,19 +59,43 @@ def byte_values(column: pa.Array) -> Iterator[bytes]:
         yield b"" if buffer is None else buffer.to_pybytes()
 
 
-def arrow_column(fn: Callable[[pa.Array], pa.Array], kind: str, *columns: Column) -> Column:
-    """``fn`` over Arrow batches of ``columns``; rows stay in their order, and other columns stay in the JVM."""
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker lives on and runs other stages' tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def arrow_column(make: Callable[[], Callable[..., pa.Array]], kind: str, *columns: Column) -> Column:
+    """A function over Arrow batches of ``columns``; rows stay in their order, and other columns stay in the JVM.
+
+    ``make`` is called once for each task and returns the function; what it remembers ends with the task."""
     ship_package(SparkSession.active())
     bound_batches(SparkSession.active())
     if len(columns) == 1:
 
-        def one(a: pa.Array) -> pa.Array:
-            return fn(a)
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            fn = make()
+            try:
+                for a in batches:
+                    yield fn(a)
+            finally:
+                fn = None
+                give_back()
 
         return F.arrow_udf(one, kind)(*columns)
 
-    def two(a: pa.Array, b: pa.Array) -> pa.Array:
-        return fn(a, b)
+    def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        fn = make()
+        try:
+            for a, b in batches:
+                yield fn(a, b)
+        finally:
+            fn = None
+            give_back()
 
     return F.arrow_udf(two, kind)(*columns)
 

@@ -2,46 +2,58 @@
 
 Units of a sentence are its runs of characters other than white space, A-Z lower-cased and without ASCII marks, and
 runs of single letters joined. The subsequence kernel of two strings counts their common subsequences of ``ORDER`` bytes,
-each decayed by the span that it covers on both sides, and is normalised to one for equal strings. A unit is compared
-with a landmark by its shortest window that holds the landmark's bytes in their order, of at most twice the landmark's
-length; without such a window the value is zero. A sentence's kernel value is the largest of its units. So an insult
-keeps most of its weight with characters put in, and all of it with marks or spaces between its letters.
+each decayed by the span that it covers on both sides, is normalised to one for equal strings, and raised to ``POWER`` (a
+product of kernels). The value of a unit and a landmark is the largest kernel value of the landmark and a window of the
+unit that is ``SLACK`` bytes longer than the landmark (the whole unit, where it is no longer than that). Only
+values below ``FLOOR`` (a kernel of 0.31) count as none: an insult keeps part of its value with characters put in, dropped,
+changed or swapped, and all of it with marks or spaces between its letters. The values are sums over the subsequences of a window, looked up in a table of
+those of the landmarks; subsequences that no landmark has add nothing.
 
 Landmarks are pieces of units, (nearly) never part of a unit of a clean text, that greedily cover the units which tell the
-toxic training texts from the clean ones. The kernel values are whitened by the landmarks' own kernel matrix, and a
-linear SVM (squared hinge) learns on labelled sentences: all sentences of clean texts, those of toxic texts that hold
-a landmark, and each landmark alone, whole and with a character put in. A text's score is a logistic
-function, fitted to the training texts, of its largest sentence margin.
+toxic training texts from the clean ones. The kernel values are whitened by the landmarks' own kernel matrix (the Nystrom
+features), and a linear SVM (squared hinge) learns on labelled sentences: every unit of the sentences of clean texts, and of
+each toxic text, whose label holds for some sentence of it, the unit that responds most and those that respond clearly,
+chosen anew by the machine's margin in each of ``ROUNDS`` rounds. These units with a character put in, dropped, changed or
+swapped are virtual examples of a share of ``VIRTUAL`` of their weight. A sentence's margin is the largest of its units, and a text's that of its
+sentences; the score is a logistic function of it, fitted to the training texts.
 
-Training takes a bounded sample: up to ``max_toxic`` and ``max_clean`` labelled texts by a hash of the id. Scoring takes
-whole texts.
+Training takes a bounded sample: up to ``max_toxic`` and ``max_clean`` labelled texts of at most ``max_bytes`` bytes by a
+hash of the id. Scoring takes whole texts; a worker remembers units up to ``CACHE_BYTES``, for one task.
 
 Defined results: null and empty texts have the score of a text without any response; without toxic or without clean
 training texts all scores are the toxic share (0 without labels); labels that are null are left out, of labels that repeat
-the largest counts; texts that repeat get a row each; extra columns pass through.
+the largest counts; texts that repeat get a row each; a null id is not held out (its text is scored all the same); very
+long texts are scored whole, in slices; an empty table gives no rows; extra columns pass through, and a column of the
+added name is replaced.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.llm.near_dup import WordHashes, lanes, shingle_hashes
-from seqforge.llm.text import arrow_column, byte_values, chunks
-
-#: Subsequence length, decay, the most landmarks, and units that a worker remembers.
-ORDER, DECAY, MAX_LANDMARKS, CACHE_UNITS = 3, 0.8, 128, 150_000
-MAX_TOXIC, MAX_CLEAN = 2000, 4000
+from seqforge.llm.text import arrow_column, byte_values, chunks, give_back, slices_of
+
+#: Subsequence length, decay, power of the kernel, bytes of a window beyond the landmark's, and the most landmarks.
+ORDER, DECAY, POWER, SLACK, MAX_LANDMARKS = 3, 0.8, 3, 2, 128
+#: Values below this one count as none.
+FLOOR = 0.03
+#: The training sample: texts of each kind and bytes of a text.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 3000, 8000
+#: Units that a worker remembers and their bytes, units of a slice, windows compared at once, rounds of choosing units, and
+#: the share of virtual examples.
+CACHE_UNITS, CACHE_BYTES, SLICE, WINDOWS, ROUNDS, VIRTUAL = 150_000, 16 << 20, 1 << 16, 4096, 4, 1.0
+#: Weight of all clean units together, in that of all toxic ones, and the value from which a unit of a toxic text is first taken for toxic.
+CLEAN, RESPONSE = 1000.0, 0.5
 _SPELLED = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:[a-z][ ._*-]+){2,}[a-z](?![a-z0-9\x80-\xff])")
 _MARKS = bytes(b for b in range(33, 128) if not (48 <= b <= 57 or 97 <= b <= 122))
-_BITS = np.zeros(256, np.uint64)
-for _b in range(256):
-    _BITS[_b] = 1 << (_b - 97 if 97 <= _b <= 122 else 26 + _b % 38)
 
 
 def ssk(left: np.ndarray, right: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -64,112 +76,187 @@ def padded(strings: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(s.ljust(size, b"\0") for s in strings), np.uint8).reshape(len(strings), size)
 
 
-def window(unit: bytes, landmark: bytes) -> bytes:
-    """The shortest window of the unit that holds the landmark's bytes in their order; empty without one."""
-    best, start = b"", unit.find(landmark[:1])
-    while start >= 0:
-        at = start
-        for c in landmark[1:]:
-            at = unit.find(c, at + 1)
-            if at < 0:
-                return best
-        if not best or at + 1 - start < len(best):
-            best = unit[start : at + 1]
-        start = unit.find(landmark[:1], start + 1)
-    return best
-
-
 class Kernel:
-    """Kernel values of units against landmarks."""
+    """Kernel values of units against landmarks, which stand in the order of their lengths."""
 
     def __init__(self, landmarks: list[bytes]):
-        self.landmarks = landmarks
-        self.rows = padded(landmarks)
-        self.own = ssk(self.rows, self.rows)
-        self.masks = np.array([np.bitwise_or.reduce(_BITS[np.frombuffer(z, np.uint8)]) for z in landmarks], np.uint64)
-        self.known: dict[tuple[bytes, int], float] = {}
+        self.landmarks = sorted(landmarks, key=lambda z: (len(z), z))
+        m = len(self.landmarks)
+        letters = sorted(set(b"".join(self.landmarks)))
+        #: Each byte's letter; a byte of no landmark is the last one and has no subsequence in the table.
+        self.code = np.full(256, len(letters), np.int32)  # base**ORDER stays below 2**31: 256 letters at most
+        self.code[letters] = np.arange(len(letters))
+        self.base = len(letters) + 1
+        features: dict[int, dict[int, float]] = {}
+        for k, z in enumerate(self.landmarks):
+            at = self._features(np.frombuffer(z, np.uint8)[None])[0]
+            for f, w in zip(at.tolist(), _triples(len(z))[3].tolist(), strict=True):
+                of = features.setdefault(f, {})
+                of[k] = of.get(k, 0.0) + w
+        #: The table's row of each subsequence, 0 for those that no landmark has.
+        self.row = np.zeros(self.base**ORDER, np.int32)
+        self.table = np.zeros((len(features) + 1, m), np.float32)
+        for i, (f, of) in enumerate(features.items(), 1):
+            self.row[f] = i
+            self.table[i, list(of)] = list(of.values())
+        self.own = np.sqrt((self.table.astype(np.float64) ** 2).sum(axis=0))
+        #: Windows of each width and the first landmark that they are for.
+        sizes = np.array([len(z) for z in self.landmarks], np.int64) + SLACK
+        self.widths = [(int(w), int(np.searchsorted(sizes, w)), int(np.searchsorted(sizes, w, "right"))) for w in np.unique(sizes)]
+
+    def _features(self, strings: np.ndarray) -> np.ndarray:
+        i, j, k, _ = _triples(strings.shape[1])
+        code = self.code[strings]
+        return (code[:, i] * self.base + code[:, j]) * self.base + code[:, k]
+
+    def whole(self, strings: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Normalised kernel values of strings of one length against the landmarks from ``begin`` to ``end``."""
+        out = np.zeros((len(strings), end - begin), np.float32)
+        rows = self.row[self._features(strings)]
+        at, place = np.nonzero(rows)
+        if not len(at):
+            return out
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        weight = _triples(strings.shape[1])[3].astype(np.float32)
+        sums = np.add.reduceat(weight[place][:, None] * self.table[rows[at, place], begin:end], first) / self.own[begin:end]
+        # a byte that repeats only adds to a string's own value, so without that this is an upper bound
+        likely = sums.max(axis=1) >= FLOOR ** (1 / POWER) * (1 - 1e-6) * (_triples(strings.shape[1])[3] ** 2).sum() ** 0.5
+        found = at[first][likely]
+        got = (sums[likely] / np.sqrt(own_values(strings[found]))[:, None]) ** POWER
+        out[found] = np.where(got >= FLOOR, got, 0)
+        return out
 
     def matrix(self) -> np.ndarray:
-        n = len(self.landmarks)
-        i, j = np.divmod(np.arange(n * n), n)
-        return (ssk(self.rows[i], self.rows[j]) / np.sqrt(self.own[i] * self.own[j])).reshape(n, n)
-
-    def values(self, units: list[bytes]) -> dict[int, np.ndarray]:
-        """Of the units that respond to any landmark: their values, by index."""
-        if not self.landmarks:
-            return {}
-        bare = [u.translate(None, _MARKS) for u in units]
-        sizes = np.fromiter(map(len, bare), np.int64, len(bare))
-        some = np.flatnonzero(sizes)
-        if not len(some):
-            return {}
-        sizes = sizes[some]
-        masks = np.bitwise_or.reduceat(_BITS[np.frombuffer(b"".join(bare), np.uint8)], np.r_[0, np.cumsum(sizes)[:-1]])
-        found: list[tuple[int, tuple[bytes, int]]] = []
-        for k, (z, mask) in enumerate(zip(self.landmarks, self.masks, strict=True)):
-            for i in some[((masks & mask) == mask) & (sizes >= len(z))].tolist():
-                if 0 < len(w := window(bare[i], z)) <= 2 * len(z):
-                    found.append((i, (w, k)))
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        new = [x for x in dict.fromkeys(x for _, x in found) if x not in self.known]
-        for begin in range(0, len(new), 5000):
-            part = new[begin : begin + 5000]
-            strings, ks = padded([w for w, _ in part]), [k for _, k in part]
-            got = ssk(self.rows[ks], strings) / np.sqrt(self.own[ks] * ssk(strings, strings))
-            self.known.update(zip(part, got.tolist(), strict=True))
-        out: dict[int, np.ndarray] = {}
-        for i, x in found:
-            out.setdefault(i, np.zeros(len(self.landmarks)))[x[1]] = self.known[x]
+        return ((self.table.astype(np.float64).T @ self.table) / np.outer(self.own, self.own)) ** POWER
+
+    def values(self, units: list[bytes]) -> np.ndarray:
+        """A row of values for each unit (without marks)."""
+        m = len(self.landmarks)
+        out = np.zeros((len(units), m), np.float32)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        for n in np.unique(sizes).tolist() if m else ():
+            of = np.flatnonzero(sizes == n)
+            step = max(1, 8 * WINDOWS // max(1, n))
+            for some in (of[i : i + step] for i in range(0, len(of) if n >= ORDER else 0, step)):
+                strings = np.frombuffer(b"".join([units[i] for i in some.tolist()]), np.uint8).reshape(-1, n)
+                begin = next((b for w, b, _ in self.widths if w >= n), m)
+                if begin < m:
+                    for x in range(0, len(some), WINDOWS):
+                        out[some[x : x + WINDOWS], begin:] = self.whole(strings[x : x + WINDOWS], begin, m)
+                for width, b, e in self.widths:
+                    if width < n:
+                        windows = np.lib.stride_tricks.sliding_window_view(strings, width, axis=1)
+                        for x in range(0, n - width + 1, WINDOWS):  # all windows of many short units, or some of a long one
+                            part = windows[:, x : x + WINDOWS]
+                            got = self.whole(part.reshape(-1, width), b, e).reshape(len(some), -1, e - b).max(axis=1)
+                            out[some, b:e] = np.maximum(out[some, b:e], got)
         return out
 
 
-def units_of(text: bytes) -> tuple[list[bytes], list[bytes]]:
-    """The units in their order, and runs of spelled-out letters, joined."""
+_of_size: dict[int, tuple[np.ndarray, ...]] = {}
+
+
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all subsequences of a string of ``n`` bytes, and the decay of each."""
+    if n not in _of_size:
+        found = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)], np.int64).reshape(-1, ORDER)
+        _of_size[n] = (*found.T, DECAY ** (found[:, 2] - found[:, 0] + 1))
+    return _of_size[n]
+
+
+def own_values(strings: np.ndarray) -> np.ndarray:
+    """The kernel of each string with itself: a constant unless a byte repeats."""
+    n = strings.shape[1]
+    out = np.full(len(strings), (_triples(n)[3] ** 2).sum())
+    ordered = np.sort(strings, axis=1)
+    again = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1))
+    for i in range(0, len(again), 2000):
+        some = again[i : i + 2000]
+        out[some] = ssk(strings[some], strings[some])
+    return out
+
+
+def units_of(text: bytes) -> list[bytes]:
+    """The units in their order, and after them the runs of spelled-out letters, joined."""
     lower = text.lower()
-    return lower.split(), [re.sub(rb"[^a-z]", b"", m) for m in _SPELLED.findall(lower)]
+    return lower.split() + [re.sub(rb"[^a-z]", b"", m) for m in _SPELLED.findall(lower)]
+
+
+class Units(dict):
+    """Numbers units as they come."""
+
+    def __missing__(self, unit: bytes) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+class Margins:
+    """Margins of units; remembers units up to a bound."""
+
+    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float):
+        self.kernel, self.weights, self.bias = kernel, weights, bias
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.bytes = Units(), 0
+        self.table = np.zeros(0, np.float32)
+
+    def of(self, units: list[bytes]) -> np.ndarray:
+        """The margin of each unit, as it stands in the text (with its marks)."""
+        out = []
+        for i in range(0, len(units), SLICE):
+            if len(self.known) > CACHE_UNITS or self.bytes > CACHE_BYTES:
+                self.forget()
+            n = len(self.known)
+            at = np.fromiter(map(self.known.__getitem__, units[i : i + SLICE]), np.int64, min(SLICE, len(units) - i))
+            if len(self.known) > n:
+                new = list(islice(reversed(self.known), len(self.known) - n))[::-1]
+                self.bytes += sum(map(len, new))
+                values = self.kernel.values([u.translate(None, _MARKS) for u in new])
+                self.table = np.concatenate([self.table, (values @ self.weights + self.bias).astype(np.float32)])
+            out.append(self.table[at])
+        return np.concatenate([*out, np.zeros(0, np.float32)])
 
 
 class Model:
     def __init__(self, landmarks: list[bytes], weights: np.ndarray, bias: float, slope: float, offset: float):
         self.kernel = Kernel(landmarks)
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
-        self.known: dict[bytes, int] = {}
-        self.table: list[np.ndarray] = []
-
-    def learn_units(self, units) -> None:
-        if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-            self.table.clear()
-        new = [u for u in units if u not in self.known]
-        self.known.update(dict.fromkeys(new, -1))
-        for i, v in self.kernel.values(new).items():
-            self.known[new[i]] = len(self.table)
-            self.table.append(v)
-
-    def sentences(self, units: list[bytes], spelled: list[bytes]) -> list[np.ndarray]:
-        """Kernel values of the sentences that respond; spelled-out runs are sentences of their own."""
-        known, out, last = self.known, [], -1
-        for i, u in enumerate(units):
-            k = known[u]
-            if k >= 0:
-                if last >= 0 and not any(x.endswith((b".", b"!", b"?")) for x in units[last:i]):
-                    out[-1] = np.maximum(out[-1], self.table[k])
-                else:
-                    out.append(self.table[k])
-                last = i
-        return out + [self.table[known[u]] for u in spelled if known[u] >= 0]
-
-    def margins(self, texts: list[bytes]) -> np.ndarray:
-        split = [units_of(t) for t in texts]
-        self.learn_units({u for a, b in split for u in (*a, *b)})
-        return np.array([max([self.bias, *(float(s @ self.weights) + self.bias for s in self.sentences(a, b))]) for a, b in split])
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -500, 500)))
-
-
-def pieces(unit: bytes, least: int = 4, most: int = 12):
+
+    def reader(self) -> Margins:
+        return Margins(self.kernel, self.weights, self.bias)
+
+    def margins(self, texts: list[bytes], reader: Margins | None = None) -> np.ndarray:
+        """The largest margin of each text's units, or that of a unit without response."""
+        out = np.full(len(texts), float(self.bias))
+        if not self.kernel.landmarks:
+            return out
+        reader = reader or self.reader()
+        units: list[bytes] = []
+        owner: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            if units:
+                found = np.maximum.reduceat(reader.of(units), [i for _, i in owner])
+                for (k, _), v in zip(owner, found.tolist(), strict=True):
+                    out[k] = max(out[k], v)
+            units.clear(), owner.clear()
+
+        for k, text in enumerate(texts):
+            for part in slices_of(text):
+                if more := units_of(part):
+                    owner.append((k, len(units)))
+                    units += more
+                if len(units) > SLICE:
+                    flush()
+        flush()
+        return out
+
+    def scores(self, texts: list[bytes], reader: Margins | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts, reader) + self.offset, -500, 500)))
+
+
+def pieces(unit: bytes, least: int = 4, most: int = 10):
     for word in re.findall(rb"[a-z\x80-\xff]+", unit):
         for size in range(least, min(most, len(word)) + 1):
             for i in range(len(word) - size + 1):
@@ -182,7 +269,7 @@ def families(texts: list[bytes]) -> list[set[bytes]]:
     for t in dict.fromkeys(texts):
         if not (units := chunks(t)):
             continue
-        bands = list(enumerate(map(bytes, lanes(shingle_hashes(units, known), 0, 128).reshape(16, 8))))
+        bands = list(enumerate(map(bytes, lanes(shingle_hashes(units, known, 2), 0, 128).reshape(16, 8))))
         family = min((of_band[b] for b in bands if b in of_band), default=len(out))
         if family == len(out):
             out.append(set())
@@ -303,53 +390,94 @@ def train(toxic: list[bytes], clean: list[bytes]) -> Model:
     """A model of the texts of both kinds."""
     share = len(toxic) / (len(toxic) + len(clean)) if toxic else 0.0
     landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
+    give_back()
     if not landmarks:
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
-    model = Model(landmarks, np.zeros(len(landmarks)), 0.0, 1.0, 0.0)
-    kernel = model.kernel
-    value, vector = np.linalg.eigh(kernel.matrix())
-    value = np.maximum(value, 1e-2)
-    whiten = vector / np.sqrt(value)
-    rows: Counter[tuple] = Counter()
-    rng = np.random.default_rng(0)
-    for texts, y in ((toxic, 1), (clean, -1)):
-        for t in texts:
-            a, b = units_of(t)
-            model.learn_units({*a, *b})
-            found = model.sentences(a, b)
-            if y < 0:
-                rows.update((tuple(np.round(s, 6)), -1) for s in found)
-                rows[(0.0,) * len(landmarks), -1] += 1
-            else:
-                rows.update((tuple(np.round(s, 6)), 1) for s in found if s.max() > 0.999)
-    each = max(1, len(toxic) // len(landmarks))
-    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
-    for z in landmarks:
-        gapped = {z[:cut] + bytes([int(rng.choice(letters))]) + z[cut:] for cut in range(1, len(z))}
-        for u in (z, *gapped):
-            for v in kernel.values([u]).values():
-                rows[tuple(np.round(v, 6)), 1] += each
-    x = np.array([r[0] for r in rows])
-    y = np.array([r[1] for r in rows], float)
-    c = np.array(list(rows.values()), float)
-    c = c * np.where(y > 0, len(c) / max(1, c[y > 0].sum()), len(c) / max(1, c[y < 0].sum()))
-    w, bias = fit_svm(x @ whiten, y, c)
-    model.weights, model.bias = whiten @ w, bias
-    margin = np.concatenate([model.margins(ts[i : i + 500]) for ts in (toxic, clean) for i in range(0, len(ts), 500)])
+    kernel, weights, bias, used = fit(landmarks, toxic, clean)
+    if 0 < len(used) < len(landmarks):  # the others told the sample apart by chance
+        kernel, weights, bias, _ = fit(used, toxic, clean)
+    model = Model(kernel.landmarks, weights, bias, 1.0, 0.0)
+    give_back()
+    reader = model.reader()
+    margin = np.concatenate([model.margins(ts[i : i + 200], reader) for ts in (toxic, clean) for i in range(0, len(ts), 200)])
     model.slope, model.offset = fit_logistic(margin, np.r_[np.ones(len(toxic)), -np.ones(len(clean))])
-    return Model(landmarks, model.weights, model.bias, model.slope, model.offset)
+    return model
+
+
+def fit(landmarks: list[bytes], toxic: list[bytes], clean: list[bytes]) -> tuple[Kernel, np.ndarray, float, list[bytes]]:
+    """The kernel, weights and bias of the machine, and the landmarks to which a toxic text's units respond most, in more texts
+    than one."""
+    kernel = Kernel(landmarks)
+    value, vector = np.linalg.eigh(kernel.matrix())
+    whiten, rng = vector / np.sqrt(np.maximum(value, 1e-2)), np.random.default_rng(0)
+    x0, n0, _, _ = unit_rows(kernel, clean)
+    x1, _, bags, units = unit_rows(kernel, toxic)
+    margin = x1.max(axis=1) - RESPONSE
+    for _ in range(ROUNDS):
+        chosen, n1 = np.unique(np.concatenate([bag[(margin[bag] > 0) | (margin[bag] == margin[bag].max())] for bag in bags]), return_counts=True)
+        variants = [(v, n) for i, n in zip(chosen.tolist(), n1.tolist(), strict=True) if n >= 3 for v in distorted(units[i], rng)]
+        virtual, n2 = kernel.values([v for v, _ in variants]), np.array([n for _, n in variants], float)
+        x = np.concatenate([x0, x1[chosen], virtual])
+        y = np.r_[-np.ones(len(x0)), np.ones(len(chosen) + len(virtual))]
+        c = np.r_[n0 / n0.sum() * CLEAN, n1 / n1.sum(), n2 / max(1, n2.sum()) * VIRTUAL] * len(toxic)
+        w, bias = fit_svm(x @ whiten, y, c)
+        weights = whiten @ w
+        margin = x1 @ weights + bias
+    responds = np.bincount(x1[chosen].argmax(axis=1), np.where(margin[chosen] > 0, n1, 0), minlength=len(landmarks))
+    return kernel, weights, bias, [z for z, n in zip(kernel.landmarks, responds.tolist(), strict=True) if n >= 2]
+
+
+def unit_rows(kernel: Kernel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[bytes]]:
+    """The distinct rows of values (to two digits) of the texts' units, how many units have each, the rows of each text, and
+    the first unit of each row."""
+    known, count, rows, bags, units_of_rows = Units(), Counter(), Units(), [], []
+    at: list[int] = []
+    for i in range(0, len(texts), 200):
+        split = [units_of(t) for t in texts[i : i + 200]]
+        new = [u for u in dict.fromkeys(u for units in split for u in units) if u not in known]
+        for j in range(0, len(new), SLICE):
+            bare = [u.translate(None, _MARKS) for u in new[j : j + SLICE]]
+            for u, v in zip(bare, np.round(kernel.values(bare), 2), strict=True):
+                at.append(rows[v.tobytes()])
+                if len(rows) > len(units_of_rows):
+                    units_of_rows.append(u)
+            for u in new[j : j + SLICE]:
+                known[u]
+        for units in split:
+            own = [at[known[u]] for u in units]
+            count.update(own)
+            bags.append(np.unique(own))
+    table = np.frombuffer(b"".join(rows), np.float32).reshape(-1, len(kernel.landmarks)).astype(np.float64)
+    return table, np.array([count[i] for i in range(len(table))], float), [b for b in bags if len(b)], units_of_rows
+
+
+def distorted(z: bytes, rng: np.random.Generator) -> set[bytes]:
+    """``z`` whole, and with a letter put in, dropped, changed or swapped with the next at each place inside."""
+    letter = lambda: bytes([int(rng.integers(97, 123))])
+    out = {z}
+    for i in range(1, len(z)):
+        out |= {z[:i] + letter() + z[i:], z[: i - 1] + z[i : i + 1] + z[i - 1 : i] + z[i + 1 :]}
+        if i < len(z) - 1:
+            out |= {z[:i] + z[i + 1 :], z[:i] + letter() + z[i + 1 :]}
+    return out
+
+
+def held_out() -> Column:
+    """Whether a row is of the fifth whose labels are never learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[list[bytes], list[bytes]]:
-    """The training texts: bounded samples of the labelled rows outside the held-out fifth."""
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def labelled(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> tuple[list[bytes], list[bytes]]:
+    """The training texts: bounded samples of the labelled rows outside the held-out fifth, of texts of a bounded size."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.where(F.octet_length("text") <= max_bytes)
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_clean))
     # max_toxic + max_clean ids at most: a bounded broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text").collect()
-    texts = lambda y: sorted((r[1] or "").encode() for r in rows if r[0] == y)
+    rows = short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).collect()
+    texts = lambda y: sorted(r["text"].encode() for r in rows if r["toxic"] == y)
     return texts(1), texts(0)
 
 
@@ -357,15 +485,15 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     """``docs`` with ``toxicity``: 0 to 1 for each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(texts: pa.Array) -> pa.Array:
-        out = [shared.value.scores(list(byte_values(texts[i : i + 500]))) for i in range(0, len(texts), 500)]
-        return pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())
+    def scorer():
+        own = shared.value
+        reader = own.reader()
+        return lambda texts: pa.array(own.scores(list(byte_values(texts)), reader), pa.float64())
 
-    return docs.withColumn("toxicity", arrow_column(score, "double", F.col(text_col)))
+    return docs.withColumn("toxicity", arrow_column(scorer, "double", F.col(text_col)))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(*labelled(docs, labels))
     out = score_toxicity(docs.select("doc_id", "text"), model)
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return out.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

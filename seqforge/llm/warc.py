@@ -5,15 +5,18 @@ that any Hadoop file system, commit protocol and retry works. Of equal payloads,
 ``response``, and the others ``revisit`` records without payload that refer to it; the smallest id of a digest is a
 partial aggregate and joins back on the digest, a join whose hot keys Spark can split.
 
-Reading (``format("warc")``): planning lists files and makes a partition of each, or of several small ones. Equality and
-IN predicates on the header columns are pushed down (``spark.sql.python.filterPushdown.enabled``) and decided
+Reading (``format("warc")``): planning lists files and makes a partition of several small ones, or of a range of a large
+compressed one: a range reads the gzip members that begin in it, so that an archive of a member per record, as
+crawlers write them, is read by many tasks, and one of a single member by the task of its first range. The writer bounds
+its own files by ``file_records`` records. Equality and IN predicates on the header columns are pushed down (``spark.sql.python.filterPushdown.enabled``) and decided
 from the header block alone; the payload of a record that they reject, or of any record under the option
 ``payload=false``, is skipped over without being copied or decoded. Records with an ill-formed head end their file with an
 error. Options: ``path``, ``payload``, ``split_bytes``.
 
 Defined results: a null payload counts as empty; a null url has no header; line ends in a url are percent-encoded; rows
 that repeat write a record each; of rows that share the smallest id and payload all are responses; rows with a null id are
-responses unless an id holds their payload, and read back with a null id.
+responses unless an id holds their payload, and read back with a null id; very long payloads are written and read whole; an
+empty table writes no record; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import gzip
 import io
 import posixpath
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -56,7 +60,7 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, least: int =
     return out.withColumn("refers_to", F.when(copied, F.col("__first"))).drop("__digest", "__first")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", compression: str = "gzip") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2000-01-01T00:00:00Z", compression: str = "gzip", file_records: int = 50_000) -> None:
     """Write a record for each row to text files under ``path``."""
     rows = with_revisits(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload")), "id", "payload", least)
     revisit = F.col("refers_to").isNotNull()
@@ -77,7 +81,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit(END),
         body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
 
 
 def _filesystem(path: str):
@@ -91,8 +95,10 @@ def _filesystem(path: str):
 
 
 class Files(InputPartition):
-    def __init__(self, files: tuple[str, ...]):
-        self.files = files
+    """Whole files, or the gzip members of one that begin in a range of bytes."""
+
+    def __init__(self, files: tuple[str, ...], begin: int = 0, end: int | None = None):
+        self.files, self.begin, self.end = files, begin, end
 
 
 class WarcReader(DataSourceReader):
@@ -119,6 +125,9 @@ class WarcReader(DataSourceReader):
         out: list[InputPartition] = []
         own, held = [], 0
         for f in sorted((f for f in found if f.type == fs.FileType.File and posixpath.basename(f.path)[0] not in "._"), key=lambda f: f.path):
+            if f.path.endswith(".gz") and f.size > self.split:
+                out += [Files((f.path,), i, i + self.split) for i in range(0, f.size, self.split)]
+                continue
             if own and held + f.size > self.split:
                 out.append(Files(tuple(own)))
                 own, held = [], 0
@@ -131,8 +140,9 @@ class WarcReader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         for path in partition.files:
-            with system.open_input_stream(path, compression=None) as raw:
-                stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+            ranged = partition.end is not None
+            with system.open_input_file(path) if ranged else system.open_input_stream(path, compression=None) as raw:
+                stream = Members(raw, partition.begin, partition.end) if ranged else gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
                 for row in records(io.BufferedReader(_Raw(stream), 1 << 20), self.wanted, self.payload):
                     rows.append(row)
                     held += len(row[-1] or b"") + 500
@@ -143,6 +153,62 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
 
+class Members:
+    """The content of the gzip members of a file that begin in a range of bytes, one after another."""
+
+    def __init__(self, file, begin: int, end: int, step: int = 1 << 20):
+        self.file, self.end, self.step = file, end, step
+        self.data, self.at = b"", begin  # what is read and not used yet, and its place in the file
+        self.member = None
+        file.seek(begin)
+        if begin:
+            self._find()
+
+    def _more(self) -> bool:
+        got = self.file.read(self.step)
+        self.data += got
+        return bool(got)
+
+    def _drop(self, n: int) -> None:
+        self.data, self.at = self.data[n:], self.at + n
+
+    def _find(self) -> None:
+        """Go to the first member in the range: a gzip head whose content begins with a record."""
+        while self.at < self.end:
+            i = self.data.find(b"\x1f\x8b\x08")
+            if i < 0:
+                self._drop(max(0, len(self.data) - 2))
+                if not self._more():
+                    self._drop(len(self.data))
+                    self.at = self.end
+                continue
+            self._drop(i)
+            while len(self.data) < 4096 and self._more():
+                pass
+            try:
+                if zlib.decompressobj(31).decompress(self.data[:4096], 7) == b"WARC/1.":
+                    return
+            except zlib.error:
+                pass
+            self._drop(1)
+
+    def read(self, size: int) -> bytes:
+        while True:
+            if self.member is None:
+                if self.at >= self.end or not (self.data or self._more()):
+                    return b""
+                self.member = zlib.decompressobj(31)
+            if not self.data and not self._more() and not self.member.unconsumed_tail:
+                raise ValueError("a gzip member is cut off")
+            out = self.member.decompress(self.data, size)
+            left = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            self._drop(len(self.data) - len(left))
+            if self.member.eof:
+                self.member = None
+            if out:
+                return out
+
+
 class _Raw(io.RawIOBase):
     def __init__(self, stream):
         self.stream = stream
