@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,13 +41,12 @@ def tokens(seq: Column, words: bool = False) -> Column:
 
 
 def masks(size: int, total_gap: int = 0, run_gap: int = 0) -> list[tuple[bool, ...]]:
-    """Which places of an n-gram are wildcards: never its first or last, at most ``total_gap`` and ``run_gap`` in a row."""
-    out = []
-    for inner in product((False, True), repeat=max(0, size - 2)) if total_gap else [(False,) * max(0, size - 2)]:
-        runs = "".join("*" if w else " " for w in inner).split()
-        if sum(inner) <= total_gap and all(len(r) <= run_gap for r in runs):
-            out.append((False, *inner, False)[:size] if size > 1 else (False,))
-    return sorted(out)
+    """Which places of an n-gram are wildcards: never its first or last, at most ``total_gap`` and ``run_gap`` in a row. Masks grow
+    place by place within the limits, so none is made that they rule out."""
+    held: list[tuple[tuple[bool, ...], int, int]] = [((False,), 0, 0)]
+    for _ in range(1, size):
+        held = [(m + (w,), n + w, (run + 1) * w) for m, n, run in held for w in (False, True) if n + w <= total_gap and (run + 1) * w <= run_gap]
+    return sorted(m for m, _, _ in held if not m[-1])
 
 
 def gap_limits(total: int, run: int) -> tuple[int, int]:

@@ -11,19 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions import text as T
+from seqforge.operators import evaluate
 
 
-def vectorise(docs: DataFrame, sizes: range, vocabulary: int = 1 << 18) -> tuple[DataFrame, list[str]]:
-    """``docs`` with sparse binary ``features`` of the character n-grams of the sizes, lower-cased, and their names."""
-    grams = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.col("__toks"), (False,) * n, False) for n in sizes])))
-    rows = docs.withColumn("__toks", F.split(F.lower("seq"), "")).withColumn("__grams", grams).drop("__toks")
+def vectorise(docs: DataFrame, sizes: range) -> tuple[DataFrame, list[str]]:
+    """``docs`` with sparse binary ``features`` of all character n-grams of the sizes, lower-cased, and their names. The vocabulary
+    is sized by its count; no n-gram is left out."""
+    grams = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.array(), (False,) * n, False, F.lower("seq")) for n in sizes])))
+    rows = docs.withColumn("__grams", grams)
+    vocabulary = max(1, rows.select(F.explode("__grams").alias("g")).agg(F.count_distinct("g")).first()[0])
     fitted = CountVectorizer(inputCol="__grams", outputCol="features", binary=True, minDF=1, vocabSize=vocabulary).fit(rows)
     return fitted.transform(rows).drop("__grams"), fitted.vocabulary
 
 
 def fit(kind: str, rows: DataFrame, n: int):
-    """A fitted ``ols``, ``ridge`` (penalty 1 on the sum of squares) or ``enet`` (1, half L1)."""
-    options = {"ols": {"regParam": 0.0}, "ridge": {"regParam": 1.0 / n, "elasticNetParam": 0.0}, "enet": {"regParam": 1.0, "elasticNetParam": 0.5}}[kind]
+    """A fitted ``ols``, ``ridge`` (penalty 1 on the sum of squares) or ``enet`` (1, half L1). The library scales responses to a
+    deviation of one, which divides the squared part of a penalty by their deviation; it is multiplied by that here."""
+    size = rows.agg(F.stddev_pop("y")).first()[0] or 1.0
+    l1, l2 = {"ols": (0.0, 0.0), "ridge": (0.0, size / n), "enet": (0.5, 0.5 * size)}[kind]
+    options = {"regParam": l1 + l2, "elasticNetParam": l1 / (l1 + l2) if l1 else 0.0}
     return LinearRegression(featuresCol="features", labelCol="y", standardization=False, maxIter=200, **options).fit(rows)
 
 
@@ -42,12 +48,16 @@ def svr(rows: DataFrame, n: int, c: float = 1.0, epsilon: float = 0.0, rounds: i
         def gradient(batches, sc=sc):
             own, offset = sc.value
             gw, gb = np.zeros(len(own)), 0.0
-            for frame in batches:
-                for ix, vs, y in zip(frame["ix"], frame["vs"], frame["y"], strict=True):
-                    e = float(own[ix] @ vs) + offset - y
-                    if abs(e) > epsilon:
-                        gw[ix] += np.sign(e) * vs
-                        gb += np.sign(e)
+            for frame in batches:  # the batch as one sparse matrix: columns one after another, with the row of each
+                sizes = frame["ix"].map(len).to_numpy()
+                if not len(sizes):
+                    continue
+                ix, vs = (np.concatenate([np.zeros(0, t), *frame[c]]).astype(t) for c, t in (("ix", np.int64), ("vs", np.float64)))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                e = np.bincount(row, own[ix] * vs, minlength=len(sizes)) + offset - frame["y"].to_numpy()
+                side = np.where(np.abs(e) > epsilon, np.sign(e), 0.0)
+                gw += np.bincount(ix, side[row] * vs, minlength=len(own))
+                gb += side.sum()
             used = np.flatnonzero(gw)
             yield pd.DataFrame({"i": [*used.tolist(), -1], "g": [*gw[used].tolist(), gb]})
 
@@ -66,3 +76,32 @@ def extremes(names: list[str], weights) -> tuple[tuple[str, float], tuple[str, f
     """The features of the largest and of the smallest weight; ties to the first name."""
     pairs = sorted(zip(names, map(float, weights), strict=False))
     return max(pairs, key=lambda x: x[1]), min(pairs, key=lambda x: x[1])
+
+
+def report(kind: str, scored: DataFrame, names: list[str], weights, seconds: dict[str, float] | None = None) -> DataFrame:
+    """One row: the baseline's name, its regression measures, the features of the largest and smallest weight, and how long
+    its steps took, where that is given."""
+    (top, high), (bottom, low) = extremes(names, weights)
+    out = evaluate.regression(scored).select("mse", "rmse", "mae", "r2", "pearson")
+    out = out.withColumns({"kind": F.lit(kind), "top_feature": F.lit(top), "top_weight": F.lit(high), "bottom_feature": F.lit(bottom), "bottom_weight": F.lit(low)})
+    return out.withColumns({f"{k}_seconds": F.lit(float(v)) for k, v in seconds.items()}) if seconds else out
+
+
+def residual_sums(fitted, rows: DataFrame, size: int) -> np.ndarray:
+    """For each feature the sum of the residuals of the rows that have it, and last the sum of all: partial sums by batch."""
+
+    def sums(batches):
+        total = np.zeros(size + 1)
+        for frame in batches:
+            for ix, e in zip(frame["ix"], frame["e"], strict=True):
+                total[ix] += e
+                total[-1] += e
+        yield pd.DataFrame({"i": np.arange(size + 1), "s": total})
+
+    scored = fitted.transform(rows)
+    used = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull())
+    found = scored.select(used.alias("ix"), (F.col("y") - F.col("prediction")).alias("e")).mapInPandas(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    out = np.zeros(size + 1)
+    for r in found:
+        out[r["i"]] = r["s"]
+    return out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqforge.functions import text as T
 
@@ -13,6 +17,11 @@ def occurrences(docs: DataFrame, words: bool = False) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.tokens(F.col("seq"), words)).alias("pos", "tok"))
 
 
+def following(occ: DataFrame) -> DataFrame:
+    """Occurrences with the token after each, ``next`` (null at a document's end); a document is a window."""
+    return occ.withColumn("next", F.lead("tok").over(Window.partitionBy("doc_id").orderBy("pos")))
+
+
 def inverted_index(docs: DataFrame, words: bool = False) -> DataFrame:
     """For each token and document the token's places. A row for each token alone would gather a frequent token's whole
     posting list in one cell; by document it stays bounded by the document."""
@@ -25,26 +34,51 @@ def support(docs: DataFrame, words: bool = False, minsup: int = 1) -> DataFrame:
     return distinct.groupBy("tok").agg(F.count("*").alias("support")).where(F.col("support") >= minsup)
 
 
-def first_level(occ: DataFrame) -> DataFrame:
-    """The postings of single tokens, as :func:`children` takes them."""
-    return occ.select(F.col("tok").alias("ngram"), "doc_id", F.col("pos").alias("end_pos"))
+def first_level(docs: DataFrame, words: bool = False) -> DataFrame:
+    """doc_id, toks and places: array<struct<ngram, end_pos>> of single tokens, as :func:`children` takes them. A document's
+    postings stay in its row, so extending them needs no join."""
+    toks = T.tokens(F.col("seq"), words)
+    return docs.select("doc_id", toks.alias("toks")).withColumn("places", F.transform("toks", lambda t, i: F.struct(t.alias("ngram"), i.alias("end_pos"))))
 
 
-def children(frontier: DataFrame, occ: DataFrame, words: bool = False, known: DataFrame | None = None, wildcard: bool = False) -> DataFrame:
-    """Postings (ngram, doc_id, end_pos) of each n-gram with the next token; occurrences at a document's end drop out.
-    ``known``: tokens that may follow; ``wildcard``: also with a wildcard in the next place."""
-    nxt = occ if known is None else occ.join(known.select("tok"), "tok", "left_semi")
+def children(frontier: DataFrame, words: bool = False, wildcard: bool = False) -> DataFrame:
+    """The frontier with each n-gram extended by the next token, and with ``wildcard`` also by a wildcard in the next place;
+    occurrences at a document's end drop out."""
     sep = F.lit(" " if words else "")
-    follow = lambda o: frontier.join(o.withColumn("end_pos", F.col("pos") - 1), ["doc_id", "end_pos"])
-    out = follow(nxt).select(F.concat("ngram", sep, "tok").alias("ngram"), "doc_id", F.col("pos").alias("end_pos"))
-    if wildcard:
-        out = out.unionByName(follow(occ).select(F.concat("ngram", sep, F.lit(T.WILD)).alias("ngram"), "doc_id", F.col("pos").alias("end_pos")))
-    return out
 
+    def extended(r: Column) -> Column:
+        toks, inner = r["toks"], F.filter(r["places"], lambda p: p["end_pos"] + 1 < F.size(r["toks"]))
+        with_token = lambda token: F.transform(inner, lambda p: F.struct(F.concat(p["ngram"], sep, token(p)).alias("ngram"), (p["end_pos"] + 1).alias("end_pos")))
+        found = with_token(lambda p: F.get(toks, p["end_pos"] + 1))
+        return F.concat(found, with_token(lambda p: F.lit(T.WILD))) if wildcard else found
+
+    # as a lambda's argument, the row's arrays are made once and not again for each place
+    return frontier.withColumn("places", F.get(F.transform(F.array(F.struct("toks", "places")), extended), F.lit(0)))
+
+
+def postings(frontier: DataFrame) -> DataFrame:
+    """ngram, doc_id and end_pos of a frontier."""
+    return frontier.select("doc_id", F.explode("places").alias("p")).select("p.ngram", "doc_id", "p.end_pos")
 
-def shrink(postings: DataFrame) -> DataFrame:
+
+def occurrence_counts(frontier: DataFrame, words: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """ngram, n (occurrences) and support (documents) of a frontier's n-grams; ``known``: tokens that may end one (a wildcard
+    may in any case). Documents are told apart in their own rows, by their n-grams' names alone, which are hashed; what is
+    shuffled is partial sums."""
+    rows = frontier.select(F.transform("places", lambda p: p["ngram"]).alias("names"))
+    every = rows.select(F.explode("names").alias("ngram"), F.lit(1).alias("n"), F.lit(0).alias("support"))
+    once = rows.select(F.explode(F.array_distinct("names")).alias("ngram"), F.lit(0).alias("n"), F.lit(1).alias("support"))
+    out = every.unionByName(once).groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("support").alias("support"))
+    if known is None:
+        return out
+    last = F.substring_index("ngram", " ", -1) if words else F.right("ngram", F.lit(1))
+    wild = known.sparkSession.range(1).select(F.lit(T.WILD).alias("tok"))
+    return out.withColumn("tok", last).join(known.select("tok").unionByName(wild), "tok", "left_semi").drop("tok")
+
+
+def shrink(found: DataFrame) -> DataFrame:
     """Postings without places: the distinct documents of each n-gram."""
-    return postings.select("ngram", "doc_id").distinct()
+    return found.select("ngram", "doc_id").distinct()
 
 
 def wildcards(ngram: Column, words: bool) -> tuple[Column, Column]:
@@ -63,20 +97,28 @@ def within_gaps(grams: DataFrame, total: int, run: int, words: bool = False) ->
     return grams.where((n_wild <= total) & (longest <= run))
 
 
-def grams_of(docs: DataFrame, size: int, words: bool = False, gaps: tuple[int, int] = (0, 0), toks: str | None = None) -> DataFrame:
+def _prefix(words: bool, length: int, gram: Column) -> Column:
+    return F.substring_index(gram, " ", length) if words else F.substring(gram, 1, length)
+
+
+def _with_parent(grams: Column, prefix: Callable[[Column], Column], parents: list[str]) -> Column:
+    return F.filter(grams, lambda g: prefix(g).isin(parents))
+
+
+def grams_of(docs: DataFrame, size: int, words: bool = False, gaps: tuple[int, int] = (0, 0), toks: str | None = None, parents: list[str] | None = None) -> DataFrame:
     """``docs`` by distinct n-gram of one size, with ``parent``: the longest proper prefix that ends in a token. Repeats
-    inside a document are dropped in its own row, without a shuffle. A column ``bare`` of the documents is used where it is faster."""
+    inside a document are dropped in its own row, without a shuffle. A column ``bare`` of the documents is used where it is faster.
+    ``parents``: only n-grams with one of these as their parent, sorted out in the row before anything is made of them."""
     toks = T.tokens(F.col("seq"), words) if toks is None else F.col(toks)
     bare = F.col("bare") if "bare" in docs.columns else None
     out = None
     for mask in T.masks(size, *T.gap_limits(*gaps)):
-        grams = F.explode(F.array_distinct(T.mask_grams(toks, mask, words, bare))).alias("ngram")
-        part = docs.select(*[c for c in docs.columns if c != "ngram"], grams)
-        parent = max((i for i in range(1, size) if not mask[i - 1]), default=0)
-        if words:
-            prefix = F.substring_index("ngram", " ", parent)
-        else:
-            prefix = F.substring("ngram", 1, parent)
-        part = part.withColumn("parent", prefix)
+        length = max((i for i in range(1, size) if not mask[i - 1]), default=0)
+        prefix = partial(_prefix, words, length)
+        grams = T.mask_grams(toks, mask, words, bare)
+        if parents is not None:
+            grams = _with_parent(grams, prefix, parents)
+        part = docs.select(*[c for c in docs.columns if c != "ngram"], F.explode(F.array_distinct(grams)).alias("ngram"))
+        part = part.withColumn("parent", prefix(F.col("ngram")))
         out = part if out is None else out.unionByName(part)
     return out

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
 from seqforge.operators.model import INTERCEPT, SequenceModel
-from seqforge.operators.search import Found, SearchConfig, best_ngram
+from seqforge.operators.search import CANDIDATES, Found, SearchConfig, best_ngram
 from seqforge.session import materialise
+from seqforge.sources.labelled import LOG_SCHEMA
 
 FOLD = 5
 
@@ -25,11 +26,12 @@ FOLD = 5
 @dataclass
 class LearnConfig(SearchConfig):
     """Search settings and those of the loop. ``validation``: stop where the validation loss rises above the ``initial`` or
-    the ``previous`` one."""
+    the ``previous`` one; ``tolerance`` of a line search, over all documents that it moves."""
 
     convergence: float = 0.005
     max_iterations: int = 5000
     validation: str = "initial"
+    tolerance: float = 1e-3
 
 
 @dataclass
@@ -77,12 +79,12 @@ def line_search(rows: DataFrame, kind: str, gradient: float, support: int, penal
     return (low + high) / 2
 
 
-def intercept_step(state: DataFrame, kind: str) -> float:
+def intercept_step(state: DataFrame, kind: str, tolerance: float = 1e-3) -> float:
     """Squared error: the mean residual; else by line search."""
     if kind == "squared":
         return state.agg(F.avg(F.col("y") - F.col("f"))).first()[0] or 0.0
     gradient, n = state.agg(-F.sum(L.pull(kind, F.col("y"), F.col("f"))), F.count("*")).first()
-    return line_search(state, kind, gradient or 0.0, n)
+    return line_search(state, kind, gradient or 0.0, n, tolerance=tolerance)
 
 
 def feature_step(state: DataFrame, found: Found, config: SearchConfig, weight: float) -> float:
@@ -91,13 +93,15 @@ def feature_step(state: DataFrame, found: Found, config: SearchConfig, weight: f
     if config.objective == "squared":
         return rows.agg(F.avg(F.col("y") - F.col("f"))).first()[0] or 0.0
     change = lambda s: L.penalty([weight + s], config.c, config.alpha) - L.penalty([weight], config.c, config.alpha)
-    return line_search(rows, config.objective, found.gradient, found.support, change)
+    return line_search(rows, config.objective, found.gradient, found.support, change, config.tolerance)
 
 
-def learn(docs: DataFrame, config: LearnConfig, validation: DataFrame | None = None, bias: float = 0.0) -> Learned:
-    """Fit a model to ``docs`` (doc_id, seq, y)."""
+def learn(docs: DataFrame, config: LearnConfig, validation: DataFrame | None = None, bias: float = 0.0, candidates: list[str] | None = None) -> Learned:
+    """Fit a model to ``docs`` (doc_id, seq, y), or to a table that :func:`prepare` has made of them. ``candidates``: n-grams, as
+    of a former run's rules, of which the best prunes the first search (a warm start; the result is the same)."""
     kind = config.objective
-    state = prepare(docs, config.words)
+    state = docs if "toks" in docs.columns else prepare(docs, config.words)
+    near = list(candidates or [])
     model = SequenceModel(bias=bias, words=config.words, gaps=config.gaps)
     out = Learned(model)
     old_loss = total_loss(state, kind)
@@ -105,11 +109,12 @@ def learn(docs: DataFrame, config: LearnConfig, validation: DataFrame | None = N
     first_check = None
     unfolded = 0
     for itr in range(config.max_iterations):
-        delta = intercept_step(state, kind)
+        delta = intercept_step(state, kind, config.tolerance)
         state = state.withColumn("f", F.col("f") + F.lit(delta))
         model.add(delta, INTERCEPT)
         pulls = state.withColumn("g", L.pull(kind, F.col("y"), F.col("f")))
-        found = best_ngram(pulls, config, model.weights)
+        found = best_ngram(pulls, config, model.weights, candidates=near)
+        near = list(dict.fromkeys([*found.near, *near]))[: 2 * CANDIDATES]
         if found.ngram is None:
             out.reason = "no gradient"
             break
@@ -121,7 +126,7 @@ def learn(docs: DataFrame, config: LearnConfig, validation: DataFrame | None = N
         weights[found.ngram] = weights.get(found.ngram, 0.0) + step
         reg = loss + L.penalty(weights.values(), config.c, config.alpha)
         rate = changed / (1 + size)
-        row = {"Iteration": itr + 1, "#Features": len(weights), "total": sum(c for _, c, _ in found.counters), "#pruned": sum(c - k for _, c, k in found.counters), "optimalStepLength": step, "symbol": found.ngram.replace(T.WILD, "*"), "support": found.support, "loss": loss, "regLoss": reg, "convRate": rate}
+        row = {"Iteration": itr + 1, "#Features": len(weights), "#rewritten": sum(c[3] for c in found.counters), "total": sum(c[1] for c in found.counters), "#pruned": sum(c[1] - c[2] for c in found.counters), "optimalStepLength": step, "symbol": found.ngram.replace(T.WILD, "*"), "support": found.support, "loss": loss, "regLoss": reg, "convRate": rate}
         if reg == old_reg:
             out.reason = "loss unchanged"
             break
@@ -158,6 +163,5 @@ def validation_loss(model: SequenceModel, validation: DataFrame) -> float:
 
 def log_frame(spark, log: list[dict]) -> DataFrame:
     """The iteration log as a table (a row for each step)."""
-    kind = "Iteration int, `#Features` int, `#pruned` long, total long, optimalStepLength double, symbol string, support long, loss double, regLoss double, convRate double"
-    names = ["Iteration", "#Features", "#pruned", "total", "optimalStepLength", "symbol", "support", "loss", "regLoss", "convRate"]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in log], kind)
+    names = [c.split()[0].strip("`") for c in LOG_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in log], LOG_SCHEMA)

@@ -71,35 +71,52 @@ def mask_of(ngram: str, words: bool) -> tuple[bool, ...]:
 
 #: Rules up to which each is looked for in a document's text; more are joined with the document's n-grams.
 FEW_RULES = 500
+_HITS = "array<struct<ngram:string,weight:double>>"
 
 
-def matches(docs: DataFrame, rules: DataFrame, words: bool = False, few: int = FEW_RULES) -> DataFrame:
-    """doc_id, ngram and weight of each distinct rule that a document holds. A few rules are looked for in the text, in its
-    own row; for more, documents explode into the distinct n-grams of the rules' shapes (size and wildcards) and join the
-    rules by equality. Rules come from learning steps, so they fit the driver, and Spark broadcasts them by their size."""
+def with_matches(docs: DataFrame, rules: DataFrame, words: bool = False, few: int = FEW_RULES) -> DataFrame:
+    """``docs`` with ``__hits``: the distinct rules (ngram, weight) that a document holds. A few rules are looked for in the
+    text, in its own row. For more, documents explode into the distinct n-grams of the rules' shapes (size and wildcards) and
+    join the rules by equality; documents are told apart by id and text, so rows that share an id keep their own rules. Rules
+    come from learning steps, so they fit the driver, and Spark broadcasts them by their size."""
     known = rules.select("ngram", F.col("weight").cast("double").alias("weight")).collect()
+    none = F.array().cast(_HITS)
     if not known:
-        return docs.select("doc_id", F.lit("").alias("ngram"), F.lit(0.0).alias("weight")).limit(0)
+        return docs.withColumn("__hits", none)
     if len(known) <= few:
-        bare = docs.select("doc_id", T.bare(F.col("seq"), words).alias("__bare"))
         found = F.array(*[F.when(T.holds(F.col("__bare"), g, words), F.struct(F.lit(g).alias("ngram"), F.lit(w).alias("weight"))) for g, w in known])
-        return bare.select("doc_id", F.explode(F.array_compact(found)).alias("r")).select("doc_id", "r.ngram", "r.weight")
+        return docs.withColumn("__bare", T.bare(F.col("seq"), words)).withColumn("__hits", F.array_compact(found).cast(_HITS)).drop("__bare")
     shapes = sorted({mask_of(g, words) for g, _ in known})
-    docs = docs.select("doc_id", T.tokens(F.col("seq"), words).alias("toks"), T.bare(F.col("seq"), words).alias("bare"))
+    keyed = docs.withColumn("__text", F.xxhash64("seq"))
+    cells = keyed.select("doc_id", "__text", T.tokens(F.col("seq"), words).alias("toks"), T.bare(F.col("seq"), words).alias("bare"))
     every = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.col("toks"), m, words, F.col("bare")) for m in shapes])))
-    return docs.select("doc_id", F.explode(every).alias("ngram")).join(rules.select("ngram", "weight"), "ngram").select("doc_id", "ngram", "weight")
+    found = cells.select("doc_id", "__text", F.explode(every).alias("ngram")).join(rules.select("ngram", F.col("weight").cast("double").alias("weight")), "ngram")
+    hits = found.groupBy("doc_id", "__text").agg(F.collect_set(F.struct("ngram", "weight")).cast(_HITS).alias("__hits"))
+    hits = hits.withColumnsRenamed({"doc_id": "__id", "__text": "__text2"})
+    out = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__text2")), "left")
+    return out.withColumn("__hits", F.coalesce("__hits", none)).drop("__id", "__text", "__text2")
+
+
+def matches(docs: DataFrame, rules: DataFrame, words: bool = False, few: int = FEW_RULES) -> DataFrame:
+    """doc_id, ngram and weight of each distinct rule that a document holds."""
+    return with_matches(docs, rules, words, few).select("doc_id", F.explode("__hits").alias("r")).select("doc_id", "r.ngram", "r.weight")
 
 
 def score(docs: DataFrame, rules: DataFrame, offset: float, words: bool = False, with_rules: bool = False) -> DataFrame:
-    """``docs`` with score, probability and n_rules, and with ``rules`` (n-grams in order) if asked for."""
-    extra = [F.sort_array(F.collect_list(T.shown(F.col("ngram")))).alias("rules")] if with_rules else []
-    sums = matches(docs, rules, words).groupBy("doc_id").agg(F.sum("weight").alias("__sum"), F.count("*").alias("n_rules"), *extra)
-    out = docs.join(sums, "doc_id", "left")
-    total = F.coalesce("__sum", F.lit(0.0)) + F.lit(float(offset))
-    out = out.withColumns({"score": total, "probability": probability(total), "n_rules": F.coalesce("n_rules", F.lit(0).cast("long"))}).drop("__sum")
-    return out.withColumn("rules", F.coalesce("rules", F.array().cast("array<string>"))) if with_rules else out
+    """``docs`` with score, probability and n_rules, and with ``rules`` (n-grams in order) if asked for; all in the row."""
+    out = with_matches(docs, rules, words)
+    total = F.aggregate(F.array_sort("__hits"), F.lit(float(offset)), lambda a, r: a + r["weight"])
+    out = out.withColumns({"score": total, "n_rules": F.size("__hits").cast("long")}).withColumn("probability", probability(F.col("score")))
+    if with_rules:
+        out = out.withColumn("rules", F.sort_array(F.transform("__hits", lambda r: T.shown(r["ngram"]))))
+    return out.drop("__hits")
 
 
 def unmatched(scored: DataFrame) -> DataFrame:
     """Documents that hold none of the model's n-grams."""
     return scored.where("n_rules = 0")
+
+
+def count_unmatched(scored: DataFrame) -> DataFrame:
+    """How many documents hold none of the model's n-grams, and how many there are; one row."""
+    return scored.agg(F.count_if(F.col("n_rules") == 0).alias("n_oov"), F.count("*").alias("n"))

@@ -11,12 +11,33 @@ from seqforge.functions import loss as L
 from seqforge.functions import text as T
 from seqforge.operators.learn import LearnConfig, Learned, learn
 from seqforge.operators.index import grams_of
+from seqforge.session import materialise
 from seqforge.sources.labelled import one_vs_rest
 
 
 def learn_classes(docs: DataFrame, classes: list[int], config: LearnConfig) -> dict[int, Learned]:
-    """A model for each class, of ``docs`` (doc_id, seq, label)."""
-    return {k: learn(docs.withColumn("y", one_vs_rest(F.col("label"), k)), replace(config)) for k in classes}
+    """A model for each class, of ``docs`` (doc_id, seq, label). The documents are tokenised and written once for all classes, and
+    the best n-grams of one class are candidates of the next."""
+    toks, bare = T.tokens(F.col("seq"), config.words), T.bare(F.col("seq"), config.words)
+    rows = materialise(docs.select("doc_id", "label", toks.alias("toks"), bare.alias("bare"), F.lit(0.0).alias("f")), "documents")
+    out: dict[int, Learned] = {}
+    near: list[str] = []
+    for k in classes:
+        out[k] = learn(rows.withColumn("y", one_vs_rest(F.col("label"), k)).drop("label"), replace(config), candidates=near)
+        near = [*out[k].model.weights, *near][:32]
+    return out
+
+
+def fold_predictions(docs: DataFrame, classes: list[int], config: LearnConfig, folds: int) -> DataFrame:
+    """One-vs-rest over folds: ``docs`` (doc_id, seq, label, fold) with ``predicted``, each fold by models of the others."""
+    out = None
+    for k in range(folds):
+        models = learn_classes(docs.where(F.col("fold") != k), classes, config)
+        test = docs.where(F.col("fold") == k)
+        chosen = argmax(score_classes(test, models), ["doc_id"])
+        part = test.select("doc_id", "label", "fold").join(chosen, "doc_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def class_gradients(docs: DataFrame, classes: list[int], size: int, config: LearnConfig) -> DataFrame:

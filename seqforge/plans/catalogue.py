@@ -73,6 +73,53 @@ def parse_labelled_lines(spark, d):
     return labelled.parse_lines(docs.select("doc_id", line.alias("value"))).select("doc_id", "y", F.md5("seq").alias("seq_md5"), "malformed")
 
 
+_KEPT = """l as (select doc_id, regexp_replace({line}, '\\r$', '') v from e),
+k as (select doc_id, regexp_extract(v, '^([^ \\t]*)', 1) a, case when regexp_matches(v, '[ \\t]') then regexp_extract(v, '^[^ \\t]*[ \\t](.*)$', 1) else v end seq from l where v <> '' and not starts_with(v, ';')),
+n as (select doc_id, coalesce(try_cast(regexp_extract(a, '^([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) as double), 0) y, seq from k)""".format(line=_LINE_SQL)
+
+
+def _line_file(spark, d) -> str:
+    """The lines of parse_labelled_lines as one text file, in the order of doc_id."""
+    kind, path = F.col("doc_id") % 5, fresh_path(spark, "lines")
+    line = F.when(kind == 0, F.concat(F.lit("1.5abc\t"), "seq")).when(kind == 1, F.concat(F.lit("-2e1 "), "seq", F.lit("\r"))).when(kind == 2, F.concat(F.lit("; "), "seq")).when(kind == 3, F.col("seq")).otherwise("")
+    X.char_docs(spark, d).select("doc_id", line.alias("value")).coalesce(1).sortWithinPartitions("doc_id").select("value").write.option("lineSep", "\n").text(path)
+    return path
+
+
+@_register("labelled_file", f"with {X.CHAR_DOCS}, {_KEPT} select y, md5(seq) seq_md5, count(*) n from n where length(seq) > 0 group by all")
+def labelled_file(spark, d):
+    """A labelled file as the learner reads it."""
+    return labelled.read_labelled(spark, _line_file(spark, d)).groupBy("y", F.md5("seq").alias("seq_md5")).agg(F.count("*").alias("n"))
+
+
+@_register("labelled_file_limit", f"with {X.CHAR_DOCS}, {_KEPT} select y, md5(seq) seq_md5 from n where length(seq) > 0 order by doc_id limit 40")
+def labelled_file_limit(spark, d):
+    """The first 40 accepted rows of a file: the limit is the feature."""
+    return labelled.read_labelled(spark, _line_file(spark, d), limit=40).select("y", F.md5("seq").alias("seq_md5"))
+
+
+@_register("test_scan", f"with {X.CHAR_DOCS}, {_KEPT} select case when trunc(y) = 1 then 1.0::double else -1.0::double end y, md5(seq) seq_md5, count(*) n from n group by all")
+def test_scan(spark, d):
+    """A file as the predictor reads it: empty sequences stay, labels against one class."""
+    return labelled.read_labelled(spark, _line_file(spark, d), drop_empty=False, positive=1).groupBy("y", F.md5("seq").alias("seq_md5")).agg(F.count("*").alias("n"))
+
+
+@_register("label_table", 'select cast(doc_id as varchar) "Id", quality "Class" from labels')
+def label_table(spark, d):
+    path = fresh_path(spark, "labels")
+    X.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("Id"), F.col("quality").alias("Class")).write.csv(path, header=True)
+    return labelled.read_labels(spark, path)
+
+
+@_register("prediction_matrix", """with p as (select row_number() over (order by doc_id) - 1 "row", n_chars / 4.0 a, doc_id / 2.0 b from documents)
+select "row", cast(1 as int) "column", cast(a as double) "value" from p union all select "row", 2, cast(b as double) from p""")
+def prediction_matrix(spark, d):
+    """A matrix file in long form, rows numbered by their places."""
+    path = fresh_path(spark, "matrix")
+    X.table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 4.0).alias("a"), (F.col("doc_id") / 2.0).alias("b")).coalesce(1).sortWithinPartitions("doc_id").select("a", "b").write.csv(path)
+    return labelled.read_matrix(spark, path, 2)
+
+
 @_register("read_stats", f"with {X.CHAR_DOCS} select count(*) filter (y > 0) n_pos, count(*) filter (y <= 0) n_neg, count(*) n, {q('avg(y)')} mean_y from e")
 def read_stats(spark, d):
     return labelled.stats(X.char_docs(spark, d)).withColumn("mean_y", F.round("mean_y", 6) + 0.0)
@@ -152,25 +199,26 @@ def minsup_unigrams(spark, d):
 select a.tok || b.tok ngram, count(*) n, count(distinct a.doc_id) support from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where b.tok in (select tok from known) group by 1""")
 def bigram_children(spark, d):
     docs = X.char_docs(spark, d)
-    occ = index.occurrences(docs)
-    found = index.children(index.first_level(occ), occ, known=index.support(docs, minsup=50))
-    by_doc = found.groupBy("ngram", "doc_id").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("ngram").agg(F.sum("n").alias("n"), F.count("*").alias("support"))
+    return index.occurrence_counts(index.children(index.first_level(docs)), known=index.support(docs, minsup=50))
 
 
 @_register("wildcard_children", f"""with {X.EVENT_SEQS}, {WORDS}, o as (select doc_id, i pos, ws[i] tok from (select doc_id, ws, unnest(generate_series(1, len(ws))) i from w)),
 x as (select a.doc_id, a.tok || ' ' || b.tok ngram, b.pos from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 union all select a.doc_id, a.tok || ' *', b.pos from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1)
 select ngram, count(*) n, count(distinct doc_id) support from x group by ngram""")
 def wildcard_children(spark, d):
-    occ = index.occurrences(X.event_seqs(spark, d), words=True)
-    found = index.children(index.first_level(occ), occ, words=True, wildcard=True)
-    return found.groupBy(T.shown(F.col("ngram")).alias("ngram")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("support"))
+    found = index.occurrence_counts(index.children(index.first_level(X.event_seqs(spark, d), True), True, wildcard=True), True)
+    return found.select(T.shown(F.col("ngram")).alias("ngram"), "n", "support")
+
+
+@_register("next_tokens", f"with {X.EVENT_SEQS}, {WORDS}, o as (select doc_id, i - 1 pos, ws[i] tok from (select doc_id, ws, unnest(generate_series(1, len(ws))) i from w)) select tok, lead(tok) over (partition by doc_id order by pos) next, count(*) n from o group by all".replace("select tok, lead(tok) over (partition by doc_id order by pos) next, count(*) n from o group by all", "select tok, next, count(*) n from (select tok, lead(tok) over (partition by doc_id order by pos) next from o) group by all"))
+def next_tokens(spark, d):
+    found = index.following(index.occurrences(X.event_seqs(spark, d), words=True))
+    return found.groupBy("tok", "next").agg(F.count("*").alias("n"))
 
 
 @_register("shrunk_postings", f"with {X.EVENT_SEQS}, {WORDS} select distinct doc_id, ng ngram from ({word_grams_sql([(False, False)])})")
 def shrunk_postings(spark, d):
-    occ = index.occurrences(X.event_seqs(spark, d), words=True)
-    return index.shrink(index.children(index.first_level(occ), occ, words=True)).select("doc_id", "ngram")
+    return index.shrink(index.postings(index.children(index.first_level(X.event_seqs(spark, d), True), True))).select("doc_id", "ngram")
 
 
 @_register("ngram_support", f"with {X.CHAR_DOCS} select ng ngram, count(*) support from ({grams_sql((1, 2, 3))}) group by ng having count(*) >= {MINSUP}")
@@ -233,7 +281,8 @@ def best(spark: SparkSession, docs: DataFrame, config: search.SearchConfig) -> D
     state = learn.prepare(docs, config.words)
     f = F.lit(learn.intercept_step(state, "squared") if config.objective == "squared" else 0.0)
     found = search.best_ngram(state.withColumn("g", L.pull(config.objective, F.col("y"), f)), config)
-    return spark.createDataFrame([(found.ngram.replace(T.WILD, "*"), found.size, round(found.gradient, 6) + 0.0, found.support)], "ngram string, size int, gradient double, support long")
+    rows = [] if found.ngram is None else [(found.ngram.replace(T.WILD, "*"), found.size, round(found.gradient, 6) + 0.0, found.support)]
+    return spark.createDataFrame(rows, "ngram string, size int, gradient double, support long")
 
 
 @_register("best_ngram_minpat", f"""with {X.CHAR_DOCS}, g as (select doc_id, 2 * (y - (select avg(y) from e)) g from e), p as ({grams_sql(range(3, MAXPAT + 1))})
@@ -248,6 +297,12 @@ def best_event_pattern(spark, d):
     return best(spark, X.event_seqs(spark, d), search.SearchConfig(words=True, maxpat=3, gaps=(1, 1)))
 
 
+@_register("best_ngram_any_size")
+def best_ngram_any_size(spark, d):
+    """Without a largest size: pruning alone ends the search (held against brute force in the tests)."""
+    return best(spark, X.char_docs(spark, d), search.SearchConfig(minsup=MINSUP))
+
+
 @_register("penalised_loss", f"with {X.SCORED} select {q('sum((y - score) * (y - score)) + (select 0.2 * sum(abs(weight)) + 0.4 * sum(weight * weight) from m)')} loss from s")
 def penalised_loss(spark, d):
     extra = L.penalty([w for _, w in X.RULES], 1.0, 0.2)
@@ -285,14 +340,24 @@ def convergence_rate(spark, d):
     return X.scored(spark, d).agg(R(F.sum(F.abs(move)) / (1 + F.sum(F.abs("score"))), "rate"))
 
 
-def learn_sql(k: int) -> str:
-    blocks = [f"with {X.CHAR_DOCS}, p as materialized ({grams_sql(range(1, MAXPAT + 1))}), f0 as (select doc_id, y, cast(0 as double) f from e)"]
+def _learn_rows(k: int) -> str:
+    return " union all ".join(f"select {i} itr, '*INTERCEPT*' ngram, {q('d')} step from i{i} union all select {i}, ng, {q('step')} from b{i}" for i in range(1, k + 1))
+
+
+def learn_blocks(k: int, start: str = "f0", name: str = "") -> list[str]:
+    """``k`` steps of squared error as common table expressions; n-grams of each document are in p. The last one is f<k><name>."""
+    blocks = []
     for i in range(1, k + 1):
-        blocks.append(f"""i{i} as materialized (select avg(y - f) d from f{i - 1}), r{i} as materialized (select doc_id, y, f + d f from f{i - 1}, i{i}),
-b{i} as materialized (select ng, sz, avg(y - f) step from p join r{i} using (doc_id) group by ng, sz having abs(sum(y - f)) > 1e-9 order by round(abs(sum(2 * (y - f))), 9) desc, sz, ng limit 1),
-f{i} as materialized (select r.doc_id, r.y, r.f + case when p.ng is not null then b.step else 0 end f from r{i} r cross join b{i} b left join p on p.doc_id = r.doc_id and p.ng = b.ng)""")
-    rows = " union all ".join(f"select {i} itr, '*INTERCEPT*' ngram, {q('d')} step from i{i} union all select {i}, ng, {q('step')} from b{i}" for i in range(1, k + 1))
-    return ", ".join(blocks) + " " + rows
+        f, x = start if i == 1 else f"f{i - 1}{name}", f"{i}{name}"
+        blocks.append(f"""i{x} as materialized (select avg(y - f) d from {f}), r{x} as materialized (select doc_id, y, f + d f from {f}, i{x}),
+b{x} as materialized (select ng, sz, avg(y - f) step from p join r{x} using (doc_id) group by ng, sz having abs(sum(y - f)) > 1e-9 order by round(abs(sum(2 * (y - f))), 9) desc, sz, ng limit 1),
+f{x} as materialized (select r.doc_id, r.y, r.f + case when p.ng is not null then b.step else 0 end f from r{x} r cross join b{x} b left join p on p.doc_id = r.doc_id and p.ng = b.ng)""")
+    return blocks
+
+
+def learn_sql(k: int) -> str:
+    head = f"with {X.CHAR_DOCS}, p as materialized ({grams_sql(range(1, MAXPAT + 1))}), f0 as (select doc_id, y, cast(0 as double) f from e)"
+    return ", ".join([head, *learn_blocks(k)]) + " " + _learn_rows(k)
 
 
 @_register("learn_k_iterations", learn_sql(3))
@@ -302,12 +367,44 @@ def learn_k_iterations(spark, d, k: int = 3):
     return spark.createDataFrame([(i // 2 + 1, g, round(s, 6) + 0.0) for i, (s, g) in enumerate(steps)], "itr int, ngram string, step double")
 
 
-@_register("learning_log")
-def learning_log(spark, d):
-    config = learn.LearnConfig(objective="logistic", words=True, maxpat=2, c=1.0, max_iterations=3, convergence=-1.0)
-    docs = X.event_seqs(spark, d)
-    mean = docs.agg(F.avg("y")).first()[0]
-    return learn.log_frame(spark, learn.learn(docs.withColumn("y", F.when(F.col("y") > mean, 1.0).otherwise(-1.0)), config).log)
+def learn_log_sql(k: int) -> str:
+    blocks = learn_sql(k)[: -len(_learn_rows(k))]
+    return blocks + " union all ".join(
+        f"select cast({i} as int) \"Iteration\", (select ng from b{i}) symbol, {q(f'(select step from b{i})')} \"optimalStepLength\", {q('sum((f.y - f.f) * (f.y - f.f))')} loss, {q('sum(abs(f.f - r.f)) / (1 + sum(abs(r.f)))')} \"convRate\" from f{i} f join r{i} r using (doc_id)"
+        for i in range(1, k + 1)
+    )
+
+
+@_register("learning_log", learn_log_sql(3))
+def learning_log(spark, d, k: int = 3):
+    """The log of three learning steps, written to a file and read back."""
+    config = learn.LearnConfig(maxpat=MAXPAT, max_iterations=k, convergence=-1.0)
+    path = fresh_path(spark, "log")
+    sinks.write_log(spark, learn.log_frame(spark, learn.learn(X.char_docs(spark, d), config).log), path)
+    return labelled.read_log(spark, path).select("Iteration", "symbol", R("optimalStepLength", "optimalStepLength"), R("loss", "loss"), R("convRate", "convRate"))
+
+
+def _first_step_sql(kind: str) -> str:
+    """At f = 0 and y = 1 or -1 the best constant has a closed form, for all documents and for those with an n-gram."""
+    at = {"logistic": "ln(count(*) filter (y > 0) / cast(count(*) filter (y < 0) as double))", "hinge": "avg(y)"}[kind]
+    return f"""with {X.CHAR_DOCS}, i as (select {at} d from e), s as (select doc_id, y, d score from e, i), g as (select doc_id, y, {_SQL[kind][1]} g from s), p as ({grams_sql(range(1, MAXPAT + 1))}),
+b as (select ng, sum(g) g, count(*) support, {at} - (select d from i) step from p join g using (doc_id) group by ng, sz having count(*) >= {MINSUP} order by round(abs(sum(g)), 9) desc, sz, ng limit 1)
+select '*INTERCEPT*' ngram, round(d, 4) + 0.0 step from i union all select ng, round(step, 4) + 0.0 from b"""
+
+
+for _kind in ("logistic", "hinge"):
+
+    @_register(f"learn_first_step_{_kind}", _first_step_sql(_kind))
+    def _first_step(spark, d, kind=_kind):
+        config = learn.LearnConfig(objective=kind, maxpat=MAXPAT, minsup=MINSUP, max_iterations=1, convergence=-1.0, tolerance=1e-6)
+        steps = learn.learn(X.char_docs(spark, d), config).model.steps
+        return spark.createDataFrame([(g, round(s, 4) + 0.0) for s, g in steps], "ngram string, step double")
+
+
+@_register("validation_loss", f"with {X.SCORED} select {q('sum((y - score) * (y - score))')} loss from s")
+def validation_loss(spark, d):
+    m = model.SequenceModel([(w, g) for g, w in X.RULES], bias=X.OFFSET)
+    return spark.createDataFrame([(round(learn.validation_loss(m, X.char_docs(spark, d)), 6) + 0.0,)], "loss double")
 
 
 _C, _ALPHA = 1.0, 0.2
@@ -334,14 +431,19 @@ def prefix_bound_correction(spark, d):
     return level.where(F.col("ngram").isin(affected)).select("ngram", R("reach", "reach"))
 
 
-@_register("line_search_step")
+_TH = "select count(*) filter (y > 0) a, count(*) filter (y < 0) b, count(*) n from e where contains(seq, 'th')"
+
+
+@_register("line_search_step", f"""with {X.CHAR_DOCS}, c as ({_TH}) select 'logistic' objective, round(ln(a / cast(b as double)), 4) + 0.0 step, n support from c
+union all select unnest(['hinge', 'squared']), round((a - b) / cast(n as double), 4) + 0.0, n from c""")
 def line_search_step(spark, d):
+    """The best step of the documents with an n-gram, which has a closed form at f = 0."""
     state = learn.prepare(X.char_docs(spark, d), False)
     rows = state.where(T.holds(F.col("bare"), "th", False))
     out = []
     for kind in L.OBJECTIVES:
         g, n = rows.agg(-F.sum(L.pull(kind, F.col("y"), F.col("f"))), F.count("*")).first()
-        out.append((kind, float(learn.line_search(rows, kind, g or 0.0, n)), n))
+        out.append((kind, round(float(learn.line_search(rows, kind, g or 0.0, n, tolerance=1e-6)), 4) + 0.0, n))
     return spark.createDataFrame(out, "objective string, step double, support long")
 
 
@@ -351,7 +453,10 @@ _STEPS_SQL = f"st(itr, ngram, step) as (values {X.values(X.STEPS)})"
 
 
 def _steps(spark) -> DataFrame:
-    return spark.createDataFrame(X.STEPS, "itr int, ngram string, step double")
+    """The literal steps, as a saved model has them."""
+    path = fresh_path(spark, "model")
+    sinks.save_model(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
+    return spark.read.parquet(path).select("itr", "ngram", "step")
 
 
 @_register("model_weights", f"with {_STEPS_SQL} select ngram, {q('sum(step)')} weight from st group by ngram")
@@ -377,8 +482,17 @@ def normalised_weights(spark, d):
 select cast(1 as int) n, '0' line union all select 2, cast(w as varchar) || ' INTERCEPT' from wt where ngram = '*INTERCEPT*'
 union all select cast(2 + row_number() over (order by w desc, ngram) as int), cast(w as varchar) || ' ' || ngram from wt where ngram <> '*INTERCEPT*'""")
 def model_lines(spark, d):
-    m = model.SequenceModel([(s, g) for _, g, s in X.STEPS])
-    return spark.createDataFrame(list(enumerate(sinks.model_lines(m), 1)), "n int, line string")
+    path = fresh_path(spark, "model-lines")
+    sinks.write_model(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
+    return labelled.numbered(spark.read.text(path)).select((F.col("row") + 1).cast("int").alias("n"), F.col("value").alias("line"))
+
+
+@_register("step_lines", f"with {_STEPS_SQL} select cast(row_number() over (order by itr, ngram <> '*INTERCEPT*') - 1 as bigint) itr, step, ngram from st")
+def step_lines(spark, d):
+    """The log of learning steps, written as lines and parsed again."""
+    path = fresh_path(spark, "steps")
+    sinks.write_steps(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
+    return labelled.read_steps(spark, path).select("itr", "step", "ngram")
 
 
 @_register("saved_model", f"with {_STEPS_SQL} select cast(row_number() over (order by itr, ngram <> '*INTERCEPT*') - 1 as int) itr, ngram, step from st")
@@ -427,9 +541,20 @@ def feature_ids(spark, d):
     return listed.select("doc_id", F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(":1.0"))), " ").alias("ids"))
 
 
-@_register("oov_docs", f"with {X.SCORED} select doc_id, {q('score')} score from s where n_rules = 0")
+#: Rules that many documents lack.
+_RARE = [("zz", 0.5), ("qu", -0.25), ("sch", 0.125)]
+_RARE_SQL = f"""{X.CHAR_DOCS}, m(ngram, weight) as (values {X.values(_RARE)}), hit as (select doc_id, weight from e join m on contains(seq, ngram)),
+s as (select e.doc_id, cast({X.OFFSET} as double) + coalesce(sum(weight), 0) score, count(weight) n_rules from e left join hit on e.doc_id = hit.doc_id group by e.doc_id)"""
+
+
+@_register("oov_docs", f"with {_RARE_SQL} select doc_id, {q('score')} score from s where n_rules = 0")
 def oov_docs(spark, d):
-    return model.unmatched(X.scored(spark, d)).select("doc_id", R("score", "score"))
+    return model.unmatched(model.score(X.char_docs(spark, d), X.rules_frame(spark, _RARE), X.OFFSET)).select("doc_id", R("score", "score"))
+
+
+@_register("oov_count", f"with {_RARE_SQL} select count(*) filter (n_rules = 0) n_oov, count(*) n from s")
+def oov_count(spark, d):
+    return model.count_unmatched(model.score(X.char_docs(spark, d), X.rules_frame(spark, _RARE), X.OFFSET))
 
 
 @_register("stream_scores", _oracles["score_docs"].replace(", n_rules from s", " from s"))
@@ -443,9 +568,27 @@ def stream_scores(spark, d):
     return spark.read.parquet(out).select("doc_id", R("score", "score"))
 
 
-@_register("prediction_lines", f"with {X.SCORED} select e.doc_id, printf('%.1f %.4f', e.y, score) line, md5(seq) seq_md5 from s join e using (doc_id)")
+_LINES = {1: "cast(score as varchar)", 2: "cast(y as varchar) || ' ' || cast(score as varchar) || ' ' || cast(pr as varchar) || ' ' || md5(seq)"}
+_LINES[4] = _LINES[2] + " || ' <instance> ' || rules || ' </instance>'"
+_LINES[5] = "cast(y as varchar) || ' ' || ids"
+
+
+@_register("prediction_lines", f"""with {X.SCORED}, k as (select ngram, row_number() over (order by ngram) id from m),
+x as (select e.doc_id, e.y, e.seq, score, round(1 / (1 + exp(-score)), 4) pr, coalesce((select string_agg(ngram, ' ' order by ngram) from hit where hit.doc_id = e.doc_id), '') rules,
+  coalesce((select string_agg(id || ':1.0', ' ' order by id) from hit join k using (ngram) where hit.doc_id = e.doc_id), '') ids from e join s using (doc_id)) """ + " union all ".join(f"select cast({v} as int) verbosity, {x} \"value\" from x" for v, x in _LINES.items()))
 def prediction_lines(spark, d):
-    return X.scored(spark, d).select("doc_id", F.format_string("%.1f %.4f", "y", "score").alias("line"), F.md5("seq").alias("seq_md5"))
+    """The prediction file of each verbosity, written and read back."""
+    docs = X.char_docs(spark, d)
+    scored = model.score(docs, X.rules_frame(spark, X.RULES), X.OFFSET, with_rules=True)
+    numbers = F.array(*[F.lit(g) for g in sorted(g for g, _ in X.RULES)])
+    ids = F.transform("rules", lambda g: F.array_position(numbers, g))
+    scored = materialise(scored.withColumns({"ids": ids, "probability": F.round("probability", 4), "seq": F.md5("seq")}), "scored")
+    out = None
+    for v in _LINES:
+        sinks.write_predictions(scored, path := fresh_path(spark, "predictions"), v)
+        part = spark.read.text(path).select(F.lit(v).alias("verbosity"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @_register("train_lines", f"""with {X.LANG_DOCS} select '+' || "label" || ' ' || md5(seq) "value" from e""")
@@ -483,6 +626,22 @@ def class_metrics(spark, d):
     return out.select(*[c if c in ("tp", "fp", "fn", "tn") else R(c, c) for c in out.columns])
 
 
+def _written(spark, report: DataFrame) -> DataFrame:
+    sinks.write_report(report, path := fresh_path(spark, "report"))
+    return spark.read.schema(report.schema).json(path)
+
+
+@_register("regression_report", _oracles["regression_metrics"])
+def regression_report(spark, d):
+    """The measures, written as a report and read back."""
+    return _written(spark, regression_metrics(spark, d))
+
+
+@_register("class_report", _oracles["class_metrics"])
+def class_report(spark, d):
+    return _written(spark, class_metrics(spark, d))
+
+
 _GROUPS = """gr as (select score, count(*) filter (y > 0) p, count(*) filter (y <= 0) n from s group by score),
 cu as (select score, p, n, coalesce(sum(p) over (order by score desc rows between unbounded preceding and 1 preceding), 0) bp, coalesce(sum(n) over (order by score desc rows between unbounded preceding and 1 preceding), 0) bn from gr),
 to_ as (select sum(p) pp, sum(n) nn from gr)"""
@@ -530,6 +689,23 @@ def fold_disjointness(spark, d):
     return table.join(twice, "k", "left").select("k", "split", "n", "ids", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
 
 
+@_register("fold_files", f"""with {_PLACE}, x as (select case when fold = 1 then 'test' when held then 'validation' else 'train' end split, doc_id, quality, fold from fo)
+select fold, split, doc_id, quality from x""")
+def fold_files(spark, d):
+    """Fold and split of each row, written by folder and read back."""
+    sinks.write_folds(evaluate.splits(stratified_folds(spark, d), 1).drop("held"), path := fresh_path(spark, "folds"))
+    return spark.read.csv(path, header=True, schema="doc_id long, quality int, fold int, split string").select("fold", "split", "doc_id", "quality")
+
+
+@_register("submission_file", """select cast(doc_id as varchar) "TF_Id", lang "ArrayType", round(pow(2.0, log2(n_chars)), 3) + 0.0 "Signal_Mean" from documents where n_chars > 0""")
+def submission_file(spark, d):
+    """Predictions on the log scale as a compressed, tab-separated file, read back."""
+    docs = X.table(spark, d, "documents").where("n_chars > 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("array_type"), F.log2("n_chars").alias("prediction"))
+    sinks.write_submission(docs, path := fresh_path(spark, "submission"))
+    rows = spark.read.option("sep", "\t").csv(path, header=True, schema="TF_Id string, ArrayType string, Signal_Mean double")
+    return rows.withColumn("Signal_Mean", F.round("Signal_Mean", 3) + 0.0)
+
+
 #: Literal rules of four classes.
 _CLASS_RULES = [(1, "sch", 0.5), (1, "ung", 0.25), (2, "th", 0.5), (2, "sh", 0.25), (3, "ci", 0.5), (3, "ado", 0.25), (4, "eau", 0.5), (4, "oi", 0.25)]
 _CLASS_SQL = f"""{X.LANG_DOCS}, cm(k, ngram, weight) as (values {X.values(_CLASS_RULES)}),
@@ -570,13 +746,22 @@ def class_gradients(spark, d):
     return out.select("ngram", "support", *[R(f"class{k}", f"class{k}") for k in (1, 2, 3, 4)])
 
 
-@_register("one_vs_rest_models")
+def _one_vs_rest_sql() -> str:
+    blocks = [f"with {X.LANG_DOCS}, p as materialized ({grams_sql((1, 2))})"]
+    for k in (1, 2, 3, 4):
+        blocks.append(f"""z{k} as (select doc_id, case when "label" = {k} then 1.0::double else -1.0::double end y, cast(0 as double) f from e)""")
+        blocks += learn_blocks(2, f"z{k}", f"_{k}")
+    scores = " union all ".join(f"select doc_id, {k} k, f from f2_{k}" for k in (1, 2, 3, 4))
+    return ", ".join(blocks) + f""", c as ({scores}) select e.doc_id, "label", cast(arg_max(k, round(f, 9) * 1000000 - k) as int) predicted from c join e using (doc_id) group by e.doc_id, "label" """
+
+
+@_register("one_vs_rest_models", _one_vs_rest_sql())
 def one_vs_rest_models(spark, d):
     """Two learning steps for each language, scored and chosen among."""
     docs = X.lang_docs(spark, d)
     models = multiclass.learn_classes(docs, [1, 2, 3, 4], learn.LearnConfig(maxpat=2, max_iterations=2, convergence=-1.0))
-    chosen = multiclass.argmax(multiclass.score_classes(docs, models), ["doc_id"])
-    return docs.select("doc_id", "label").join(chosen, "doc_id")
+    scores = multiclass.score_classes(docs, models).withColumn("score", F.round("score", 9))
+    return docs.select("doc_id", "label").join(multiclass.argmax(scores, ["doc_id"]), "doc_id")
 
 
 @_register("positional_zip", """with a as (select row_number() over (order by doc_id) place, doc_id, n_chars from documents), b as (select row_number() over (order by doc_id) place, doc_id, quality from labels)
@@ -588,16 +773,11 @@ def positional_zip(spark, d):
 
 @_register("normalised_loss_curve", f"""with lo(c, iteration, loss) as (values {X.values(X.LOG)}) select c "class", iteration, {q('loss / max(loss) over (partition by c)')} relative, {q('lag(loss) over (partition by c order by iteration) - loss')} change from lo""")
 def normalised_loss_curve(spark, d):
-    log = spark.createDataFrame(X.LOG, "class int, iteration int, loss double")
+    spark.createDataFrame(X.LOG, "class int, iteration int, loss double").write.csv(path := fresh_path(spark, "logs"), header=True)
+    log = spark.read.csv(path, header=True, schema="class int, iteration int, loss double")
     return evaluate.loss_curve(log).select("class", "iteration", R("relative", "relative"), R("change", "change"))
 
 
-@_register("iteration_log", f"with lo(c, iteration, loss) as (values {X.values(X.LOG)}) select c \"class\", max(iteration) iterations, {q('min(loss)')} loss from lo group by c")
-def iteration_log(spark, d):
-    log = spark.createDataFrame(X.LOG, "class int, iteration int, loss double")
-    return log.groupBy("class").agg(F.max("iteration").alias("iterations"), R(F.min("loss"), "loss"))
-
-
 # --- generator and baselines -----------------------------------------------------------------------------------------
 
 
@@ -623,13 +803,15 @@ def ngram_vectoriser(spark, d):
     return rows.select("doc_id", F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_features"))
 
 
+def _vectors(spark, d, sizes=range(1, 4)):
+    rows, names = baselines.vectorise(X.char_docs(spark, d), sizes)
+    return materialise(rows.select("doc_id", "y", "features"), "features"), names
+
+
 def _baseline(kind: str):
     def run(spark, d):
-        docs = X.char_docs(spark, d)
-        rows, names = baselines.vectorise(docs, range(1, 2))
-        rows = materialise(rows.select("doc_id", "y", "features"), "features")
-        fitted = baselines.fit(kind, rows, rows.count())
-        return fitted.transform(rows).select("doc_id", F.col("prediction").alias("score"))
+        rows, _ = _vectors(spark, d)
+        return baselines.fit(kind, rows, rows.count()).transform(rows).select("doc_id", F.col("prediction").alias("score"))
 
     return run
 
@@ -640,13 +822,31 @@ for _kind in ("ols", "ridge", "enet"):
 
 @_register("svr_baseline")
 def svr_baseline(spark, d):
-    docs = X.char_docs(spark, d)
-    rows, names = baselines.vectorise(docs, range(1, 2))
-    rows = materialise(baselines.sparse(rows.select("y", "features")), "features")
+    rows, names = _vectors(spark, d)
+    rows = materialise(baselines.sparse(rows.select("y", "features")), "sparse")
     w, b = baselines.svr(rows, rows.count(), size=len(names))
     return spark.createDataFrame([(g, float(x)) for g, x in [*zip(names, w, strict=True), (model.INTERCEPT, b)]], "ngram string, weight double")
 
 
+@_register("baseline_conditions", f"""with {X.CHAR_DOCS}, t as (select distinct ng from ({grams_sql((1,))})), k(kind) as (values ('ols'), ('ridge'), ('enet'))
+select kind, ng ngram, true "optimal" from t, k union all select kind, '*INTERCEPT*', true from k""")
+def baseline_conditions(spark, d):
+    """Whether each baseline meets the conditions that hold at its optimum alone: the residuals' sum over the documents with an
+    n-gram is zero (least squares), the penalty's gradient (ridge), or within the l1 part where the weight is 0 (elastic net)."""
+    rows, names = _vectors(spark, d, range(1, 2))
+    n, out = rows.count(), []
+    for kind in ("ols", "ridge", "enet"):
+        fitted = baselines.fit(kind, rows, n)
+        sums = baselines.residual_sums(fitted, rows, len(names))
+        scale = 1e-4 * n
+        out.append((kind, model.INTERCEPT, bool(abs(sums[-1]) < scale)))
+        for name, w, r in zip(names, fitted.coefficients, sums, strict=False):
+            l1, l2 = {"ols": (0.0, 0.0), "ridge": (0.0, 1.0), "enet": (0.5 * n, 0.5 * n)}[kind]
+            gap = abs(r - l2 * w - l1 * (1 if w > 0 else -1)) if w else max(0.0, abs(r) - l1)
+            out.append((kind, name, bool(gap < scale)))
+    return spark.createDataFrame(out, "kind string, ngram string, optimal boolean")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn three rules on the documents and score them."""
     docs = X.char_docs(spark, sf_dir)

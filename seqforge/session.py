@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +20,44 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", master := spark.sparkContext.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="seqforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: The paths made since each :func:`temporary` that is open began.
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/seqforge/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/seqforge/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession, keep: str = "\0") -> Iterator[list[str]]:
+    """Tables that are written to the shared folder inside are deleted at the end, but for those whose name begins with
+    ``keep``, which pass to the :func:`temporary` around this one. What still reads the others must be written by then."""
+    _open.append(made := [])
+    try:
+        yield made
+    finally:
+        _open.pop()
+        for path in made:
+            if path.rpartition("/")[2].startswith(keep):
+                if _open:
+                    _open[-1].append(path)
+            else:
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,9 +70,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete all that :func:`materialise` has written to the shared folder; results that still read it must be done."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/seqforge")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/seqforge")
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqforge.functions.text import clean_hex_line, leading_number, split_label
+from seqforge.session import materialise
 
 
 def parse_lines(lines: DataFrame, value: str = "value", drop_empty: bool = True) -> DataFrame:
@@ -45,10 +47,20 @@ def centre(docs: DataFrame) -> tuple[DataFrame, float]:
     return docs.withColumn("y", F.col("y") - F.lit(mean)), mean
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``row``: their places from 0 without gaps, in the order in which the files are read. Counts of the
+    partitions come first, so no task sees all rows."""
+    placed = materialise(rows.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    return placed.join(F.broadcast(starts), F.col("__p") == F.col("__q")).withColumn("row", F.col("__s") + F.col("__i")).drop("__p", "__q", "__i", "__s")
+
+
 def read_steps(spark: SparkSession, path: str) -> DataFrame:
     """The rows ``step ngram`` of a model log, in order."""
     parts = F.split("value", " ", 2)
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("itr"), leading_number(parts[0]).alias("step"), F.get(parts, F.lit(1)).alias("ngram"))
+    return numbered(spark.read.text(path)).select(F.col("row").alias("itr"), leading_number(parts[0]).alias("step"), F.get(parts, F.lit(1)).alias("ngram"))
 
 
 def read_hex_dumps(spark: SparkSession, folder: str, labels: DataFrame) -> DataFrame:
@@ -64,9 +76,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """A CSV matrix of numbers in long form: row, column (from 1), value."""
+    """A CSV matrix of numbers in long form: row (from 0, by place), column (from 1), value."""
     schema = ", ".join(f"c{i} double" for i in range(1, columns + 1))
-    wide = spark.read.csv(path, schema=schema).withColumn("row", F.monotonically_increasing_id())
+    wide = numbered(spark.read.csv(path, schema=schema))
     return wide.unpivot("row", [f"c{i}" for i in range(1, columns + 1)], "column", "value").withColumn("column", F.substring("column", 2, 9).cast("int"))
 
 

@@ -53,6 +53,22 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.json(path)
 
 
+def write_log(spark: SparkSession, log: DataFrame, path: str) -> None:
+    """An iteration log with its header, in the order of the iterations."""
+    log.coalesce(1).sortWithinPartitions("Iteration").write.csv(path, header=True)
+
+
+def write_predictions(scored: DataFrame, path: str, verbosity: int = 1) -> None:
+    """The lines of :func:`predictions`, in the order of doc_id."""
+    predictions(scored, verbosity).orderBy("doc_id").select("value").write.text(path)
+
+
+def write_truth(planted: DataFrame, docs: DataFrame, path: str) -> None:
+    """The generator's ground truth: lines ``motif weight`` and, for each sequence, the motifs that it holds."""
+    planted.coalesce(1).sortWithinPartitions("motif_id").select(F.concat_ws(" ", "motif", F.col("weight").cast("string")).alias("value")).write.text(f"{path}/correctModel")
+    docs.orderBy("doc_id").select(F.array_join("contains", " ").alias("value")).write.text(f"{path}/contains")
+
+
 def write_folds(folds: DataFrame, path: str) -> None:
     folds.write.partitionBy("fold", "split").csv(path, header=True)
 

@@ -5,12 +5,13 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
-from seqforge.operators import evaluate, generate, index, learn, model, search
+from seqforge.operators import baselines, evaluate, generate, index, learn, model, multiclass, search, sweep
 from seqforge.operators.model import INTERCEPT
 from seqforge.sources import labelled, sinks
 from seqforge.streaming import scoring
@@ -67,8 +68,7 @@ def test_masks_and_gap_limits():
 def test_hand_cases_of_tokens_and_support(spark):
     docs = docs_of(spark, [(0, "abcab", 1.0), (1, "bcaé", 1.0), (2, "", 1.0), (3, "ab", 1.0)])
     assert {r.tok: r.support for r in index.support(docs).collect()} == {"a": 3, "b": 3, "c": 2, "é": 1}
-    occ = index.occurrences(docs)
-    found = index.shrink(index.children(index.first_level(occ), occ))
+    found = index.shrink(index.postings(index.children(index.first_level(docs))))
     assert {r[0]: r[1] for r in found.groupBy("ngram").count().collect()} == {"ab": 2, "bc": 2, "ca": 2, "aé": 1}
 
 
@@ -138,6 +138,195 @@ def test_other_objectives_lower_their_loss(spark, kind):
     assert reg[0] < start and reg == sorted(reg, reverse=True)
 
 
+def exact_step(kind, rows, f, has, penalty):
+    """The step that lowers the penalised loss of the documents most, by ternary search."""
+    z = lambda s: sum(brute_loss(kind, y, v + s) for (_, _, y), v, h in zip(rows, f, has) if h) + penalty(s)
+    low, high = -40.0, 40.0
+    for _ in range(200):
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if z(a) < z(b) else (a, high)
+    return (low + high) / 2
+
+
+def brute_loss(kind, y, f):
+    return {"logistic": lambda: math.log1p(math.exp(-y * f)), "hinge": lambda: max(0.0, 1 - y * f) ** 2}[kind]()
+
+
+@pytest.mark.parametrize("kind,c", [("logistic", 0.0), ("hinge", 0.0), ("logistic", 0.5), ("hinge", 0.5)])
+def test_steps_of_other_objectives_are_the_best_ones(spark, kind, c):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(6)), float(rng.choice([-1, 1, 1]))) for i in range(60)]
+    got = learn.learn(docs_of(spark, rows), learn.LearnConfig(objective=kind, maxpat=2, minsup=8, max_iterations=3, convergence=-1.0, c=c, alpha=0.2, tolerance=1e-7))
+    f, weights = [0.0] * len(rows), {}
+    steps = iter(got.model.steps)
+    for delta, name in steps:
+        assert name == INTERCEPT
+        assert abs(delta - exact_step(kind, rows, f, [True] * len(rows), lambda s: 0.0)) < 1e-3
+        f = [v + delta for v in f]
+        pulls = [{"logistic": y / (1 + math.exp(y * v)), "hinge": y * max(0.0, 2 * (1 - y * v))}[kind] for (_, _, y), v in zip(rows, f)]
+        step, gram = next(steps)
+        gains = {g: (abs(sum(p for (_, s, _), p in zip(rows, pulls) if g in s) - (L.penalty_gradient(weights[g], c, 0.2) if c and g in weights else 0.0))) for g in {s[i : i + n] for _, s, _ in rows for n in (1, 2) for i in range(7 - n)} if sum(g in s for _, s, _ in rows) >= 8}
+        assert gains[gram] >= max(gains.values()) - 1e-6
+        has, w = [gram in s for _, s, _ in rows], weights.get(gram, 0.0)
+        best = exact_step(kind, rows, f, has, lambda s: L.penalty([w + s], c, 0.2) - L.penalty([w], c, 0.2))
+        assert abs(step - best) < 1e-3
+        weights[gram] = w + step
+        f = [v + step * h for v, h in zip(f, has)]
+
+
+def test_candidates_change_the_work_and_not_the_winner(spark):
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("abcde") for _ in range(12)), float(rng.choice([-1, 1]))) for i in range(80)]
+    state = learn.prepare(docs_of(spark, rows), False).withColumn("g", F.col("y"))
+    config = search.SearchConfig(maxpat=4, minsup=2)
+    cold = search.best_ngram(state, config)
+    warm = search.best_ngram(state, config, candidates=[cold.ngram, "zz", "a"])
+    assert (warm.ngram, warm.gradient, warm.support) == (cold.ngram, cold.gradient, cold.support)
+    assert sum(x[2] for x in warm.counters) <= sum(x[2] for x in cold.counters)
+    depth = search.best_ngram(state, search.SearchConfig(maxpat=4, minsup=2, traversal="dfs"))
+    assert depth.ngram == cold.ngram
+
+
+@pytest.mark.parametrize("in_row", [0, 10_000])
+def test_survivors_in_the_row_or_joined(spark, monkeypatch, in_row):
+    monkeypatch.setattr(search, "IN_ROW", in_row)
+    rows = [(i, s, y) for i, (s, y) in enumerate([("abcab", 1.0), ("bcab", 1.0), ("cccab", -1.0), ("bca", 1.0)] * 3)]
+    state = learn.prepare(docs_of(spark, rows), False).withColumn("g", F.col("y"))
+    got = search.best_ngram(state, search.SearchConfig(maxpat=4))
+    assert (-round(abs(got.gradient), 9), got.size, got.ngram) == brute_best(rows, 4, 1)
+
+
+def test_early_stopping_on_validation(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(6)), rng.gauss(0, 1)) for i in range(30)]
+    other = [(i, "".join(rng.choice("abcdefgh") for _ in range(6)), rng.gauss(0, 1)) for i in range(30)]
+    config = learn.LearnConfig(maxpat=2, max_iterations=12, convergence=-1.0, validation="previous")
+    got = learn.learn(docs_of(spark, rows), config, validation=docs_of(spark, other))
+    assert got.reason == "validation loss" and len(got.log) in (6, 11)
+    m = model.SequenceModel(got.model.steps[:12])
+    first, later = (learn.validation_loss(model.SequenceModel(got.model.steps[: 2 * n]), docs_of(spark, other)) for n in (len(got.log) - 5, len(got.log)))
+    assert later > first and m.steps
+
+
+def test_models_of_classes_over_folds(spark):
+    rows = [(i, s, k, i % 2) for i, (s, k) in enumerate([("aab", 1), ("aba", 1), ("bcc", 2), ("ccb", 2)] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, seq string, label int, fold int")
+    got = multiclass.fold_predictions(docs, [1, 2], learn.LearnConfig(maxpat=1, max_iterations=2, convergence=-1.0), 2)
+    assert got.count() == 20 and got.where("label <> predicted").count() == 0
+    assert {(r.fold, r.accuracy, r.n) for r in multiclass.fold_accuracy(got).collect()} == {(None, 1.0, 20), (0, 1.0, 10), (1, 1.0, 10)}
+
+
+def vectors(spark, rows, sizes):
+    rows_, names = baselines.vectorise(docs_of(spark, rows), sizes)
+    x = np.array([[float(g in s.lower()) for g in names] for _, s, _ in rows])
+    return rows_.select("y", "features"), names, x, np.array([y for _, _, y in rows])
+
+
+def test_baselines_against_numpy(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ABCDE") for _ in range(rng.randint(1, 5))), rng.gauss(3, 4)) for i in range(80)]
+    df, names, x, y = vectors(spark, rows, range(1, 3))
+    df, names1, x1, _ = vectors(spark, rows, range(1, 2))
+    n, a = len(y), np.c_[x1, np.ones(len(y))]
+    ols = baselines.fit("ols", df, n)
+    assert np.abs(np.r_[ols.coefficients.toArray(), ols.intercept] - np.linalg.lstsq(a, y, rcond=None)[0]).max() < 1e-3
+    ridge = baselines.fit("ridge", df, n)
+    want = np.linalg.solve(a.T @ a + np.diag([1.0] * x1.shape[1] + [0.0]), a.T @ y)
+    assert np.abs(np.r_[ridge.coefficients.toArray(), ridge.intercept] - want).max() < 1e-3
+    enet, w, b = baselines.fit("enet", df, n), np.zeros(x1.shape[1]), 0.0
+    for _ in range(2000):  # coordinate descent
+        b = (y - x1 @ w).mean()
+        for j in range(len(w)):
+            r = x1[:, j] @ (y - b - x1 @ w + x1[:, j] * w[j]) / n
+            w[j] = np.sign(r) * max(0, abs(r) - 0.5) / ((x1[:, j] ** 2).sum() / n + 0.5)
+    assert np.abs(np.r_[enet.coefficients.toArray(), enet.intercept] - np.r_[w, b]).max() < 1e-3
+    got, gb = baselines.svr(baselines.sparse(df), n, rounds=10, size=len(names1))
+    w, b = np.zeros(x1.shape[1]), 0.0
+    for t in range(1, 11):
+        e = x1 @ w + b - y
+        w, b = w * (1 - 1 / (n * t**0.5)) - x1.T @ np.sign(e) / (n * t**0.5), b - np.sign(e).sum() / (n * t**0.5)
+    assert np.abs(np.r_[got, gb] - np.r_[w, b]).max() < 1e-9
+    assert len(names) == x.shape[1] == len({g for _, s, _ in rows for k in (1, 2) for i in range(len(s) - k + 1) for g in [s.lower()[i : i + k]]})
+    out = baselines.report("ols", ols.transform(df).withColumnRenamed("prediction", "score"), names1, ols.coefficients, {"fit": 0.5}).first()
+    top = int(np.argmax(ols.coefficients.toArray()))
+    assert (out.top_feature, out.fit_seconds) == (names1[top], 0.5) and abs(out.mse - ((a @ np.linalg.lstsq(a, y, rcond=None)[0] - y) ** 2).mean()) < 1e-4
+
+
+def test_rows_that_share_an_id_have_scores_of_their_own(spark):
+    docs = docs_of(spark, [(1, "th", 0.0), (1, "th", 0.0), (1, "x", 0.0), (None, "th", 0.0)])
+    m = model.SequenceModel([(1.0, "th")])
+    assert sorted(r.score for r in m.transform(docs).collect()) == [0.0, 1.0, 1.0, 1.0]
+    many = model.with_matches(docs, m.rules(spark), few=0)
+    assert sorted(len(r["__hits"]) for r in many.collect()) == [0, 1, 1, 1]
+
+
+def test_masks_grow_within_the_limits():
+    assert len(T.masks(60)) == 1 and len(T.masks(40, 1, 1)) == 39
+    for size, total, run in ((5, 2, 1), (6, 3, 2), (4, 9, 9)):
+        every = [m for m in itertools.product((False, True), repeat=size) if not m[0] and not m[-1] and sum(m) <= total and max(len(r) for r in "".join("*" if w else " " for w in m).split(" ")) <= run]
+        assert T.masks(size, total, run) == sorted(every)
+
+
+def test_places_of_rows_have_no_gaps(spark, tmp_path):
+    spark.range(1000).repartition(7).sortWithinPartitions("id").selectExpr("id", "-id").write.csv(str(tmp_path / "m"))
+    got = labelled.read_matrix(spark, str(tmp_path / "m"), 2)
+    assert sorted(r.row for r in got.where("column = 1").collect()) == list(range(1000))
+    assert got.groupBy("row").agg(F.sum("value").alias("s")).where("s <> 0").count() == 0
+
+
+def test_truth_and_repair_of_toy_sequences(spark, tmp_path):
+    planted = spark.createDataFrame([(0, "AB", 2.0), (1, "CD", -1.0)], "motif_id long, motif string, weight double")
+    docs = generate.toy_sequences(spark, 60, 12, 4, planted, seed=1, noise=0.0, test_every=25, repair=True)
+    rows = docs.collect()
+    for r in rows:
+        assert r.contains == [m for m in ("AB", "CD") if m in r.seq] and r.y == sum({"AB": 2.0, "CD": -1.0}[m] for m in r.contains)
+    assert sum(r.test for r in rows) == 3 and len({tuple(r.contains) for r in rows}) == 4
+    loose = generate.toy_sequences(spark, 60, 12, 4, planted, seed=1, noise=0.0)
+    assert sum(len(r.contains) for r in rows) < sum(len(r.contains) for r in loose.collect())
+    assert {len(r.seq) for r in generate.toy_sequences(spark, 30, 12, 4, planted, insert=True).collect()} == {12, 14, 16}
+    sinks.write_truth(planted, docs, str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t/correctModel")).collect()] == ["AB 2.0", "CD -1.0"]
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t/contains")).collect()) == sorted(" ".join(r.contains) for r in rows)
+
+
+def test_sweeps(spark):
+    config = learn.LearnConfig(maxpat=3, max_iterations=2, minsup=2)
+    got = sweep.alphabet_sweep(spark, config, (2, 4), 1, 40, 12, 3, 1).collect()
+    assert {(r.alphabet, r.run, r.method) for r in got} == {(k, 0, m) for k in (2, 4) for m in ("learned", "ridge")} and all(r.mse >= 0 for r in got)
+    rows = [(i, g, k, s, y) for i, (g, k, s, y) in enumerate([(g, k, s, y) for g in ("t1", "t2") for k in ("HK", "ME") for s, y in (("aab", 3.0), ("abb", 2.0), ("bbb", 1.0))])]
+    docs = spark.createDataFrame(rows, "doc_id long, group string, kind string, seq string, y double")
+    out = sweep.transfer_sweep(docs, ["t1", "t2"], ("HK", "ME"), learn.LearnConfig(maxpat=2, max_iterations=4, convergence=-1.0)).collect()
+    assert len(out) == 12 and all(abs(r.score - r.y) < 0.6 for r in out) and {r.trained_on for r in out} == {"HK", "ME"}
+
+
+def test_search_of_no_documents_has_no_row(spark):
+    from seqforge.plans import catalogue
+
+    assert catalogue.best(spark, docs_of(spark, []), search.SearchConfig(maxpat=2)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from seqforge import session
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster())
+
+
+def test_temporary_tables_go(spark):
+    from seqforge.session import materialise, temporary
+
+    with temporary(spark):
+        with temporary(spark, keep="kept") as made:
+            kept, gone = materialise(spark.range(3), "kept-x"), materialise(spark.range(3), "x")
+            assert gone.count() == 3
+        assert [os.path.exists(p.removeprefix("file://")) for p in made] == [True, False] and kept.count() == 3
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in made)
+
+
 def test_line_search_finds_the_mean_for_squared_error(spark):
     rows = docs_of(spark, [(0, "a", 1.0), (1, "a", 2.0), (2, "a", 6.0)])
     state = learn.prepare(rows, False)
@@ -261,4 +450,4 @@ def test_registered_queries_have_oracles():
     from seqforge.plans import catalogue
 
     free = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert free == {"learning_log", "line_search_step", "one_vs_rest_models", "toy_sequences", "motif_recovery", "ols_baseline", "ridge_baseline", "enet_baseline", "svr_baseline"}
+    assert free == {"best_ngram_any_size", "toy_sequences", "motif_recovery", "ols_baseline", "ridge_baseline", "enet_baseline", "svr_baseline"}
