@@ -7,10 +7,12 @@ that one hot text does not blow up every other shard.
 
 The walk runs on the driver over a summary whose size does not grow with the input: sums of ``2**bits`` ranges of the
 hash, of which those that a cut may fall into are split again until each holds one group. Numbering inside a shard
-goes by (shard, cell), where a cell is a hash of the row, so that neither a large shard nor a hot text meets in one task.
+goes by (shard, cell), where a cell is a hash of the row, so that neither a large shard nor a hot text meets in one task; the
+number of cells grows with the rows.
 
 Defined results: a null text has the size of the overhead, the CRC of the empty text, and is a group of its own with the
-empty text; rows that repeat get a row and a slot each; an empty table gives no rows; null ids are numbered like others.
+empty text; rows that repeat get a row and a slot each; an empty table gives no rows; null ids are numbered like others; very
+long texts count by their size alone, and one above the mean shard gets a shard of its own; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from seqforge.session import materialise
 
 #: The first look at the groups splits the hash space into 2**BITS ranges, each later one a range into 2**MORE_BITS.
 BITS, MORE_BITS = 12, 4
-CELLS = 64
+#: The least number of cells of a shard, and the rows of one from which on there are more.
+CELLS, CELL_ROWS = 64, 100_000
 
 
 def law_bytes(sizes: list[int], n: int, capacity: int) -> list[int] | None:
@@ -142,14 +145,15 @@ def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text", id_col: s
         to = F.when(F.col("h") >= h, k).otherwise(to)
     for h, k in own.items():
         to = F.when(F.col("h") == h, k).otherwise(to)
-    cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CELLS)).cast("int")
+    cells = max(CELLS, -(-sized.count() // (n_shards * CELL_ROWS)))
+    cell = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int")
     dealt = sized.select("doc_id", "size", "text_crc32", to.cast("int").alias("shard"), cell.alias("cell"))
     counts = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
     numbered = dealt.withColumn("i", F.row_number().over(inside) - 1)
-    # n_shards * CELLS rows at most: a bounded broadcast
-    return numbered.join(F.broadcast(starts), ["shard", "cell"]).select(
+    # the rows are dealt by (shard, cell) for the numbers already
+    return numbered.join(starts, ["shard", "cell"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("i")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

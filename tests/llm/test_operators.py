@@ -509,6 +509,15 @@ def test_sharding(docs, none, n):
     assert shard.shard(none, n).count() == 0
 
 
+def test_slots_are_gapless_with_many_cells(docs, monkeypatch):
+    monkeypatch.setattr(shard, "CELL_ROWS", 1)
+    monkeypatch.setattr(shard, "CELLS", 2)
+    by = {}
+    for r in shard.shard(docs, 5).collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and sum(map(len, by.values())) == docs.count()
+
+
 def test_sharding_plan_equals_a_walk_over_all_groups(spark, monkeypatch):
     monkeypatch.setattr(shard, "BITS", 3)
     monkeypatch.setattr(shard, "MORE_BITS", 2)
