@@ -738,3 +738,40 @@ def test_urls_of_many_labels_and_long_paths(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.rule for r in url_filter.judge(pages, url_filter.rules_frame(spark, rules)).collect()}
     assert got == {0: "a.b/", 1: None, 2: "x.y.z/p/", 3: "x.y.z/p/", 4: "b/" + "q" * 3000}
+
+
+# --- columns of the input -------------------------------------------------------------------------------------------------
+
+
+def test_operators_pass_other_columns_through(spark, docs):
+    """Columns named like those that operators add or use inside; an operator's own column is replaced, the others stay."""
+    more = docs.where("doc_id is not null").limit(12)
+    for c in ("t", "h", "p", "key", "labels", "domain", "size", "cell", "text2", "payload", "id", "word", "n_words", "vector"):
+        more = more.withColumn(c, F.lit("own"))
+    rows = more.collect()
+    more = spark.createDataFrame(rows, more.schema)
+    names = {
+        "license": license_scan.scan_licenses(more),
+        "leak": decontam.decontaminate(more, spark.createDataFrame([(1, rows[0].text)], "item_id long, text string")),
+        "secrets": secret_scan.scan_secrets(more),
+        "ids": sp_codec.encode_decode(more).withColumn("decoded", F.lit("clash")),
+        "verdict": url_filter.judge(more.withColumn("url", F.lit("http://a.net/es/x")), url_filter.rules_frame(spark, url_filter.RULES)).drop("url").withColumns({c: F.lit("clash") for c in ("host", "path", "rule")}),
+        "doc_id": near_dup.keep_one(more, size=2),
+    }
+    for own, out in names.items():
+        assert set(out.columns) == set(more.columns)
+        for r in out.collect():
+            want = next(x for x in rows if x.doc_id == r.doc_id)
+            assert all(r[c] == want[c] for c in more.columns if c != own)
+    sized = shard.shard(more, 2).collect()
+    assert sorted(r.doc_id for r in sized) == sorted(r.doc_id for r in rows) and {r["size"] for r in sized} != {"own"}
+    pages = more.select(F.col("doc_id").alias("page_id"), F.lit("http://a").alias("url"), F.col("text").alias("html"), "payload", "id", "rule", "a")
+    assert sorted(r.page_id for r in warc.report(pages).collect()) == sorted(r.doc_id for r in rows)
+
+
+def test_empty_tables_of_every_operator(spark, none):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for out in (license_scan.scan_licenses(none), decontam.decontaminate(none, bench), secret_scan.scan_secrets(none), sp_codec.encode_decode(none), near_dup.keep_one(none), shard.shard(none)):
+        assert out.count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert ann.search(ann.build_index(vectors), ann.valid(vectors, "vec_id", "embedding")).count() == 0
