@@ -35,37 +35,38 @@ def support(docs: DataFrame, words: bool = False, minsup: int = 1) -> DataFrame:
 
 
 def first_level(docs: DataFrame, words: bool = False) -> DataFrame:
-    """doc_id, toks and places: array<struct<ngram, end_pos>> of single tokens, as :func:`children` takes them. A document's
-    postings stay in its row, so extending them needs no join."""
-    toks = T.tokens(F.col("seq"), words)
-    return docs.select("doc_id", toks.alias("toks")).withColumn("places", F.transform("toks", lambda t, i: F.struct(t.alias("ngram"), i.alias("end_pos"))))
+    """doc_id, toks and variants, as :func:`children` takes them: arrays of names, of which the i-th is an n-gram that ends with
+    the i-th token, or null. A document's postings stay in its row, so extending them needs no join."""
+    return docs.select("doc_id", T.tokens(F.col("seq"), words).alias("toks")).withColumn("variants", F.array("toks"))
 
 
 def children(frontier: DataFrame, words: bool = False, wildcard: bool = False) -> DataFrame:
     """The frontier with each n-gram extended by the next token, and with ``wildcard`` also by a wildcard in the next place;
     occurrences at a document's end drop out."""
-    sep = F.lit(" " if words else "")
+    sep, n, none = F.lit(" " if words else ""), F.size("toks"), F.array(F.lit(None).cast("string"))
+    follow = F.slice("toks", 2, F.greatest(n - 1, F.lit(0)))
 
-    def extended(r: Column) -> Column:
-        toks, inner = r["toks"], F.filter(r["places"], lambda p: p["end_pos"] + 1 < F.size(r["toks"]))
-        with_token = lambda token: F.transform(inner, lambda p: F.struct(F.concat(p["ngram"], sep, token(p)).alias("ngram"), (p["end_pos"] + 1).alias("end_pos")))
-        found = with_token(lambda p: F.get(toks, p["end_pos"] + 1))
-        return F.concat(found, with_token(lambda p: F.lit(T.WILD))) if wildcard else found
+    def with_token(v: Column) -> Column:
+        return F.slice(F.concat(none, F.zip_with(F.slice(v, 1, F.greatest(n - 1, F.lit(0))), follow, lambda g, t: F.concat(g, sep, t))), 1, n)
 
-    # as a lambda's argument, the row's arrays are made once and not again for each place
-    return frontier.withColumn("places", F.get(F.transform(F.array(F.struct("toks", "places")), extended), F.lit(0)))
+    def with_wildcard(v: Column) -> Column:
+        return F.slice(F.concat(none, F.transform(v, lambda g: F.concat(g, sep, F.lit(T.WILD)))), 1, n)
+
+    found = F.transform("variants", with_token)
+    return frontier.withColumn("variants", F.concat(found, F.transform("variants", with_wildcard)) if wildcard else found)
 
 
 def postings(frontier: DataFrame) -> DataFrame:
     """ngram, doc_id and end_pos of a frontier."""
-    return frontier.select("doc_id", F.explode("places").alias("p")).select("p.ngram", "doc_id", "p.end_pos")
+    rows = frontier.select("doc_id", F.explode("variants").alias("v"))
+    return rows.select("doc_id", F.posexplode("v").alias("end_pos", "ngram")).where(F.col("ngram").isNotNull()).select("ngram", "doc_id", "end_pos")
 
 
 def occurrence_counts(frontier: DataFrame, words: bool = False, known: DataFrame | None = None) -> DataFrame:
     """ngram, n (occurrences) and support (documents) of a frontier's n-grams; ``known``: tokens that may end one (a wildcard
     may in any case). Documents are told apart in their own rows, by their n-grams' names alone, which are hashed; what is
     shuffled is partial sums."""
-    rows = frontier.select(F.transform("places", lambda p: p["ngram"]).alias("names"))
+    rows = frontier.select(F.array_compact(F.flatten("variants")).alias("names"))
     every = rows.select(F.explode("names").alias("ngram"), F.lit(1).alias("n"), F.lit(0).alias("support"))
     once = rows.select(F.explode(F.array_distinct("names")).alias("ngram"), F.lit(0).alias("n"), F.lit(1).alias("support"))
     out = every.unionByName(once).groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("support").alias("support"))

@@ -38,7 +38,7 @@ class SearchConfig:
 
 
 #: Survivors up to which a row tests its n-grams for them, and n-grams of a level that are candidates of the next search.
-IN_ROW, CANDIDATES = 20_000, 16
+IN_ROW, CANDIDATES = 4_000, 16
 
 
 @dataclass
