@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqforge.llm import ann, decontam, license_scan, near_dup, secret_scan, shard, sp_codec, toxicity, url_filter, warc
+from seqforge.llm import ann, decontam, filter_audit, lang_id, license_scan, merkle, near_dup, secret_scan, shard, sp_codec, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +21,9 @@ def queries() -> dict:
         "op8_sentencepiece": lambda s, d: sp_codec.report(_table(s, d, "documents")),
         "op9_toxicity": lambda s, d: toxicity.report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op10_url_filter": lambda s, d: url_filter.report(_table(s, d, "pages")),
+        "op11_filter_audit": lambda s, d: filter_audit.audit(_table(s, d, "documents"), _table(s, d, "labels")),
+        "op12_language_id": lambda s, d: lang_id.report(_table(s, d, "documents")),
+        "op13_merkle_manifest": lambda s, d: merkle.report(_table(s, d, "documents")),
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontam.ORACLE_SQL,
         "op5_near_duplicates": near_dup.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
     }

@@ -2,16 +2,18 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm import ann, bloom, decontam, license_scan, near_dup, secret_scan, shard, sp_codec, toxicity, url_filter, warc
+from seqforge.llm import ann, bloom, decontam, filter_audit, lang_id, license_scan, merkle, near_dup, secret_scan, shard, sp_codec, toxicity, url_filter, warc
 from seqforge.llm.text import words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -775,3 +777,297 @@ def test_empty_tables_of_every_operator(spark, none):
         assert out.count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert ann.search(ann.build_index(vectors), ann.valid(vectors, "vec_id", "embedding")).count() == 0
+
+
+# --- 11 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_audit(rows, labels):
+    """Every count of every step of every order, one row at a time."""
+    quality, toxic = {}, {}
+    for i, q, t in (x for x in labels if x[0] is not None):
+        quality[i], toxic[i] = max(quality.get(i, 0), q or 0), max(toxic.get(i, 0), t or 0)
+    flags = []
+    for i, text, lang in rows:
+        t = text or ""
+        ws = [w for w in re.split(r"[\x20\x09-\x0d]+", t) if w]
+        later = i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in rows)
+        bad = (len(ws) < 200, 100 * len(set(ws)) < 50 * len(ws), 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), bool(re.search("[#$%&*|]", t)), later)
+        flags.append((lang or "", dict(zip("ABCDE", bad, strict=True)), quality.get(i, 0) == 1, toxic.get(i, 0) == 1))
+    out, shapley = {}, {}
+    for part in {f[0] for f in flags}:
+        own = [f[1:] for f in flags if f[0] == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            alive = own
+            for step, x in enumerate(order, 1):
+                gone = [f for f in alive if f[0][x]]
+                alive = [f for f in alive if not f[0][x]]
+                alone = sum(f[0][x] and sum(f[0].values()) == 1 for f in own)
+                out[part, order, step] = [len(alive), len(gone), sum(f[0][x] for f in own) - len(gone), alone, sum(f[1] for f in gone), sum(f[2] for f in gone)]
+                shapley[part, x] = shapley.get((part, x), 0) + len(gone)
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def audited(found):
+    rows = [((r.part, r.filter_order, r.step), (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley)) for r in found.collect()]
+    assert len({k for k, _ in rows}) == len(rows)
+    return dict(rows)
+
+
+@pytest.fixture(scope="module")
+def audit_rows():
+    rng = random.Random(5)
+    made = [None, "", "x", "Plain words " * 120, "same same " * 200, "LOUD " * 210, "a $ b " * 90]
+    made += [" ".join(rng.choice(vocabulary(1, 400)) for _ in range(rng.choice([150, 199, 200, 230]))) + rng.choice(["", " #", " ABCDEFGHIJKLMNOPQRSTUVWXYZABCDEFGHIJ", " é"]) for _ in range(30)]
+    rows = [(i, rng.choice(made), rng.choice(["en", "de", None, ""])) for i in range(150)]
+    rows += [rows[3], (None, made[3], "en"), (None, made[3], "fr"), (7, "other text for an id that is there", "de"), (900, "word " * 40000, "xx")]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 150, 2)] + [(2, 1, 1), (None, 1, 1), (5000, 1, 1)]
+    return rows, labels
+
+
+def test_filter_audit_equals_brute_force(spark, audit_rows):
+    rows, labels = audit_rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("part", "bits", "digest", "first", "salt", "key", "none", "labels", "quality")})
+    found = filter_audit.audit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("part", F.lit(1)))
+    assert audited(found) == brute_audit(rows, labels)
+
+
+def test_bitsets_of_prefixes():
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 1000):
+        bits, codes = rng.integers(0, 128, n).astype(np.uint8), rng.integers(0, 5, n)
+        found = {x[:3]: x[3:] for x in filter_audit.prefix_counts(bits, codes)}
+        assert len(found) == len(set(codes.tolist())) * 80
+        for (code, prefix, i), got in found.items():
+            own = bits[codes == code]
+            alive = own[own & prefix == 0]
+            hit = alive[alive >> i & 1 == 1]
+            assert got == (len(hit), (hit >> 5 & 1).sum(), (hit >> 6 & 1).sum(), len(alive) - len(hit))
+
+
+def test_counts_of_bitsets_packed_in_several_turns(monkeypatch):
+    rng = np.random.default_rng(4)
+    parts, bits = [f"p{x}" for x in rng.integers(0, 9, 500)], rng.integers(0, 128, 500)
+    batches = [pa.RecordBatch.from_pydict({"part": parts[i : i + 50], "bits": pa.array(bits[i : i + 50], pa.int32())}) for i in range(0, 500, 50)]
+
+    def summed():
+        out = {}
+        for batch in filter_audit._count_batches(iter([batches[0].slice(0, 0), *batches])):
+            for part, prefix, i, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out[part, prefix, i] = [a + b for a, b in zip(out.get((part, prefix, i), [0] * 4), counts, strict=True)]
+        return out
+
+    want = summed()
+    monkeypatch.setattr(filter_audit, "ROWS", 120)
+    assert summed() == want and len(want) == 9 * 80
+
+
+def test_filter_audit_of_empty_tables(spark, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.audit(none, labels).count() == 0
+    one = spark.createDataFrame([(1, "text", "en")], "doc_id long, text string, lang string")
+    assert filter_audit.audit(one, labels).count() == 600
+
+
+# --- 12 --------------------------------------------------------------------------------------------------------------
+
+LANGUAGES = {"aa": ["tion", "ing", "the", "wha", "er"], "bb": ["eau", "que", "oi", "lle", "ché"], "cc": ["ung", "keit", "sch", "über", "nd"]}
+
+
+def sentences(lang, n, seed, words_each=30):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice(LANGUAGES[lang]) for _ in range(rng.randint(1, 3))) for _ in range(words_each)).capitalize() + "." for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def tongues(spark):
+    rows = [(i, t, lang) for lang in LANGUAGES for i, t in enumerate(sentences(lang, 120, lang), 1000 * (1 + ord(lang[0]) - 97))]
+    strange = [(1, None, "aa"), (2, "", "bb"), (3, "12 345 -- !!", "cc"), (4, sentences("aa", 1, 6)[0], None), (None, sentences("bb", 1, 5)[0], "bb"), (5, "²³ ⅷ", "aa"), (6, "日本", "aa")]
+    strange += [(7, " ".join(sentences("cc", 2000, 9)), "cc"), rows[0], rows[0]]
+    return rows, strange, spark.createDataFrame(rows + strange, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("h", "n", "share", "place", "margin", "found")})
+
+
+def test_language_id(tongues):
+    rows, strange, docs = tongues
+    found = [(r.doc_id, r.lang_pred, r.score, r.held_out) for r in lang_id.report(docs).collect()]
+    assert len(found) == len(rows) + len(strange)
+    by_id = {i: x for i, *x in found}
+    assert all(by_id[i][0] == lang for i, _, lang in rows)
+    assert [by_id[i][:2] for i in (1, 2, 3, 5)] == [[lang_id.UNKNOWN, 0.0]] * 4
+    assert by_id[6][0] in LANGUAGES and by_id[4][0] == "aa" and by_id[None][0] == "bb" and by_id[7][0] == "cc"
+    assert all(0 <= s <= 1 for _, _, s, _ in found)
+    assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _, h in found)
+
+
+def test_predictions_are_the_smallest_encodings(spark, tongues):
+    import zstandard
+
+    _, _, docs = tongues
+    languages = lang_id.learn(docs.where(lang_id.learnable()))
+    assert sorted(x[0] for x in languages) == sorted(LANGUAGES) and all(0 < len(x[1]) <= lang_id.DICT_BYTES for x in languages)
+    encoders = lang_id.Encoders(languages)
+    for lang in LANGUAGES:
+        for t in sentences(lang, 20, 77, 4):
+            raw, sizes = lang_id.letters(t.encode()), {}
+            for name, content, _ in languages:
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                out = zstandard.ZstdCompressor(level=lang_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)
+                assert zstandard.ZstdDecompressor(dict_data=d).decompress(out, max_output_size=1 << 20) == raw
+                sizes[name] = len(out)
+            name, score, margin = encoders.best(t.encode())
+            low, second = sorted(sizes.values())[:2]
+            assert abs(sizes[name] - low) <= 2 and margin <= 1 and 0 < score <= 1
+            assert abs(margin - (second - low) / second) < 0.1
+
+
+def test_held_out_rows_and_their_languages_are_not_learned_from(spark, tongues):
+    _, _, docs = tongues
+    want = lang_id.learn(docs.where(lang_id.learnable()))
+    shuffled = docs.withColumn("lang", F.when(lang_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    assert lang_id.learn(shuffled.where(lang_id.learnable())) == want
+
+
+def test_narrow_margins_are_rejected(tongues, spark):
+    _, _, docs = tongues
+    languages = lang_id.learn(docs.where(lang_id.learnable()))
+    # a text without anything of any language, and one of two languages in equal parts
+    texts = [(1, "zxzvzq"), (2, " ".join(sentences("aa", 40, 1)))]
+    found = {r.doc_id: r for r in lang_id.identify(spark.createDataFrame(texts, "doc_id long, text string"), languages).collect()}
+    assert found[1].rejected and not found[2].rejected and found[1].score < found[2].score
+
+
+def test_a_language_of_copies_is_sampled_once(spark):
+    rows = [(i, "tioning the whaer " * 5, "aa") for i in range(3000)] + [(5000 + i, t, "aa") for i, t in enumerate(sentences("aa", 30, 3))]
+    (name, raw, n), = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=50)
+    assert (name, n) == ("aa", 3030) and raw.count(lang_id.letters(rows[0][1].encode())) <= 1
+    assert len(raw) > 3000
+
+
+def test_language_id_without_learnable_rows(spark, none):
+    assert lang_id.report(none).count() == 0
+    rows = lang_id.report(spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")).collect()
+    assert [(r.lang_pred, r.score) for r in rows] == [(lang_id.UNKNOWN, 0.0)]
+
+
+# --- 13 --------------------------------------------------------------------------------------------------------------
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_leaf(*values):
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def brute_levels(nodes, fanout):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha(*levels[-1][i : i + fanout]) for i in range(0, len(levels[-1]), fanout)])
+    return levels
+
+
+def brute_manifest(rows, fanout):
+    """doc_id, leaf, subroot, root, proof, folded root of each row, level by level."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append((r[0] is not None, r[0] or 0, brute_leaf(*r), r))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: brute_levels([x[2] for x in sorted(groups[s], key=lambda x: x[:3])], fanout) for s in order}
+    top = brute_levels([trees[s][-1][0] for s in order], fanout)
+    out = []
+    for k, s in enumerate(order):
+        for at, (_, _, leaf, r) in enumerate(sorted(groups[s], key=lambda x: x[:3])):
+            altered = leaf
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[4] is not None:
+                altered = brute_leaf(*r[:4], re.sub("[A-Z]", lambda m: m[0].lower(), r[4]))
+            siblings = []
+            for levels, place in ((trees[s], at), (top, k)):
+                for nodes in levels[:-1]:
+                    run = nodes[place // fanout * fanout : (place // fanout + 1) * fanout]
+                    own = place % fanout
+                    siblings += [*run[:own], *run[own + 1 :]]
+                    altered = sha(*run[:own], altered, *run[own + 1 :])
+                    place //= fanout
+            out.append((r[0], leaf, trees[s][-1][0], top[-1][0], sha(*siblings), altered, altered == top[-1][0]))
+    return out
+
+
+def manifest_rows(n, sources, seed=0):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(sources), rng.choice(["en", None]), rng.choice([None, 3, 100]), rng.choice([None, "", "Some Text", "lower only", "É ñ ß 日本", "Ab1:2-" * 3]) ) for i in range(n)]
+    return [(i, s, lang, k, t if t is None or rng.random() < 0.5 else f"{t} {i}") for i, s, lang, k, t in rows]
+
+
+@pytest.mark.parametrize("fanout,n,sources", [(16, 700, ["hot"] * 6 + ["b", "", None, "é"]), (16, 40, ["one"]), (2, 90, ["a", "b", "c", None]), (3, 200, [f"s{i}" for i in range(60)]), (16, 1, ["a"])])
+def test_manifest_equals_brute_force(spark, monkeypatch, fanout, n, sources):
+    monkeypatch.setattr(merkle, "FANOUT", fanout)
+    monkeypatch.setattr(merkle, "BLOCK", fanout**merkle.HEIGHT)
+    rows = manifest_rows(n, sources)
+    rows += [rows[0], rows[0], (None, rows[0][1], "en", 1, "No Id"), (None, rows[0][1], "en", 1, "No Id"), (10**12, rows[0][1], "x", 5, "Long Text " * 20000)]
+    docs = spark.createDataFrame(rows, COLUMNS.replace("doc_id long, text string, lang string, source string, n_chars long", "doc_id long, source string, lang string, n_chars long, text string"))
+    for c in ("grp", "pos", "digest", "n", "root", "altered", "of", "at", "part"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    with monkeypatch.context() as own:
+        if fanout != 16:  # tasks run in other processes, so blocks of another shape are tried through whole groups here
+            own.setattr(merkle, "roots", lambda nodes: spark.createDataFrame([merkle_root(k, g) for k, g in by_block(nodes.collect()).items()], "grp string, pos long, digest string, n long"))
+            own.setattr(merkle, "descend", plain_descend)
+        found = [tuple(r) for r in merkle.report(docs).collect()]
+    same(found, brute_manifest(rows, fanout))
+    assert all(r[6] for r in found if r[0] is None)
+
+
+def by_block(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.grp, r.pos // merkle.BLOCK), []).append(r)
+    return {k: sorted(v, key=lambda r: r.pos) for k, v in out.items()}
+
+
+def merkle_root(key, rows):
+    digest = merkle.traverse([r.digest for r in rows], min(merkle.HEIGHT, merkle.height_of(rows[0].n)))
+    return (*key, digest, -(-rows[0].n // merkle.BLOCK))
+
+
+def plain_descend(levels, above, payload=()):
+    """As merkle.descend, in this process."""
+    spark = above.sparkSession
+    known = {(r.grp, r.pos): (r.root, r.befores, r.afters) for r in above.collect()}
+    for depth, nodes in enumerate(reversed(levels[:-1])):
+        lowest = depth == len(levels) - 2
+        carried = ["grp", "pos", "digest", *(payload if lowest else ())]
+        rows = []
+        for key, own in by_block(nodes.collect()).items():
+            befores, afters = ([[] for _ in own] for _ in range(2))
+            merkle.traverse([r.digest for r in own], min(merkle.HEIGHT, merkle.height_of(own[0].n)), befores, afters)
+            root, b, a = known[key]
+            rows += [(*(r[c] for c in carried), root, befores[i] + b, afters[i] + a) for i, r in enumerate(own)]
+        kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in carried)
+        if lowest:
+            return spark.createDataFrame(rows, f"{kinds}, root string, befores array<string>, afters array<string>")
+        known = {(r[0], r[1]): r[-3:] for r in rows}
+    return above
+
+
+def test_manifest_of_blocks_in_several_levels(spark):
+    """5,000 leaves of one source: two levels of blocks, through the tasks."""
+    rows = manifest_rows(5000, ["hot"] * 99 + ["b"], seed=3)
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    same([tuple(r) for r in merkle.report(docs).collect()], brute_manifest(rows, 16))
+
+
+def test_traversal_appends_siblings_while_it_unwinds():
+    for n in (1, 2, 15, 16, 17, 255, 256, 257, 700):
+        digests, h = [sha(str(i)) for i in range(n)], merkle.height_of(n)
+        befores, afters = ([[] for _ in range(n)] for _ in range(2))
+        root = merkle.traverse(digests, h, befores, afters)
+        assert root == brute_levels(digests, 16)[-1][0]
+        for d, b, a in zip(digests, befores, afters, strict=True):
+            assert len(b) == len(a) == h
+            for x, y in zip(b, a, strict=True):
+                d = sha(x, d, y)
+            assert d == root
+
+
+def test_manifest_of_an_empty_table(none):
+    assert merkle.report(none).count() == 0
