@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +42,14 @@ def penalty(weights, c: float, alpha: float) -> float:
 def probability(score: Column) -> Column:
     e = F.exp(-F.abs(score))
     return F.when(score >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
+
+
+def pull_values(kind: str, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """:func:`pull` of arrays."""
+    z = y * f
+    if kind == "logistic":
+        e = np.exp(-np.abs(z))
+        return y * np.where(z > 0, e / (1 + e), 1 / (1 + e))
+    if kind == "hinge":
+        return y * np.maximum(2 * (1 - z), 0.0)
+    return 2 * (y - f)

@@ -36,6 +36,24 @@ def byte_tokens(seq: Column) -> Column:
     return F.regexp_extract_all(F.hex(F.encode(seq, "UTF-8")), F.lit(".."), F.lit(0))
 
 
+def symbols(seq: Column, as_bytes: bool) -> Column:
+    """A text as its symbols are read: itself, or with each of its UTF-8 bytes as the character of that number (so that n-grams, places
+    and sizes count in bytes, in the bytes' order)."""
+    return F.decode(F.encode(seq, "UTF-8"), "ISO-8859-1") if as_bytes else seq
+
+
+def byte_name(gram: Column) -> Column:
+    """An n-gram of bytes as hex digits, wildcards as ``**``."""
+    return F.array_join(F.transform(F.split(gram, ""), lambda c: F.when(c == WILD, "**").otherwise(F.hex(F.encode(c, "ISO-8859-1")))), "")
+
+
+def gram_size(gram: Column, words: bool) -> Column:
+    """How many tokens and wildcards an n-gram has."""
+    if not words:
+        return F.length(gram)
+    return (F.length(gram) - F.length(F.replace(gram, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
 def tokens(seq: Column, words: bool = False) -> Column:
     return word_tokens(seq) if words else char_tokens(seq)
 

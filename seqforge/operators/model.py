@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import text as T
 from seqforge.functions.loss import probability
+from seqforge.operators import evaluate, matcher
 
+#: Fixed value: the key of the intercept's steps.
 INTERCEPT = "*INTERCEPT*"
 
 
@@ -21,6 +24,7 @@ class SequenceModel:
     bias: float = 0.0
     words: bool = False
     gaps: tuple[int, int] = (0, 0)
+    bytes: bool = False
 
     def add(self, step: float, ngram: str) -> None:
         self.steps.append((step, ngram))
@@ -46,7 +50,15 @@ class SequenceModel:
         return spark.createDataFrame([(g, float(w)) for g, w in self.weights.items()], "ngram string, weight double")
 
     def transform(self, docs: DataFrame, with_rules: bool = False) -> DataFrame:
-        return score(docs, self.rules(docs.sparkSession), self.bias + self.intercept, self.words, with_rules)
+        return score(docs, list(self.weights.items()), self.bias + self.intercept, self.words, with_rules, self.bytes)
+
+    def tune(self, docs: DataFrame) -> tuple[float, int]:
+        """Replace the bias by the threshold, negated, that makes the fewest errors on ``docs`` (doc_id, seq, y); both are returned."""
+        raw = score(docs, list(self.weights.items()), self.intercept, self.words, as_bytes=self.bytes)
+        found = evaluate.tune(raw).first()
+        threshold = max(found["threshold"], -sys.float_info.max)
+        self.bias = -threshold
+        return threshold, found["errors"]
 
 
 def roll_up(steps: DataFrame) -> DataFrame:
@@ -65,50 +77,26 @@ def normalised(weights: DataFrame, l1: float) -> DataFrame:
     return weights.withColumn("weight", F.col("weight") / F.lit(l1))
 
 
-def mask_of(ngram: str, words: bool) -> tuple[bool, ...]:
-    return tuple(t == T.WILD for t in (ngram.split(" ") if words else ngram))
-
-
-#: Rules up to which each is looked for in a document's text; more are joined with the document's n-grams.
-FEW_RULES = 500
-_HITS = "array<struct<ngram:string,weight:double>>"
-
-
-def with_matches(docs: DataFrame, rules: DataFrame, words: bool = False, few: int = FEW_RULES) -> DataFrame:
-    """``docs`` with ``__hits``: the distinct rules (ngram, weight) that a document holds. A few rules are looked for in the
-    text, in its own row. For more, documents explode into the distinct n-grams of the rules' shapes (size and wildcards) and
-    join the rules by equality; documents are told apart by id and text, so rows that share an id keep their own rules. Rules
-    come from learning steps, so they fit the driver, and Spark broadcasts them by their size."""
-    known = rules.select("ngram", F.col("weight").cast("double").alias("weight")).collect()
-    none = F.array().cast(_HITS)
-    if not known:
-        return docs.withColumn("__hits", none)
-    if len(known) <= few:
-        found = F.array(*[F.when(T.holds(F.col("__bare"), g, words), F.struct(F.lit(g).alias("ngram"), F.lit(w).alias("weight"))) for g, w in known])
-        return docs.withColumn("__bare", T.bare(F.col("seq"), words)).withColumn("__hits", F.array_compact(found).cast(_HITS)).drop("__bare")
-    shapes = sorted({mask_of(g, words) for g, _ in known})
-    keyed = docs.withColumn("__text", F.xxhash64("seq"))
-    cells = keyed.select("doc_id", "__text", T.tokens(F.col("seq"), words).alias("toks"), T.bare(F.col("seq"), words).alias("bare"))
-    every = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.col("toks"), m, words, F.col("bare")) for m in shapes])))
-    found = cells.select("doc_id", "__text", F.explode(every).alias("ngram")).join(rules.select("ngram", F.col("weight").cast("double").alias("weight")), "ngram")
-    hits = found.groupBy("doc_id", "__text").agg(F.collect_set(F.struct("ngram", "weight")).cast(_HITS).alias("__hits"))
-    hits = hits.withColumnsRenamed({"doc_id": "__id", "__text": "__text2"})
-    out = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__text2")), "left")
-    return out.withColumn("__hits", F.coalesce("__hits", none)).drop("__id", "__text", "__text2")
+def with_matches(docs: DataFrame, rules: DataFrame | list[tuple[str, float]], words: bool = False, as_bytes: bool = False) -> DataFrame:
+    """``docs`` with ``__hits``: the distinct rules (ngram, weight) that a document holds, in the order of their n-grams. Rules
+    come from learning steps, so they fit the driver; one walk down their prefix tree finds them (:mod:`matcher`)."""
+    known = [(r["ngram"], float(r["weight"])) for r in rules.select("ngram", "weight").collect()] if isinstance(rules, DataFrame) else rules
+    return docs.withColumn("__hits", matcher.matched(T.bare(T.symbols(F.col("seq"), as_bytes), words), known, words))
 
 
-def matches(docs: DataFrame, rules: DataFrame, words: bool = False, few: int = FEW_RULES) -> DataFrame:
+def matches(docs: DataFrame, rules: DataFrame | list[tuple[str, float]], words: bool = False, as_bytes: bool = False) -> DataFrame:
     """doc_id, ngram and weight of each distinct rule that a document holds."""
-    return with_matches(docs, rules, words, few).select("doc_id", F.explode("__hits").alias("r")).select("doc_id", "r.ngram", "r.weight")
+    return with_matches(docs, rules, words, as_bytes).select("doc_id", F.explode("__hits").alias("r")).select("doc_id", "r.ngram", "r.weight")
 
 
-def score(docs: DataFrame, rules: DataFrame, offset: float, words: bool = False, with_rules: bool = False) -> DataFrame:
+def score(docs: DataFrame, rules: DataFrame | list[tuple[str, float]], offset: float, words: bool = False, with_rules: bool = False, as_bytes: bool = False) -> DataFrame:
     """``docs`` with score, probability and n_rules, and with ``rules`` (n-grams in order) if asked for; all in the row."""
-    out = with_matches(docs, rules, words)
-    total = F.aggregate(F.array_sort("__hits"), F.lit(float(offset)), lambda a, r: a + r["weight"])
+    out = with_matches(docs, rules, words, as_bytes)
+    total = F.aggregate("__hits", F.lit(float(offset)), lambda a, r: a + r["weight"])
     out = out.withColumns({"score": total, "n_rules": F.size("__hits").cast("long")}).withColumn("probability", probability(F.col("score")))
     if with_rules:
-        out = out.withColumn("rules", F.sort_array(F.transform("__hits", lambda r: T.shown(r["ngram"]))))
+        name = T.byte_name if as_bytes else T.shown
+        out = out.withColumn("rules", F.sort_array(F.transform("__hits", lambda r: name(r["ngram"]))))
     return out.drop("__hits")
 
 

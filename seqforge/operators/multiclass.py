@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
-from seqforge.operators.learn import LearnConfig, Learned, learn
+from seqforge.operators.learn import LearnConfig, Learned, learn_many
 from seqforge.operators.index import grams_of
-from seqforge.session import materialise
+from seqforge.operators.model import SequenceModel, with_matches
 from seqforge.sources.labelled import one_vs_rest
 
 
 def learn_classes(docs: DataFrame, classes: list[int], config: LearnConfig) -> dict[int, Learned]:
-    """A model for each class, of ``docs`` (doc_id, seq, label). The documents are tokenised and written once for all classes, and
-    the best n-grams of one class are candidates of the next."""
-    toks, bare = T.tokens(F.col("seq"), config.words), T.bare(F.col("seq"), config.words)
-    rows = materialise(docs.select("doc_id", "label", toks.alias("toks"), bare.alias("bare"), F.lit(0.0).alias("f")), "documents")
-    out: dict[int, Learned] = {}
-    near: list[str] = []
-    for k in classes:
-        out[k] = learn(rows.withColumn("y", one_vs_rest(F.col("label"), k)).drop("label"), replace(config), candidates=near)
-        near = [*out[k].model.weights, *near][:32]
-    return out
+    """A model for each class, of ``docs`` (doc_id, seq, label): the classes are responses of one learning run, so each level of the search is one
+    pass with a gradient for every class, and an n-gram is extended if any class asks for it."""
+    rows = docs.withColumns({f"y{k}": one_vs_rest(F.col("label"), k) for k in classes})
+    found = learn_many(rows, config, [f"y{k}" for k in classes])
+    return {k: found.get(("", r), Learned(SequenceModel())) for r, k in enumerate(classes)}
 
 
 def fold_predictions(docs: DataFrame, classes: list[int], config: LearnConfig, folds: int) -> DataFrame:
@@ -33,13 +26,35 @@ def fold_predictions(docs: DataFrame, classes: list[int], config: LearnConfig, f
     out = None
     for k in range(folds):
         models = learn_classes(docs.where(F.col("fold") != k), classes, config)
-        test = docs.where(F.col("fold") == k)
-        chosen = argmax(score_classes(test, models), ["doc_id"])
-        part = test.select("doc_id", "label", "fold").join(chosen, "doc_id")
+        part = predict_models(docs.where(F.col("fold") == k), models)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def predict(docs: DataFrame, weights: dict[int, dict[str, float]], offsets: dict[int, float] | None = None, words: bool = False, as_bytes: bool = False) -> DataFrame:
+    """``docs`` with ``predicted``, the class whose score is largest (to nine digits; ties to the smallest). The rules of all classes are looked for
+    at once and added up by class in the document's own row."""
+    classes, names = sorted(weights), sorted({g for own in weights.values() for g in own})
+    hits = with_matches(docs, [(g, 0.0) for g in names], words, as_bytes)
+
+    def scored(k: int):
+        own = [(g, w) for g, w in sorted(weights[k].items())]
+        start = F.lit(float((offsets or {}).get(k, 0.0)))
+        if not own:
+            return start
+        table = F.create_map(*[F.lit(x) for g, w in own for x in (g, float(w))])
+        return F.aggregate("__hits", start, lambda a, r: a + F.coalesce(F.element_at(table, r["ngram"]), F.lit(0.0)))
+
+    best = F.array_max(F.array(*[F.struct(F.round(scored(k), 9).alias("score"), F.lit(-k).alias("k")) for k in classes]))
+    return hits.withColumn("predicted", (-best["k"]).cast("int")).drop("__hits")
+
+
+def predict_models(docs: DataFrame, models: dict[int, Learned]) -> DataFrame:
+    """:func:`predict` by learned models."""
+    some = next(iter(models.values())).model
+    return predict(docs, {k: x.model.weights for k, x in models.items()}, {k: x.model.bias + x.model.intercept for k, x in models.items()}, some.words, some.bytes)
+
+
 def class_gradients(docs: DataFrame, classes: list[int], size: int, config: LearnConfig) -> DataFrame:
     """The gradient of each n-gram of a size for all classes at f = 0, in one pass: a column for each class."""
     pulls = [L.pull(config.objective, one_vs_rest(F.col("label"), k), F.lit(0.0)).alias(f"g{k}") for k in classes]
@@ -52,15 +67,6 @@ def argmax(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(F.max_by("class", F.struct(F.col("score"), -F.col("class"))).alias("predicted"))
 
 
-def score_classes(docs: DataFrame, models: dict[int, Learned]) -> DataFrame:
-    """doc_id, class and score in long form."""
-    out = None
-    for k, learned in models.items():
-        part = learned.model.transform(docs).select("doc_id", F.lit(k).alias("class"), "score")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def confusion(predicted: DataFrame, classes: list[int]) -> DataFrame:
     """A row for each true class and a column for each predicted one."""
     table = predicted.groupBy("label").pivot("predicted", classes).agg(F.count(F.lit(1)))

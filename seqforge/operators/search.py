@@ -12,6 +12,7 @@ search are candidates of the next: the largest gradient that one of them has the
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from seqforge.session import materialise
 
 @dataclass
 class SearchConfig:
-    """``traversal`` is taken for completeness: ``dfs`` and ``bfs`` have the same winner, which is searched for level by level."""
+    """``words``: tokens are words, else characters, or with ``bytes`` the UTF-8 bytes. ``traversal``, of a search that is kept: ``bfs``,
+    ``dfs`` or ``best`` (the largest bound first); all have the same winner."""
 
     objective: str = "squared"
     minsup: int = 1
@@ -35,6 +37,7 @@ class SearchConfig:
     c: float = 0.0
     alpha: float = 0.2
     traversal: str = "bfs"
+    bytes: bool = False
 
 
 #: Survivors up to which a row tests its n-grams for them, and n-grams of a level that are candidates of the next search.
@@ -99,10 +102,19 @@ def order_key(size: Column | int) -> list[Column]:
     return [F.round(F.abs("gradient"), 9).desc(), size.asc(), F.col("ngram").asc()]
 
 
+def may_be_selected(ngram: str, config: SearchConfig) -> bool:
+    """Whether a search with these settings can come to an n-gram: its size, its ends, and its wildcards."""
+    toks = ngram.split(" ") if config.words else list(ngram)
+    total, run = T.gap_limits(*config.gaps)
+    runs = [len(list(x)) for wild, x in groupby(toks, T.WILD.__eq__) if wild]
+    ends = bool(toks) and T.WILD not in (toks[0], toks[-1]) and "" not in toks
+    return ends and max(1, config.minpat) <= len(toks) <= config.maxpat and sum(runs) <= total and max(runs, default=0) <= run
+
+
 def least_gradient(state: DataFrame, config: SearchConfig, weights: dict[str, float] | None, candidates: list[str]) -> float:
     """A little less than the largest gradient among some n-grams (a former search's best) that may be selected: the winner's is
     no smaller. One aggregation without any n-grams of the documents."""
-    fits = [g for g in dict.fromkeys(candidates) if len(g.split(" ") if config.words else g) >= config.minpat]
+    fits = [g for g in dict.fromkeys(candidates) if may_be_selected(g, config)]
     if not fits:
         return 0.0
     row = state.agg(*[x for i, g in enumerate(fits) for has in [T.holds(F.col("bare"), g, config.words)] for x in (F.sum(F.when(has, F.col("g"))).alias(f"g{i}"), F.count_if(has).alias(f"n{i}"))]).first()

@@ -1,5 +1,5 @@
-"""Sweeps: the same experiment over a grid of settings or over groups of documents. Each cell is a learning run of its own, so the
-grid is a loop on the driver, and what it keeps is a row of measures for each cell."""
+"""Sweeps: the same experiment over a grid of settings (a loop on the driver, with a row of measures for each cell), or over
+groups of documents (one learning run, whatever the number of groups)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqforge.operators import baselines, evaluate, generate
-from seqforge.operators.learn import LearnConfig, learn
+from seqforge.operators.learn import LearnConfig, Learned, learn, learn_many
+from seqforge.operators.model import with_matches
 from seqforge.session import materialise
 
 
@@ -32,16 +33,37 @@ def alphabet_sweep(spark: SparkSession, config: LearnConfig, alphabets: Iterable
     return out
 
 
-def transfer_sweep(docs: DataFrame, groups: Iterable[str], kinds: tuple[str, str], config: LearnConfig) -> DataFrame:
-    """For each group of ``docs`` (doc_id, group, kind, seq, y) and both directions: doc_id, group, trained_on and score of one
-    kind's documents by a model of the other kind's. The response's mean is taken off and is the model's bias."""
-    out = None
-    for group in groups:
-        for source, target in (kinds, kinds[::-1]):
-            own = docs.where(F.col("group") == group)
-            train = own.where(F.col("kind") == source)
-            mean = train.agg(F.avg("y")).first()[0] or 0.0
-            model = learn(train.withColumn("y", F.col("y") - F.lit(mean)), replace(config), bias=mean).model
-            part = model.transform(own.where(F.col("kind") == target)).select("doc_id", "group", F.lit(source).alias("trained_on"), "y", "score")
-            out = part if out is None else out.unionByName(part)
-    return out
+def learn_groups(docs: DataFrame, config: LearnConfig) -> dict[str, Learned]:
+    """A model for each group of ``docs`` (doc_id, grp, seq, y), in the jobs of one learning run. A group's mean response is taken off and
+    is its model's bias."""
+    means = {r["grp"]: r["mean"] for r in docs.groupBy("grp").agg(F.avg("y").alias("mean")).collect()}
+    table = docs.sparkSession.createDataFrame([(g, m or 0.0) for g, m in means.items() if g is not None], "grp string, mean double")
+    # a row for each model
+    centred = docs.join(F.broadcast(table), "grp").withColumn("y", F.col("y") - F.col("mean"))
+    found = learn_many(centred, config, ["y"], "grp", {(g, 0): m or 0.0 for g, m in means.items()})
+    return {grp: learned for (grp, _), learned in found.items()}
+
+
+def score_groups(docs: DataFrame, models: dict[str, Learned], model_of: str = "grp") -> DataFrame:
+    """``docs`` (doc_id, seq and the column that names its model) with score, each row by its own model: all models' rules are looked for in one
+    walk, and a row adds up the weights of its own."""
+    names = sorted({g for x in models.values() for g in x.model.weights})
+    some = next(iter(models.values()), None)
+    hits = with_matches(docs, [(g, 0.0) for g in names], some.model.words if some else False, some.model.bytes if some else False)
+    # as many rows as models, with as many weights as learning steps
+    table = [(grp, float(x.model.bias + x.model.intercept), {g: float(w) for g, w in x.model.weights.items()}) for grp, x in models.items()]
+    weights = docs.sparkSession.createDataFrame(table, "__grp string, __offset double, __weights map<string,double>")
+    out = hits.join(F.broadcast(weights), F.col(model_of) == F.col("__grp"))
+    total = F.aggregate("__hits", F.col("__offset"), lambda a, r: a + F.coalesce(F.element_at("__weights", r["ngram"]), F.lit(0.0)))
+    return out.withColumn("score", total).drop("__hits", "__grp", "__offset", "__weights")
+
+
+def transfer_sweep(docs: DataFrame, kinds: tuple[str, str], config: LearnConfig) -> DataFrame:
+    """For each group of ``docs`` (doc_id, group, kind, seq, y) and both directions: doc_id, group, trained_on, y and score of one
+    kind's documents by a model of the other kind's. All groups and directions are models of one learning run."""
+    key = lambda kind: F.concat(kind, F.lit("/"), F.col("group").cast("string"))
+    rows = docs.where(F.col("kind").isin(*kinds))
+    models = learn_groups(rows.withColumn("grp", key(F.col("kind"))), config)
+    other = F.when(F.col("kind") == kinds[0], kinds[1]).otherwise(kinds[0])
+    scored = score_groups(rows.withColumn("trained_on", other).withColumn("grp", key(F.col("trained_on"))), models)
+    return scored.select("doc_id", "group", "trained_on", "y", "score")

@@ -133,8 +133,7 @@ def centre_response(spark, d):
 @_register("one_vs_rest_labels", f"""with {X.LANG_DOCS} select doc_id, cast(k as int) "class", case when "label" = k then 1.0::double else -1.0::double end y from e, range(1, 5) r(k)""")
 def one_vs_rest_labels(spark, d):
     docs = X.lang_docs(spark, d).withColumn("class", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
-    y = F.when(F.col("label") == F.col("class"), 1.0).otherwise(-1.0)
-    return docs.select("doc_id", "class", y.alias("y"))
+    return docs.select("doc_id", "class", labelled.one_vs_rest(F.col("label"), F.col("class")).alias("y"))
 
 
 @_register("log2_trim_response", f"select doc_id, {q('log2(n_chars)')} y, md5(substr(text, 1, cast(greatest(length(text) - 20, 0) as int))) seq_md5 from documents where n_chars > 0")
@@ -355,11 +354,25 @@ f{x} as materialized (select r.doc_id, r.y, r.f + case when p.ng is not null the
     return blocks
 
 
-def learn_sql(k: int) -> str:
-    head = f"with {X.CHAR_DOCS}, p as materialized ({grams_sql(range(1, MAXPAT + 1))}), f0 as (select doc_id, y, cast(0 as double) f from e)"
+def learn_sql(k: int, maxpat: int = MAXPAT) -> str:
+    head = f"with {X.CHAR_DOCS}, p as materialized ({grams_sql(range(1, maxpat + 1))}), f0 as (select doc_id, y, cast(0 as double) f from e)"
     return ", ".join([head, *learn_blocks(k)]) + " " + _learn_rows(k)
 
 
+def learn_ctes(k: int, maxpat: int) -> str:
+    """The common table expressions of ``k`` steps, and st: itr, ngram, step (not rounded)."""
+    rows = " union all ".join(f"select {i} itr, '{model.INTERCEPT}' ngram, d step from i{i} union all select {i}, ng, step from b{i}" for i in range(1, k + 1))
+    return learn_sql(k, maxpat)[: -len(_learn_rows(k))].rstrip() + f", st(itr, ngram, step) as ({rows})"
+
+
+#: Steps and largest n-gram of the models whose formats are queried.
+K, SHORT = 3, 2
+
+
+def learned(spark, d, **settings) -> learn.Learned:
+    return learn.learn(X.char_docs(spark, d), learn.LearnConfig(**{"maxpat": SHORT, "max_iterations": K, "convergence": -1.0} | settings))
+
+
 @_register("learn_k_iterations", learn_sql(3))
 def learn_k_iterations(spark, d, k: int = 3):
     config = learn.LearnConfig(maxpat=MAXPAT, max_iterations=k, convergence=-1.0)
@@ -449,58 +462,66 @@ def line_search_step(spark, d):
 
 # --- models and scores -----------------------------------------------------------------------------------------------
 
-_STEPS_SQL = f"st(itr, ngram, step) as (values {X.values(X.STEPS)})"
+_STEPS = learn_ctes(K, SHORT)
 
 
-def _steps(spark) -> DataFrame:
-    """The literal steps, as a saved model has them."""
+def _steps(spark, d) -> DataFrame:
+    """The steps of a model learned from the documents, as it is saved."""
     path = fresh_path(spark, "model")
-    sinks.save_model(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
-    return spark.read.parquet(path).select("itr", "ngram", "step")
+    sinks.save_model(learned(spark, d).model, spark, path)
+    return spark.read.parquet(path).where("itr >= 0").select("itr", "ngram", "step")
 
 
-@_register("model_weights", f"with {_STEPS_SQL} select ngram, {q('sum(step)')} weight from st group by ngram")
+@_register("model_weights", f"{_STEPS} select ngram, {q('sum(step)')} weight from st group by ngram")
 def model_weights(spark, d):
-    return model.roll_up(_steps(spark)).select("ngram", R("weight", "weight"))
+    return model.roll_up(_steps(spark, d)).select("ngram", R("weight", "weight"))
 
 
 _NORMS = "l1 as (select sum(abs(step)) l1 from st), wt as (select ngram, sum(step) w from st group by ngram)"
 
 
-@_register("model_norms", f"with {_STEPS_SQL}, {_NORMS} select {q('l1')} l1, {q('''sqrt(sum(w * w) filter (ngram <> '*INTERCEPT*'))''')} l2, {q('''sum(w) filter (ngram = '*INTERCEPT*')''')} intercept from l1, wt group by l1")
+@_register("model_norms", f"{_STEPS}, {_NORMS} select {q('l1')} l1, {q('''sqrt(sum(w * w) filter (ngram <> '*INTERCEPT*'))''')} l2, {q('''sum(w) filter (ngram = '*INTERCEPT*')''')} intercept from l1, wt group by l1")
 def model_norms(spark, d):
-    return model.norms(_steps(spark)).select(R("l1", "l1"), R("l2", "l2"), R("intercept", "intercept"))
+    return model.norms(_steps(spark, d)).select(R("l1", "l1"), R("l2", "l2"), R("intercept", "intercept"))
 
 
-@_register("normalised_weights", f"with {_STEPS_SQL}, {_NORMS} select ngram, {q('w / l1')} weight from wt, l1")
+@_register("normalised_weights", f"{_STEPS}, {_NORMS} select ngram, {q('w / l1')} weight from wt, l1")
 def normalised_weights(spark, d):
-    l1 = model.norms(_steps(spark)).first()["l1"]
-    return model.normalised(model.roll_up(_steps(spark)), l1).select("ngram", R("weight", "weight"))
+    steps = materialise(_steps(spark, d), "steps")
+    l1 = model.norms(steps).first()["l1"]
+    return model.normalised(model.roll_up(steps), l1).select("ngram", R("weight", "weight"))
+
 
+def _numbers_of_lines(lines: DataFrame) -> DataFrame:
+    """n, weight and name of the lines of a model."""
+    parts = F.split("value", " ", 2)
+    return labelled.numbered(lines).select((F.col("row") + 1).cast("int").alias("n"), R(parts[0].cast("double"), "weight"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("name"))
 
-@_register("model_lines", f"""with {_STEPS_SQL}, wt as (select ngram, sum(step) w from st group by ngram)
-select cast(1 as int) n, '0' line union all select 2, cast(w as varchar) || ' INTERCEPT' from wt where ngram = '*INTERCEPT*'
-union all select cast(2 + row_number() over (order by w desc, ngram) as int), cast(w as varchar) || ' ' || ngram from wt where ngram <> '*INTERCEPT*'""")
+
+@_register("model_lines", f"""{_STEPS}, wt as (select ngram, sum(step) w from st group by ngram)
+select cast(1 as int) n, 0.0::double weight, '' "name" union all select 2, {q('w')}, 'INTERCEPT' from wt where ngram = '*INTERCEPT*'
+union all select cast(2 + row_number() over (order by w desc, ngram) as int), {q('w')}, ngram from wt where ngram <> '*INTERCEPT*'""")
 def model_lines(spark, d):
+    """A learned model as text, parsed again."""
     path = fresh_path(spark, "model-lines")
-    sinks.write_model(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
-    return labelled.numbered(spark.read.text(path)).select((F.col("row") + 1).cast("int").alias("n"), F.col("value").alias("line"))
+    sinks.write_model(learned(spark, d).model, spark, path)
+    return _numbers_of_lines(spark.read.text(path))
 
 
-@_register("step_lines", f"with {_STEPS_SQL} select cast(row_number() over (order by itr, ngram <> '*INTERCEPT*') - 1 as bigint) itr, step, ngram from st")
+@_register("step_lines", f"{_STEPS} select cast(row_number() over (order by itr, ngram <> '*INTERCEPT*') - 1 as bigint) itr, {q('step')} step, ngram from st")
 def step_lines(spark, d):
     """The log of learning steps, written as lines and parsed again."""
     path = fresh_path(spark, "steps")
-    sinks.write_steps(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
-    return labelled.read_steps(spark, path).select("itr", "step", "ngram")
+    sinks.write_steps(learned(spark, d).model, spark, path)
+    return labelled.read_steps(spark, path).select("itr", R("step", "step"), "ngram")
 
 
-@_register("saved_model", f"with {_STEPS_SQL} select cast(row_number() over (order by itr, ngram <> '*INTERCEPT*') - 1 as int) itr, ngram, step from st")
+@_register("saved_model", f"{_STEPS}, wt as (select ngram, sum(step) w from st group by ngram), sc as (select e.doc_id, 0.5::double + coalesce((select w from wt where ngram = '*INTERCEPT*'), 0) + coalesce(sum(w), 0) score from e left join wt on ngram <> '*INTERCEPT*' and contains(seq, ngram) group by e.doc_id) select doc_id, {q('score')} score from sc")
 def saved_model(spark, d):
+    """Scores by a learned model that was saved and opened with a threshold of -0.5."""
     path = fresh_path(spark, "model")
-    sinks.save_model(model.SequenceModel([(s, g) for _, g, s in X.STEPS]), spark, path)
-    steps = sinks.open_model(spark, path).steps
-    return spark.createDataFrame([(i, g, s) for i, (s, g) in enumerate(steps)], "itr int, ngram string, step double")
+    sinks.save_model(learned(spark, d).model, spark, path)
+    return sinks.open_model(spark, path, threshold=-0.5).transform(X.char_docs(spark, d)).select("doc_id", R("score", "score"))
 
 
 @_register("score_docs", f"with {X.SCORED} select doc_id, {q('score')} score, n_rules from s")
@@ -535,10 +556,10 @@ def matched_rules(spark, d):
 
 @_register("feature_ids", f"with {X.SCORED}, k as (select ngram, row_number() over (order by ngram) id from m) select doc_id, string_agg(id || ':1.0', ' ' order by id) ids from hit join k using (ngram) group by doc_id")
 def feature_ids(spark, d):
-    ids = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(sorted(X.RULES), 1)], "ngram string, id int")
-    found = model.matches(X.char_docs(spark, d), X.rules_frame(spark, X.RULES)).join(ids, "ngram")
-    listed = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return listed.select("doc_id", F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(":1.0"))), " ").alias("ids"))
+    names = F.array(*[F.lit(g) for g in sorted(g for g, _ in X.RULES)])
+    found = model.with_matches(X.char_docs(spark, d), [(g, w) for g, w in X.RULES]).where(F.size("__hits") > 0)
+    ids = F.array_sort(F.transform("__hits", lambda h: F.array_position(names, h["ngram"])))
+    return found.select("doc_id", F.array_join(F.transform(ids, lambda i: F.concat(i.cast("string"), F.lit(":1.0"))), " ").alias("ids"))
 
 
 #: Rules that many documents lack.
@@ -714,13 +735,8 @@ pr as (select doc_id, any_value("label") "label", cast(arg_max(k, score * 1000 -
 
 
 def _predicted(spark, d) -> DataFrame:
-    docs = X.lang_docs(spark, d)
-    rules = spark.createDataFrame([(g, float(w)) for _, g, w in _CLASS_RULES], "ngram string, weight double")
-    own = spark.createDataFrame([(g, k) for k, g, _ in _CLASS_RULES], "ngram string, class int")
-    sums = model.matches(docs, rules).join(own, "ngram").groupBy("doc_id", "class").agg(F.sum("weight").alias("s"))
-    every = docs.select("doc_id", "label", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("class"))
-    scores = every.join(sums, ["doc_id", "class"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)))
-    return multiclass.argmax(scores, ["doc_id", "label"])
+    docs = X.lang_docs(spark, d).select("doc_id", "label", "seq")
+    return multiclass.predict(docs, {k: {g: w for c, g, w in _CLASS_RULES if c == k} for k in (1, 2, 3, 4)}).drop("seq")
 
 
 @_register("multiclass_argmax", f"""with {_CLASS_SQL} select doc_id, "label", predicted from pr""")
@@ -760,8 +776,7 @@ def one_vs_rest_models(spark, d):
     """Two learning steps for each language, scored and chosen among."""
     docs = X.lang_docs(spark, d)
     models = multiclass.learn_classes(docs, [1, 2, 3, 4], learn.LearnConfig(maxpat=2, max_iterations=2, convergence=-1.0))
-    scores = multiclass.score_classes(docs, models).withColumn("score", F.round("score", 9))
-    return docs.select("doc_id", "label").join(multiclass.argmax(scores, ["doc_id"]), "doc_id")
+    return multiclass.predict_models(docs, models).select("doc_id", "label", "predicted")
 
 
 @_register("positional_zip", """with a as (select row_number() over (order by doc_id) place, doc_id, n_chars from documents), b as (select row_number() over (order by doc_id) place, doc_id, quality from labels)
@@ -771,9 +786,21 @@ def positional_zip(spark, d):
     return evaluate.zip_rows(left, X.table(spark, d, "labels").select("doc_id", "quality"), "doc_id").drop("place")
 
 
-@_register("normalised_loss_curve", f"""with lo(c, iteration, loss) as (values {X.values(X.LOG)}) select c "class", iteration, {q('loss / max(loss) over (partition by c)')} relative, {q('lag(loss) over (partition by c order by iteration) - loss')} change from lo""")
+def _curve_sql(k: int) -> str:
+    blocks = [f"with {X.LANG_DOCS}, p as materialized ({grams_sql((1, 2))})"]
+    for c in (1, 2, 3, 4):
+        blocks.append(f"""z{c} as (select doc_id, case when "label" = {c} then 1.0::double else -1.0::double end y, cast(0 as double) f from e)""")
+        blocks += learn_blocks(k, f"z{c}", f"_{c}")
+    rows = " union all ".join(f"select cast({c} as int) c, cast({i} as int) iteration, (select sum((y - f) * (y - f)) from f{i}_{c}) loss" for c in (1, 2, 3, 4) for i in range(1, k + 1))
+    return ", ".join(blocks) + f""", lo as ({rows}) select c "class", iteration, {q('loss / max(loss) over (partition by c)')} relative, {q('lag(loss) over (partition by c order by iteration) - loss')} change from lo"""
+
+
+@_register("normalised_loss_curve", _curve_sql(3))
 def normalised_loss_curve(spark, d):
-    spark.createDataFrame(X.LOG, "class int, iteration int, loss double").write.csv(path := fresh_path(spark, "logs"), header=True)
+    """The logs of one-vs-rest learning, written and read back, with each class's loss in shares of its largest."""
+    models = multiclass.learn_classes(X.lang_docs(spark, d), [1, 2, 3, 4], learn.LearnConfig(maxpat=2, max_iterations=3, convergence=-1.0))
+    rows = [(k, r["Iteration"], r["loss"]) for k, x in models.items() for r in x.log]
+    spark.createDataFrame(rows, "class int, iteration int, loss double").write.csv(path := fresh_path(spark, "logs"), header=True)
     log = spark.read.csv(path, header=True, schema="class int, iteration int, loss double")
     return evaluate.loss_curve(log).select("class", "iteration", R("relative", "relative"), R("change", "change"))
 
@@ -855,8 +882,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from seqforge.plans import learning  # noqa: F401  registers its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_oracles)

@@ -54,8 +54,6 @@ RULES = [("nt", -0.25), ("e", 0.5), ("th", 0.125), ("qu", -0.5), ("ung", 0.375),
 WILD_RULES = [("a*d", 0.5), ("t*e", -0.25), ("on", 0.125), ("s*i", 1.0)]
 OFFSET = -0.5
 EVENT_RULES = [("click", 0.25), ("view click", -0.5), ("signup * view", 1.0), ("purchase purchase", 0.125)]
-STEPS = [(1, "*INTERCEPT*", 0.5), (1, "nt", -0.25), (2, "*INTERCEPT*", -0.125), (2, "e", 0.5), (3, "*INTERCEPT*", 0.0625), (3, "nt", 0.5), (4, "*INTERCEPT*", 0.03125), (4, "th", -0.75)]
-LOG = [(k, i, 10.0 * k / i + k) for k in (1, 2, 3) for i in (1, 2, 3, 4)]
 
 
 def values(rows: list[tuple]) -> str:

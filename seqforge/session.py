@@ -60,11 +60,13 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def materialise(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing. ``group_bytes``: of a
+    row group, for tables of large rows."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

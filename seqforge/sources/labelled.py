@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,7 +32,7 @@ def read_labelled(spark: SparkSession, path: str, limit: int = -1, drop_empty: b
     return out.select("y", "seq", "malformed")
 
 
-def one_vs_rest(y, positive: int):
+def one_vs_rest(y: Column, positive: int | Column) -> Column:
     return F.when(y.cast("int") == positive, 1.0).otherwise(-1.0)
 
 

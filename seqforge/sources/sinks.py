@@ -26,16 +26,16 @@ def write_model(model: SequenceModel, spark: SparkSession, path: str) -> None:
 
 
 def save_model(model: SequenceModel, spark: SparkSession, path: str) -> None:
-    """The model as Parquet: steps, with the scalars in each row."""
-    rows = [(i, float(s), g, float(model.bias), model.words, model.gaps[0], model.gaps[1]) for i, (s, g) in enumerate(model.steps)]
-    spark.createDataFrame(rows, "itr int, step double, ngram string, bias double, words boolean, total_gap int, run_gap int").write.parquet(path)
+    """The model as Parquet: a row for each step, and before them one of the scalars, whose step is null."""
+    scalars = (float(model.bias), model.words, model.bytes, *model.gaps)
+    rows = [(-1, None, None, *scalars), *((i, float(s), g, *[None] * len(scalars)) for i, (s, g) in enumerate(model.steps))]
+    spark.createDataFrame(rows, "itr int, step double, ngram string, bias double, words boolean, bytes boolean, total_gap int, run_gap int").write.parquet(path)
 
 
 def open_model(spark: SparkSession, path: str, threshold: float | None = None) -> SequenceModel:
     """A saved model; a threshold replaces its bias by the negated threshold."""
-    rows = spark.read.parquet(path).orderBy("itr").collect()  # a row for each learning step
-    first = rows[0]
-    model = SequenceModel([(r["step"], r["ngram"]) for r in rows], first["bias"], first["words"], (first["total_gap"], first["run_gap"]))
+    first, *steps = spark.read.parquet(path).orderBy("itr").collect()  # a row for each learning step
+    model = SequenceModel([(r["step"], r["ngram"]) for r in steps], first["bias"], first["words"], (first["total_gap"], first["run_gap"]), first["bytes"])
     if threshold is not None:
         model.bias = -threshold
     return model
@@ -44,8 +44,11 @@ def open_model(spark: SparkSession, path: str, threshold: float | None = None) -
 def predictions(scored: DataFrame, verbosity: int = 1) -> DataFrame:
     """The line of each prediction: the score; label, score, probability and text; the same with the rules matched; or
     the label with sparse feature ids."""
+    needed = {4: "rules", 5: "ids"}.get(verbosity)
+    if verbosity not in (1, 2, 4, 5) or needed and needed not in scored.columns:
+        raise ValueError(f"verbosity {verbosity} is not one of 1, 2, 4, 5, or its column {needed} is missing")
     base = F.concat_ws(" ", F.col("y").cast("string"), F.col("score").cast("string"), F.col("probability").cast("string"), "seq")
-    line = {1: F.col("score").cast("string"), 2: base, 4: F.concat(base, F.lit(" <instance> "), F.array_join("rules", " "), F.lit(" </instance>")) if "rules" in scored.columns else base, 5: F.concat_ws(" ", F.col("y").cast("string"), F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(":1.0"))), " ")) if "ids" in scored.columns else base}
+    line = {1: F.col("score").cast("string"), 2: base, 4: F.concat(base, F.lit(" <instance> "), F.array_join("rules", " "), F.lit(" </instance>")) if verbosity == 4 else base, 5: F.concat_ws(" ", F.col("y").cast("string"), F.array_join(F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(":1.0"))), " ")) if verbosity == 5 else base}
     return scored.select("doc_id", line[verbosity].alias("value"))
 
 

@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seqforge.functions import text as T
-from seqforge.functions.loss import probability
 from seqforge.operators.model import SequenceModel
 
 
 def score_stream(docs: DataFrame, model: SequenceModel) -> DataFrame:
-    """``docs`` (batch or stream) with score and probability, without an aggregation: each rule is
-    looked for in the row's text."""
-    total = F.lit(float(model.bias + model.intercept))
-    for g, w in sorted(model.weights.items()):
-        total = total + F.when(T.holds(F.col("__bare"), g, model.words), F.lit(float(w))).otherwise(0.0)
-    out = docs.withColumn("__bare", T.bare(F.col("seq"), model.words)).withColumn("score", total).drop("__bare")
-    return out.withColumn("probability", probability(F.col("score")))
+    """``docs`` (batch or stream) with score, n_rules and probability, without an aggregation: rules are looked for in the row."""
+    return model.transform(docs)
 
 
 def start(docs: DataFrame, model: SequenceModel, path: str, checkpoint: str) -> StreamingQuery:

@@ -89,13 +89,15 @@ def test_wildcard_scores(spark):
 
 
 @pytest.mark.parametrize("words", [False, True])
-def test_rules_joined_equal_rules_looked_for(spark, words):
+def test_rules_of_the_tree_equal_rules_looked_for(spark, words):
     rng = random.Random(1)
     sep = " " if words else ""
     docs = docs_of(spark, [(i, sep.join(rng.choice(["a", "b", "é", "😀", "."]) for _ in range(rng.randint(0, 12))), 0.0) for i in range(60)] + [(99, None, 0.0)])
     rules = spark.createDataFrame([(sep.join(p), 0.5) for p in (["a"], ["a", "b"], ["😀", "é", "."], [".", T.WILD, "a"], ["a", "b", "é", "a"])], "ngram string, weight double")
-    few, many = model.matches(docs, rules, words), model.matches(docs, rules, words, few=0)
-    assert few.count() > 20 and few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
+    found = {(r.doc_id, r.ngram) for r in model.matches(docs, rules, words).collect()}
+    bare = docs.select("doc_id", T.bare(F.coalesce("seq", F.lit("")), words).alias("bare"))
+    looked_for = {(r.doc_id, g) for g in [r.ngram for r in rules.collect()] for r in bare.where(T.holds(F.col("bare"), g, words)).collect()}
+    assert len(found) > 20 and found == looked_for
 
 
 def test_word_rules_do_not_join_words(spark):
@@ -256,7 +258,7 @@ def test_rows_that_share_an_id_have_scores_of_their_own(spark):
     docs = docs_of(spark, [(1, "th", 0.0), (1, "th", 0.0), (1, "x", 0.0), (None, "th", 0.0)])
     m = model.SequenceModel([(1.0, "th")])
     assert sorted(r.score for r in m.transform(docs).collect()) == [0.0, 1.0, 1.0, 1.0]
-    many = model.with_matches(docs, m.rules(spark), few=0)
+    many = model.with_matches(docs, m.rules(spark))
     assert sorted(len(r["__hits"]) for r in many.collect()) == [0, 1, 1, 1]
 
 
@@ -295,7 +297,7 @@ def test_sweeps(spark):
     assert {(r.alphabet, r.run, r.method) for r in got} == {(k, 0, m) for k in (2, 4) for m in ("learned", "ridge")} and all(r.mse >= 0 for r in got)
     rows = [(i, g, k, s, y) for i, (g, k, s, y) in enumerate([(g, k, s, y) for g in ("t1", "t2") for k in ("HK", "ME") for s, y in (("aab", 3.0), ("abb", 2.0), ("bbb", 1.0))])]
     docs = spark.createDataFrame(rows, "doc_id long, group string, kind string, seq string, y double")
-    out = sweep.transfer_sweep(docs, ["t1", "t2"], ("HK", "ME"), learn.LearnConfig(maxpat=2, max_iterations=4, convergence=-1.0)).collect()
+    out = sweep.transfer_sweep(docs, ("HK", "ME"), learn.LearnConfig(maxpat=2, max_iterations=4, convergence=-1.0)).collect()
     assert len(out) == 12 and all(abs(r.score - r.y) < 0.6 for r in out) and {r.trained_on for r in out} == {"HK", "ME"}
 
 
