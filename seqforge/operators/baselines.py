@@ -5,23 +5,23 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqforge.functions import text as T
 from seqforge.operators import evaluate
+from seqforge.operators.model import INTERCEPT
 
 
 def vectorise(docs: DataFrame, sizes: range) -> tuple[DataFrame, list[str]]:
-    """``docs`` with sparse binary ``features`` of all character n-grams of the sizes, lower-cased, and their names. The vocabulary
-    is sized by its count; no n-gram is left out."""
+    """``docs`` with sparse binary ``features`` of all character n-grams of the sizes, lower-cased, these n-grams as ``grams``, and their names.
+    The vocabulary is sized by its count; no n-gram is left out, so the fitted weights of all of them are held by the driver."""
     grams = F.array_distinct(F.flatten(F.array(*[T.mask_grams(F.array(), (False,) * n, False, F.lower("seq")) for n in sizes])))
-    rows = docs.withColumn("__grams", grams)
-    vocabulary = max(1, rows.select(F.explode("__grams").alias("g")).agg(F.count_distinct("g")).first()[0])
-    fitted = CountVectorizer(inputCol="__grams", outputCol="features", binary=True, minDF=1, vocabSize=vocabulary).fit(rows)
-    return fitted.transform(rows).drop("__grams"), fitted.vocabulary
+    rows = docs.withColumn("grams", grams)
+    vocabulary = max(1, rows.select(F.explode("grams").alias("g")).agg(F.count_distinct("g")).first()[0])
+    fitted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1, vocabSize=vocabulary).fit(rows)
+    return fitted.transform(rows), fitted.vocabulary
 
 
 def fit(kind: str, rows: DataFrame, n: int):
@@ -33,10 +33,17 @@ def fit(kind: str, rows: DataFrame, n: int):
     return LinearRegression(featuresCol="features", labelCol="y", standardization=False, maxIter=200, **options).fit(rows)
 
 
-def sparse(rows: DataFrame) -> DataFrame:
-    """ix, vs and y of rows with binary ``features``."""
-    used = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull())
-    return rows.select(used.alias("ix"), F.transform(used, lambda i: F.lit(1.0)).alias("vs"), "y")
+def sparse(rows: DataFrame, names: list[str]) -> DataFrame:
+    """ix, vs and y of rows with ``grams``, whose places in ``names`` are looked up in tasks: no row is made dense."""
+    shared = rows.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(names)})
+
+    def looked_up(batches):
+        number = shared.value
+        for frame in batches:
+            ix = [[number[g] for g in own] for own in frame["grams"]]
+            yield pd.DataFrame({"ix": ix, "vs": [[1.0] * len(x) for x in ix], "y": frame["y"]})
+
+    return rows.select("grams", "y").mapInPandas(looked_up, "ix array<int>, vs array<double>, y double")
 
 
 def svr(rows: DataFrame, n: int, c: float = 1.0, epsilon: float = 0.0, rounds: int = 30, size: int = 0) -> tuple[np.ndarray, float]:
@@ -87,21 +94,21 @@ def report(kind: str, scored: DataFrame, names: list[str], weights, seconds: dic
     return out.withColumns({f"{k}_seconds": F.lit(float(v)) for k, v in seconds.items()}) if seconds else out
 
 
-def residual_sums(fitted, rows: DataFrame, size: int) -> np.ndarray:
-    """For each feature the sum of the residuals of the rows that have it, and last the sum of all: partial sums by batch."""
-
-    def sums(batches):
-        total = np.zeros(size + 1)
-        for frame in batches:
-            for ix, e in zip(frame["ix"], frame["e"], strict=True):
-                total[ix] += e
-                total[-1] += e
-        yield pd.DataFrame({"i": np.arange(size + 1), "s": total})
-
-    scored = fitted.transform(rows)
-    used = F.filter(F.transform(vector_to_array("features"), lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull())
-    found = scored.select(used.alias("ix"), (F.col("y") - F.col("prediction")).alias("e")).mapInPandas(sums, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    out = np.zeros(size + 1)
-    for r in found:
-        out[r["i"]] = r["s"]
-    return out
+def residual_sums(fitted, rows: DataFrame) -> DataFrame:
+    """ngram, support and residual: of each feature the rows that have it and the sum of their residuals, and of all rows under the
+    intercept's name."""
+    scored = fitted.transform(rows).select("grams", (F.col("y") - F.col("prediction")).alias("e"))
+    names = F.array_append("grams", F.lit(INTERCEPT))
+    return scored.select(F.explode(names).alias("ngram"), "e").groupBy("ngram").agg(F.count("*").alias("support"), F.sum("e").alias("residual"))
+
+
+def optimality(kind: str, fitted, rows: DataFrame, names: list[str], n: int) -> DataFrame:
+    """ngram, support, weight and gap: how far each feature is from the condition that holds at the optimum alone, for a row. The
+    sum of its rows' residuals is zero (least squares), the penalty's gradient (ridge), or within the l1 part where its weight is 0
+    (elastic net)."""
+    l1, l2 = {"ols": (0.0, 0.0), "ridge": (0.0, 1.0), "enet": (0.5 * n, 0.5 * n)}[kind]
+    weights = rows.sparkSession.createDataFrame([*zip(names, map(float, fitted.coefficients), strict=True), (INTERCEPT, 0.0)], "ngram string, weight double")
+    w, r = F.col("weight"), F.col("residual")
+    l1s, l2s = (F.when(F.col("ngram") == INTERCEPT, 0.0).otherwise(F.lit(x)) for x in (l1, l2))
+    gap = F.when(w == 0, F.greatest(F.lit(0.0), F.abs(r) - l1s)).otherwise(F.abs(r - l2s * w - l1s * F.signum(w)))
+    return residual_sums(fitted, rows).join(weights, "ngram").select("ngram", "support", "weight", (gap / n).alias("gap"))

@@ -19,7 +19,7 @@ def regression(scored: DataFrame) -> DataFrame:
     e = F.col("score") - F.col("y")
     off = F.col("y") - F.col("__mean")
     out = scored.select("y", "score").crossJoin(F.broadcast(mean)).agg(  # one row
-        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("ss_res"), F.sum(off * off).alias("ss_tot"), F.sum(F.abs(e)).alias("abs_res"), F.sum(F.abs(off)).alias("abs_tot"), F.corr("score", "y").alias("pearson")
+        F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("ss_res"), F.sum(off * off).alias("ss_tot"), F.sum(F.abs(e)).alias("abs_res"), F.sum(F.abs(off)).alias("abs_tot"), F.try_divide(F.covar_pop("score", "y"), F.stddev_pop("score") * F.stddev_pop("y")).alias("pearson")
     )
     rse = F.when(F.col("ss_tot") != 0, F.col("ss_res") / F.col("ss_tot"))
     return out.select("mse", F.sqrt("mse").alias("rmse"), "mae", rse.alias("rse"), F.sqrt(rse).alias("root_rse"), (1 - rse).alias("r2"), F.when(F.col("abs_tot") != 0, F.col("abs_res") / F.col("abs_tot")).alias("rae"), "pearson")

@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from seqforge.operators.search import SearchConfig, least_gradient
 from seqforge.session import materialise
 from seqforge.sources.labelled import LOG_SCHEMA
 
-FOLD = 5
+#: Iterations after which scores are written, and parts of a line search's grid.
+FOLD, GRID = 5, 32
 
 
 @dataclass
@@ -60,13 +62,14 @@ Penalty = Callable[[float], float]
 
 def losses_at(rows: DataFrame, kind: str, steps: dict[str, list[float]]) -> dict[str, list[float]]:
     """The loss of each group (grp) of ``rows`` (y, f) after each of its steps, in one job."""
-    n = len(next(iter(steps.values())))
-    # a row for each model; steps that come as data leave the plan's code as it is in every round
-    table = rows.sparkSession.createDataFrame([(g, [float(x) for x in s]) for g, s in steps.items()], "grp string, steps array<double>")
-    rows, at = rows.join(F.broadcast(table), "grp"), [F.col("steps")[i] for i in range(n)]
-    found = rows.groupBy("grp").agg(*[F.sum(L.loss(kind, F.col("y"), F.col("f") + s)).alias(f"l{i}") for i, s in enumerate(at)]).collect()
-    losses = {r["grp"]: [r[f"l{i}"] or 0.0 for i in range(n)] for r in found}
-    return {g: losses.get(g, [0.0] * n) for g in steps}
+    # a row for each model and step; steps that come as data leave the plan's code as it is in every round
+    cells = [(g, i, float(x)) for g, own in steps.items() for i, x in enumerate(own)]
+    table = rows.sparkSession.createDataFrame(pa.table(dict(zip(("grp", "i", "step"), map(pa.array, zip(*cells, strict=True)), strict=True))))
+    found = rows.join(F.broadcast(table), "grp").groupBy("grp", "i").agg(F.sum(L.loss(kind, F.col("y"), F.col("f") + F.col("step"))).alias("loss")).collect()
+    out = {g: [0.0] * len(own) for g, own in steps.items()}
+    for r in found:
+        out[r["grp"]][r["i"]] = r["loss"] or 0.0
+    return out
 
 
 def line_searches(rows: DataFrame, kind: str, gradients: dict[str, tuple[float, int]], penalties: dict[str, Penalty] | None = None, tolerance: float = 1e-3) -> dict[str, float]:
@@ -93,12 +96,12 @@ def line_searches(rows: DataFrame, kind: str, gradients: dict[str, tuple[float,
         ends[grp] = steps[k - 1], steps[min(k + 1, len(steps) - 1)]
     going = set(ends)
     while going := {g for g in going if gradients[g][1] * abs(ends[g][1] - ends[g][0]) > tolerance}:
-        grids = {g: [ends[g][0] + (ends[g][1] - ends[g][0]) * i / 16 for i in range(17)] for g in sorted(going)}
+        grids = {g: [ends[g][0] + (ends[g][1] - ends[g][0]) * i / GRID for i in range(GRID + 1)] for g in sorted(going)}
         for grp, losses in losses_at(rows, kind, grids).items():
             grid = grids[grp]
             values = [v + penalty[grp](s) for v, s in zip(losses, grid, strict=True)]
-            i = min(range(17), key=values.__getitem__)
-            new = grid[max(0, i - 1)], grid[min(16, i + 1)]
+            i = min(range(GRID + 1), key=values.__getitem__)
+            new = grid[max(0, i - 1)], grid[min(GRID, i + 1)]
             if abs(new[1] - new[0]) >= abs(ends[grp][1] - ends[grp][0]):
                 going.discard(grp)
             else:

@@ -832,7 +832,7 @@ def ngram_vectoriser(spark, d):
 
 def _vectors(spark, d, sizes=range(1, 4)):
     rows, names = baselines.vectorise(X.char_docs(spark, d), sizes)
-    return materialise(rows.select("doc_id", "y", "features"), "features"), names
+    return materialise(rows.select("doc_id", "y", "grams", "features"), "features"), names
 
 
 def _baseline(kind: str):
@@ -850,28 +850,34 @@ for _kind in ("ols", "ridge", "enet"):
 @_register("svr_baseline")
 def svr_baseline(spark, d):
     rows, names = _vectors(spark, d)
-    rows = materialise(baselines.sparse(rows.select("y", "features")), "sparse")
+    rows = materialise(baselines.sparse(rows, names), "sparse")
     w, b = baselines.svr(rows, rows.count(), size=len(names))
     return spark.createDataFrame([(g, float(x)) for g, x in [*zip(names, w, strict=True), (model.INTERCEPT, b)]], "ngram string, weight double")
 
 
-@_register("baseline_conditions", f"""with {X.CHAR_DOCS}, t as (select distinct ng from ({grams_sql((1,))})), k(kind) as (values ('ols'), ('ridge'), ('enet'))
-select kind, ng ngram, true "optimal" from t, k union all select kind, '*INTERCEPT*', true from k""")
+@_register("baseline_conditions", f"""with {X.CHAR_DOCS}, t as (select ng, count(*) support from ({grams_sql((1,))}) group by ng union all select '{model.INTERCEPT}', count(*) from e), k(kind) as (values ('ols'), ('ridge'), ('enet'))
+select kind, ng ngram, support, 0.0::double gap from t, k""")
 def baseline_conditions(spark, d):
-    """Whether each baseline meets the conditions that hold at its optimum alone: the residuals' sum over the documents with an
-    n-gram is zero (least squares), the penalty's gradient (ridge), or within the l1 part where the weight is 0 (elastic net)."""
+    """How far each baseline is from its optimum's conditions, feature by feature (in SQL: not at all, to four digits)."""
     rows, names = _vectors(spark, d, range(1, 2))
-    n, out = rows.count(), []
+    n, out = rows.count(), None
+    for kind in ("ols", "ridge", "enet"):
+        part = baselines.optimality(kind, baselines.fit(kind, rows, n), rows, names, n)
+        part = part.select(F.lit(kind).alias("kind"), "ngram", "support", (F.round("gap", 4) + 0.0).alias("gap"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_register("baseline_report")
+def baseline_report(spark, d):
+    """The measures of each baseline, and its features of the largest and smallest weight."""
+    rows, names = _vectors(spark, d, range(1, 3))
+    n, out = rows.count(), None
     for kind in ("ols", "ridge", "enet"):
         fitted = baselines.fit(kind, rows, n)
-        sums = baselines.residual_sums(fitted, rows, len(names))
-        scale = 1e-4 * n
-        out.append((kind, model.INTERCEPT, bool(abs(sums[-1]) < scale)))
-        for name, w, r in zip(names, fitted.coefficients, sums, strict=False):
-            l1, l2 = {"ols": (0.0, 0.0), "ridge": (0.0, 1.0), "enet": (0.5 * n, 0.5 * n)}[kind]
-            gap = abs(r - l2 * w - l1 * (1 if w > 0 else -1)) if w else max(0.0, abs(r) - l1)
-            out.append((kind, name, bool(gap < scale)))
-    return spark.createDataFrame(out, "kind string, ngram string, optimal boolean")
+        part = baselines.report(kind, fitted.transform(rows).withColumnRenamed("prediction", "score"), names, fitted.coefficients)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

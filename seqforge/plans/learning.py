@@ -101,8 +101,8 @@ _LONG = {"words": True, "maxpat": 10, "gaps": (0, 5), "minsup": 100}
 
 
 @_register("long_gap_pattern", f"""with recursive {X.EVENT_SEQS}, {WORDS}, g as (select doc_id, 2 * (y - (select avg(y) from e)) g from e), k as (select unnest(range(6))::int k),
-x(doc_id, at, ng, sz) as (select doc_id, i, ws[i], 1 from (select doc_id, ws, unnest(generate_series(1, len(ws)))::int i from w)
-  union all select x.doc_id, x.at + 1 + k, x.ng || repeat(' ' || chr(57344), k) || ' ' || ws[x.at + 1 + k], x.sz + 1 + k from x join w on w.doc_id = x.doc_id, k where x.at + 1 + k <= len(ws) and x.sz + 1 + k <= 10)
+x(doc_id, ix, ng, sz) as (select doc_id, i, ws[i], 1 from (select doc_id, ws, unnest(generate_series(1, len(ws)))::int i from w)
+  union all select x.doc_id, x.ix + 1 + k, x.ng || repeat(' ' || chr(57344), k) || ' ' || ws[x.ix + 1 + k], x.sz + 1 + k from x join w on w.doc_id = x.doc_id, k where x.ix + 1 + k <= len(ws) and x.sz + 1 + k <= 10)
 select 'best' "name", replace(ng, chr(57344), '*') ngram, cast(sz as int) size, {q('-sum(g)')} gradient, count(*) support from (select distinct doc_id, ng, sz from x) join g using (doc_id) group by ng, sz having count(*) >= {_LONG['minsup']} order by round(abs(sum(g)), 9) desc, sz, ng limit 1""")
 def long_gap_pattern(spark, d):
     """Patterns of up to ten tokens with runs of up to five wildcards, grown from places; no mask is enumerated."""

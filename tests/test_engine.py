@@ -4,14 +4,16 @@ import itertools
 import math
 import os
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
-from seqforge.operators import baselines, evaluate, generate, index, learn, model, multiclass, search, sweep
+from seqforge.operators import baselines, evaluate, frontier, generate, index, learn, matcher, model, multiclass, postings, search, sweep
 from seqforge.operators.model import INTERCEPT
 from seqforge.sources import labelled, sinks
 from seqforge.streaming import scoring
@@ -221,7 +223,7 @@ def test_models_of_classes_over_folds(spark):
 def vectors(spark, rows, sizes):
     rows_, names = baselines.vectorise(docs_of(spark, rows), sizes)
     x = np.array([[float(g in s.lower()) for g in names] for _, s, _ in rows])
-    return rows_.select("y", "features"), names, x, np.array([y for _, _, y in rows])
+    return rows_.select("y", "grams", "features"), names, x, np.array([y for _, _, y in rows])
 
 
 def test_baselines_against_numpy(spark):
@@ -242,7 +244,7 @@ def test_baselines_against_numpy(spark):
             r = x1[:, j] @ (y - b - x1 @ w + x1[:, j] * w[j]) / n
             w[j] = np.sign(r) * max(0, abs(r) - 0.5) / ((x1[:, j] ** 2).sum() / n + 0.5)
     assert np.abs(np.r_[enet.coefficients.toArray(), enet.intercept] - np.r_[w, b]).max() < 1e-3
-    got, gb = baselines.svr(baselines.sparse(df), n, rounds=10, size=len(names1))
+    got, gb = baselines.svr(baselines.sparse(df, names1), n, rounds=10, size=len(names1))
     w, b = np.zeros(x1.shape[1]), 0.0
     for t in range(1, 11):
         e = x1 @ w + b - y
@@ -453,3 +455,168 @@ def test_registered_queries_have_oracles():
 
     free = set(catalogue.queries()) - set(catalogue.oracle_sql())
     assert free == {"best_ngram_any_size", "toy_sequences", "motif_recovery", "ols_baseline", "ridge_baseline", "enet_baseline", "svr_baseline"}
+
+
+# --- the kept tree ---------------------------------------------------------------------------------------------------
+
+
+def made_rows(seed, n=40, letters="abc", size=9):
+    rng = random.Random(seed)
+    return [(i, "".join(rng.choice(letters) for _ in range(rng.randint(0, size))), float(rng.choice([-1, 1])) * rng.choice([1.0, 0.5])) for i in range(n)]
+
+
+def tree_of(spark, rows, config, **settings):
+    return frontier.Frontier.of(docs_of(spark, rows), config, ["y"], **settings)
+
+
+@pytest.mark.parametrize("seed,gaps,minsup,minpat,traversal", [(0, (0, 0), 1, 1, "bfs"), (1, (0, 0), 3, 2, "best"), (2, (1, 1), 1, 1, "dfs"), (3, (2, 1), 2, 1, "bfs"), (4, (0, 2), 1, 2, "best"), (5, (3, 0), 2, 1, "bfs")])
+def test_kept_search_equals_brute_force(spark, monkeypatch, seed, gaps, minsup, minpat, traversal):
+    monkeypatch.setattr(frontier, "BEAM", 3)
+    rows = made_rows(seed)
+    config = search.SearchConfig(maxpat=5, minsup=minsup, gaps=gaps, minpat=minpat, traversal=traversal)
+    tree = tree_of(spark, rows, config)
+    got = tree.search([("", 0)])["", 0]
+    want = brute_best([(i, s, 2 * y) for i, s, y in rows], 5, minsup, gaps, minpat)
+    assert (None if got is None else got.key) == want
+    kept, widened = tree.counters.total, tree.counters.waves
+    again = tree.search([("", 0)])["", 0]
+    assert again.key == got.key and tree.counters.fresh == 0 and tree.counters.waves == 0 and tree.counters.kept == kept and widened > 0
+
+
+def test_a_queue_that_is_too_small_loses_nothing(spark, monkeypatch):
+    rows = made_rows(7, letters="abcd")
+    config = search.SearchConfig(maxpat=4)
+    want = tree_of(spark, rows, config).search([("", 0)])["", 0]
+    monkeypatch.setattr(frontier, "QUEUE", 2)
+    assert tree_of(spark, rows, config).search([("", 0)])["", 0] == want
+
+
+def test_later_searches_read_no_text_and_best_first_expands_less(spark, monkeypatch):
+    rows = made_rows(11, 80, "abcde", 14)
+    counted = {}
+    for order in ("bfs", "best"):
+        monkeypatch.setattr(frontier, "BEAM", 2)
+        tree = tree_of(spark, rows, search.SearchConfig(maxpat=6, minsup=2, traversal=order))
+        counted[order] = tree.search([("", 0)])["", 0], tree.counters.expanded
+    assert counted["bfs"][0] == counted["best"][0] and counted["best"][1] <= counted["bfs"][1]
+    read = tree._sums(False, {})._jdf.queryExecution().executedPlan().toString()
+    schema = read[read.index("FileScan parquet [") :].split("]")[0]
+    assert "docs" in schema and not any(c in schema for c in ("codes", "places", "vocab"))
+
+
+def test_learning_keeps_its_tree(spark):
+    rows = [(i, s, y) for i, s, y in made_rows(13, 60, "abcd", 10) if s]
+    out = learn.learn(docs_of(spark, rows), learn.LearnConfig(maxpat=3, max_iterations=4, convergence=-1.0))
+    assert [(g, round(s, 6)) for s, g in out.model.steps] == brute_learn(rows, 4, 3)
+    assert out.log[0]["kept"] == 0 and all(r["kept"] > 0 for r in out.log[1:])
+    assert all(a["total"] == b["kept"] for a, b in zip(out.log, out.log[1:], strict=False))
+    # what is added up over the moved documents equals what is computed anew
+    f, steps = dict.fromkeys([i for i, _, _ in rows], 0.0), iter(out.model.steps)
+    for row in out.log:
+        delta, (step, gram) = next(steps)[0], next(steps)
+        before = {i: v + delta for i, v in f.items()}
+        f = {i: v + step * (gram in s) for (i, s, _), v in zip(rows, before.values(), strict=True)}
+        assert abs(row["loss"] - sum((y - f[i]) ** 2 for i, _, y in rows)) < 1e-9
+        assert abs(row["convRate"] - sum(abs(f[i] - before[i]) for i in f) / (1 + sum(map(abs, before.values())))) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["squared", "logistic"])
+def test_models_of_groups_and_responses_equal_single_ones(spark, kind):
+    rows = [(i, s, y, "g" if i % 3 else "h", -y if s[:1] == "a" else y) for i, s, y in made_rows(17, 60)]
+    rows = [(i, s, 1.0 if y > 0 else -1.0, g, 1.0 if z > 0 else -1.0) for i, s, y, g, z in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, seq string, y double, part string, z double")
+    config = learn.LearnConfig(objective=kind, maxpat=2, max_iterations=2, convergence=-1.0, minsup=2, c=0.1)
+    many = learn.learn_many(docs, config, ["y", "z"], "part")
+    assert set(many) == {(g, r) for g in "gh" for r in (0, 1)}
+    for (g, r), got in many.items():
+        own = docs.where(F.col("part") == g).withColumn("y", F.col("yz"[r]))
+        alone = learn.learn(own, config)
+        assert [x for _, x in got.model.steps] == [x for _, x in alone.model.steps]
+        assert np.allclose([s for s, _ in got.model.steps], [s for s, _ in alone.model.steps], atol=1e-3) and got.reason == alone.reason
+
+
+def test_candidates_that_do_not_fit_prune_nothing(spark):
+    rows = [(0, "abcd", 1.0), (1, "dcba", -1.0)]
+    state = learn.prepare(docs_of(spark, rows), False).withColumn("g", F.col("y"))
+    for candidates in (None, ["ab"], [f"a{T.WILD}c"], [f"a{T.WILD}"], [""]):
+        got = search.best_ngram(state, search.SearchConfig(maxpat=1), candidates=candidates)
+        assert got.ngram is None
+        got = search.best_ngram(state, search.SearchConfig(maxpat=2, gaps=(0, 0)), candidates=candidates)
+        assert got.ngram == "ab"
+    assert learn.learn(docs_of(spark, rows), learn.LearnConfig(maxpat=2, max_iterations=1), candidates=["abc", "ab"]).model.steps[1][1] == "ab"
+
+
+def test_bytes(spark):
+    docs = docs_of(spark, [(0, "é", 1.0), (1, "è x", 1.0), (2, "x", -1.0), (3, None, -1.0), (4, "", -1.0)])
+    found = tree_of(spark, [tuple(r) for r in docs.where("doc_id < 3").collect()], search.SearchConfig(maxpat=2, bytes=True)).search([("", 0)])["", 0]
+    assert found.ngram.encode("latin-1") == b"\xc3" and found.support == 2
+    m = model.SequenceModel([(1.0, "\xc3"), (0.5, "\xa9"), (0.25, "\xa8x"), (4.0, "\xe9")], bytes=True)
+    assert {r.doc_id: r.score for r in m.transform(docs).collect()} == {0: 1.5, 1: 1.25, 2: 0.0, 3: 0.0, 4: 0.0}
+    assert {tuple(r.rules) for r in m.transform(docs, with_rules=True).collect()} == {("A9", "C3"), ("A878", "C3"), ()}
+
+
+def test_blocks_hold_what_their_texts_hold():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abé😀") for _ in range(rng.randint(0, 12))) for _ in range(30)]
+    batch = pa.RecordBatch.from_pydict({"grp": ["g"] * 10 + ["h"] * 20, "bare": texts, "y0": [1.0] * 30, "f0": [0.0] * 30})
+    rows = list(postings.index_texts(iter([batch]), 1, False, False))
+    blocks = [b for r in rows for b in postings.blocks_of(r, r.schema.names)]
+    assert [(b.grp, b.n) for b in blocks] == [("g", 10), ("h", 20)]
+    for block, own in zip(blocks, (texts[:10], texts[10:]), strict=True):
+        for _ in range(3):
+            block = next(postings.blocks_of(postings.row_of(postings.extended(block, set(block.names.to_pylist()), 4, (2, 2), False)), rows[0].schema.names))
+        names = block.names.to_pylist()
+        want = {"".join(T.WILD if t is None else t for t in g) for s in own for n in range(1, 5) for m in T.masks(n, 2, 2) for g in grams(s, n, m)}
+        assert sorted(names) == sorted(want)
+        for k, g in enumerate(names):
+            pattern = re.compile("(?s)" + "".join("." if t == T.WILD else re.escape(t) for t in g))
+            assert block.docs[block.doc_starts[k] : block.doc_starts[k + 1]].tolist() == [i for i, s in enumerate(own) if pattern.search(s)]
+
+
+def test_a_large_model_is_one_walk(spark, monkeypatch):
+    rng = random.Random(23)
+    rules = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(50_000)})
+    rules += [f"a{T.WILD}{T.WILD}b", f"c{T.WILD}d", "\U0001f600", ""]
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(20)] + ["", None, "zzz", "\U0001f600\U0001f600"]
+    want = []
+    for t in texts:
+        held = {(t or "")[i : i + n] for n in range(1, 8) for i in range(len(t or ""))}
+        own = [g for g in rules if g and (g in held if T.WILD not in g else re.search(g.replace(T.WILD, "."), t or ""))]
+        want.append(sorted(own))
+    for places in (1 << 18, 37):
+        monkeypatch.setattr(matcher, "PLACES", places)
+        tree = matcher.RuleTree([(g, 1.0) for g in rules])
+        text, rule = tree.found(texts)
+        got = [[tree.rules[k][0] for k in rule[text == i]] for i in range(len(texts))]
+        assert got == want
+    assert matcher.RuleTree([]).found(texts)[0].tolist() == []
+
+
+def test_saved_models_without_steps_and_tuned_ones(spark, tmp_path):
+    sinks.save_model(model.SequenceModel(bias=2.5, words=True, gaps=(3, 1)), spark, str(tmp_path / "empty"))
+    back = sinks.open_model(spark, str(tmp_path / "empty"))
+    assert (back.steps, back.bias, back.words, back.gaps) == ([], 2.5, True, (3, 1))
+    docs = docs_of(spark, [(0, "a", 1.0), (1, "ab", -1.0), (2, "b", -1.0), (3, "aa", 1.0)])
+    m = model.SequenceModel([(1.0, "a"), (-0.5, "b")], bias=9.0)
+    threshold, errors = m.tune(docs)
+    assert (threshold, errors, m.bias) == (0.75, 0, -0.75)
+    assert evaluate.counts(m.transform(docs)).first().asDict() == {"tp": 2, "fp": 0, "fn": 0, "tn": 2}
+
+
+def test_predictions_need_their_columns(spark):
+    scored = model.SequenceModel([(1.0, "a")]).transform(docs_of(spark, [(0, "a", 1.0)]))
+    for verbosity in (3, 4, 5):
+        with pytest.raises(ValueError):
+            sinks.predictions(scored, verbosity)
+    assert sinks.predictions(scored, 2).count() == 1
+
+
+def test_baselines_meet_their_conditions(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4))), rng.gauss(0, 3)) for i in range(90)]
+    df, names = baselines.vectorise(docs_of(spark, rows), range(1, 2))
+    for kind in ("ols", "ridge", "enet"):
+        fitted = baselines.fit(kind, df, 90)
+        found = baselines.optimality(kind, fitted, df, names, 90).collect()
+        assert {r.ngram for r in found} == {*names, INTERCEPT} and all(r.gap < 1e-4 for r in found)
+        assert {r.ngram: r.support for r in found} == {g: sum(g in s for _, s, _ in rows) for g in names} | {INTERCEPT: 90}
