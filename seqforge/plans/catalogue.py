@@ -10,7 +10,7 @@ from seqforge.functions import text as T
 from seqforge.operators import baselines, evaluate, generate, index, learn, model, multiclass, search
 from seqforge.plans import fixtures as X
 from seqforge.session import fresh_path, materialise
-from seqforge.sources import labelled, sinks
+from seqforge.sources import labelled, sinks, stream
 from seqforge.streaming import scoring
 
 _queries: dict = {}
@@ -98,6 +98,15 @@ def labelled_file_limit(spark, d):
     return labelled.read_labelled(spark, _line_file(spark, d), limit=40).select("y", F.md5("seq").alias("seq_md5"))
 
 
+@_register("labelled_stream", _oracles["labelled_file"])
+def labelled_stream(spark, d):
+    """The same file followed as a stream, whose rows are appended to a table."""
+    out = fresh_path(spark, "stream-rows")
+    rows = stream.read_labelled_stream(spark, _line_file(spark, d)).select("y", F.md5("seq").alias("seq_md5"))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("y", "seq_md5").agg(F.count("*").alias("n"))
+
+
 @_register("test_scan", f"with {X.CHAR_DOCS}, {_KEPT} select case when trunc(y) = 1 then 1.0::double else -1.0::double end y, md5(seq) seq_md5, count(*) n from n group by all")
 def test_scan(spark, d):
     """A file as the predictor reads it: empty sequences stay, labels against one class."""

@@ -15,7 +15,7 @@ from seqforge.functions import loss as L
 from seqforge.functions import text as T
 from seqforge.operators import baselines, evaluate, frontier, generate, index, learn, matcher, model, multiclass, postings, search, sweep
 from seqforge.operators.model import INTERCEPT
-from seqforge.sources import labelled, sinks
+from seqforge.sources import labelled, sinks, stream
 from seqforge.streaming import scoring
 
 
@@ -620,3 +620,58 @@ def test_baselines_meet_their_conditions(spark):
         found = baselines.optimality(kind, fitted, df, names, 90).collect()
         assert {r.ngram for r in found} == {*names, INTERCEPT} and all(r.gap < 1e-4 for r in found)
         assert {r.ngram: r.support for r in found} == {g: sum(g in s for _, s, _ in rows) for g in names} | {INTERCEPT: 90}
+
+
+# --- labelled lines as a stream --------------------------------------------------------------------------------------
+
+LINES = ["1 abc", "; comment", "", "-2\tb\r", "noDelim", "3 ", "1 é\U0001f600", "0.5 last"]
+
+
+def streamed(spark, folder, out, state, **options):
+    rows = stream.read_labelled_stream(spark, folder, **options).select("place", "y", "seq", "malformed")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.place, r.y, r.seq, r.malformed) for r in spark.read.schema("place long, y double, seq string, malformed boolean").parquet(out).collect())
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("lines", "out", "state"))
+    stream.spool(LINES[:3], folder)
+    first = streamed(spark, folder, out, state)
+    stream.spool(LINES[3:], folder, at_once=2)
+    with open(f"{folder}/lines.txt", "a") as f:
+        f.write("9 half a li")  # no end yet
+    every = streamed(spark, folder, out, state)
+    want = sorted((r.y, r.seq, r.malformed) for r in labelled.read_labelled(spark, f"{folder}/lines.txt").collect() if r.seq != "half a li")
+    assert [x[1:] for x in first] == [(1.0, "abc", False)] and sorted(x[1:] for x in every) == want and len(want) == 5
+    with open(f"{folder}/lines.txt", "a") as f:
+        f.write("ne\n")
+    assert sorted(x[1:] for x in streamed(spark, folder, out, state)) == sorted([*want, (9.0, "half a line", False)])
+
+
+def test_the_limit_of_a_stream_is_never_passed(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("lines", "out", "state"))
+    stream.spool(LINES[:4], folder)
+    assert len(streamed(spark, folder, out, state, limit=3)) == 2
+    stream.spool(LINES[4:], folder)
+    assert [x[2] for x in streamed(spark, folder, out, state, limit=3)] == ["abc", "b", "noDelim"]
+
+
+def test_ranges_share_out_the_lines(tmp_path, monkeypatch):
+    path = tmp_path / "x.txt"
+    path.write_bytes(b"a\n\nbcd\nef\n" + b"g" * 50 + b"\nlast")
+    system, size = stream.opened(str(path))[0], path.stat().st_size
+    whole = list(stream.lines_of(system, str(path), 0, size))
+    assert [x for _, x in whole] == [b"a", b"", b"bcd", b"ef", b"g" * 50, b"last"]
+    for chunk, width in ((1 << 20, 1), (3, 2), (5, 7), (1, 100)):
+        monkeypatch.setattr(stream, "CHUNK", chunk)
+        assert [x for i in range(0, size, width) for x in stream.lines_of(system, str(path), i, min(i + width, size))] == whole
+        assert stream.last_line_end(system, str(path), size, 0) == size - 4
+    assert [stream.accepted(x.encode()) for x in LINES] == [True, False, False, True, True, False, True, True]
+
+
+def test_scores_of_a_stream_of_lines(spark, tmp_path):
+    folder, out = str(tmp_path / "lines"), str(tmp_path / "scored")
+    stream.spool(LINES, folder)
+    m = model.SequenceModel([(1.0, "b"), (0.5, "\U0001f600")], bias=0.25)
+    scoring.start(stream.read_labelled_stream(spark, folder), m, out, str(tmp_path / "state")).awaitTermination()
+    assert sorted(r.score for r in spark.read.parquet(out).collect()) == [0.25, 0.25, 0.75, 1.25, 1.25]
