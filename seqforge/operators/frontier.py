@@ -102,6 +102,8 @@ class Frontier:
     counters: Counters = field(default_factory=Counters)
     begun: bool = False
     moves: list[postings.Move] = field(default_factory=list)
+    #: Of the last search, the best n-grams of each model in the order in which they replaced one another.
+    trail: dict[Model, list[Winner]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, docs: DataFrame, config: SearchConfig, responses: list[str], group: str | None = None) -> Frontier:
@@ -226,6 +228,7 @@ class Frontier:
                     new = Winner(b["gram"], b["size"], b["gradient"], b["support"])
                     if round(abs(new.gradient), 9) > round(floors.get(m, 0.0), 9) and (best[m] is None or new.key < best[m].key):
                         best[m] = new
+                        self.trail.setdefault(m, []).append(new)
         return out
 
     # --- extension ---------------------------------------------------------------------------------------------------
@@ -256,6 +259,7 @@ class Frontier:
                         return True
             return False
 
+        self.trail = {}
         first = self._look(self._sums(False, weights), best, floors)
         self.counters = Counters(kept=first.n if self.begun else 0, fresh=0 if self.begun else first.n, rewritten=first.rewritten)
         self.begun, queue, more = True, first.nodes, first.full
@@ -285,3 +289,23 @@ def of_group(values: dict[str, object]) -> Column:
     if list(values) == [""]:
         return F.lit(values[""])
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("grp")) if values else F.lit(None)
+
+
+def child_counts(docs: DataFrame, words: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """ngram, n (places) and support (documents) of all two-token n-grams of ``docs`` (seq), counted block by block before they are
+    shuffled; ``known``: tokens (tok) that may end one."""
+    ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+    none = F.lit(0.0)
+    rows = docs.select(F.lit("").alias("grp"), T.bare(F.col("seq"), words).alias("bare"), none.alias("y0"), none.alias("f0"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in postings.index_texts(batches, 1, False, words):
+            for block in postings.blocks_of(row, row.schema.names):
+                yield postings.child_counts(block, words)
+
+    out = rows.mapInArrow(counted, "ngram string, n long, support long").groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("support").alias("support"))
+    if known is None:
+        return out
+    last = F.substring_index("ngram", " ", -1) if words else F.right("ngram", F.lit(1))
+    return out.withColumn("tok", last).join(known.select("tok"), "tok", "left_semi").drop("tok")

@@ -218,7 +218,7 @@ class Run:
         shifted = self.sums()
         winners = tree.search(self.active, {m: self.learned[m].model.weights for m in self.active}, floors)
         for m in [m for m in self.active if winners[m] is None]:
-            self.stop(m, "no gradient")
+            self.stop(m, "no gradient" if tree.counters.total else "no token has enough support")
         found = {m: winners[m] for m in self.active}
         steps = self.steps(found) if found else {}
         taken: dict[Model, float] = {}

@@ -216,3 +216,10 @@ def documents(b: Block, wanted: dict[int, dict[str, str]]) -> pa.RecordBatch:
             has[b.holding(gram)] = True
         out |= {f"y{r}": pa.array(b.y[r]), f"f{r}": pa.array(b.f[r]), f"h{r}": pa.array(has)}
     return pa.RecordBatch.from_pydict(out)
+
+
+def child_counts(b: Block, words: bool) -> pa.RecordBatch:
+    """ngram, n (places) and support (documents) of the children of a block's single tokens."""
+    grown = extended(b, set(b.names.to_pylist()), 3, (0, 0), words)  # one token more than they have: places are kept
+    places, docs = (np.diff(x[grown.fresh :]).astype(np.int64) for x in (grown.place_starts, grown.doc_starts))
+    return pa.RecordBatch.from_pydict({"ngram": grown.names[grown.fresh :], "n": pa.array(places), "support": pa.array(docs)})

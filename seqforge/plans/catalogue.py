@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
-from seqforge.operators import baselines, evaluate, generate, index, learn, model, multiclass, search
+from seqforge.operators import baselines, evaluate, frontier, generate, index, learn, model, multiclass, search
 from seqforge.plans import fixtures as X
 from seqforge.session import fresh_path, materialise
 from seqforge.sources import labelled, sinks, stream
@@ -207,7 +207,7 @@ def minsup_unigrams(spark, d):
 select a.tok || b.tok ngram, count(*) n, count(distinct a.doc_id) support from o a join o b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where b.tok in (select tok from known) group by 1""")
 def bigram_children(spark, d):
     docs = X.char_docs(spark, d)
-    return index.occurrence_counts(index.children(index.first_level(docs)), known=index.support(docs, minsup=50))
+    return frontier.child_counts(docs, known=index.support(docs, minsup=50))
 
 
 @_register("wildcard_children", f"""with {X.EVENT_SEQS}, {WORDS}, o as (select doc_id, i pos, ws[i] tok from (select doc_id, ws, unnest(generate_series(1, len(ws))) i from w)),

@@ -480,6 +480,7 @@ def test_kept_search_equals_brute_force(spark, monkeypatch, seed, gaps, minsup,
     assert (None if got is None else got.key) == want
     kept, widened = tree.counters.total, tree.counters.waves
     again = tree.search([("", 0)])["", 0]
+    assert tree.trail == ({("", 0): [again]} if got else {})
     assert again.key == got.key and tree.counters.fresh == 0 and tree.counters.waves == 0 and tree.counters.kept == kept and widened > 0
 
 
@@ -573,6 +574,16 @@ def test_blocks_hold_what_their_texts_hold():
             assert block.docs[block.doc_starts[k] : block.doc_starts[k + 1]].tolist() == [i for i, s in enumerate(own) if pattern.search(s)]
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_counts_of_children(spark, words):
+    docs = docs_of(spark, [(i, (" " if words else "").join(s), y) for i, s, y in made_rows(31, 40)] + [(99, None, 0.0)])
+    found = {tuple(r) for r in frontier.child_counts(docs, words).select("ngram", "n", "support").collect()}
+    want = {tuple(r) for r in index.occurrence_counts(index.children(index.first_level(docs, words), words), words).select("ngram", "n", "support").collect()}
+    assert len(found) == 9 and found == want
+    known = spark.createDataFrame([("a",)], "tok string")
+    assert {r.ngram for r in frontier.child_counts(docs, words, known).collect()} == {g for g, _, _ in found if g.endswith("a")}
+
+
 def test_a_large_model_is_one_walk(spark, monkeypatch):
     rng = random.Random(23)
     rules = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(50_000)})
@@ -592,6 +603,16 @@ def test_a_large_model_is_one_walk(spark, monkeypatch):
     assert matcher.RuleTree([]).found(texts)[0].tolist() == []
 
 
+def test_reasons_and_trails(spark):
+    rows = made_rows(29, 30)
+    out = learn.learn(docs_of(spark, rows), learn.LearnConfig(minsup=1000, max_iterations=3))
+    assert out.reason == "no token has enough support" and [g for _, g in out.model.steps] == [INTERCEPT]
+    tree = tree_of(spark, rows, search.SearchConfig(maxpat=4))
+    best = tree.search([("", 0)])["", 0]
+    trail = [w.key for w in tree.trail["", 0]]
+    assert trail == sorted(trail, reverse=True) and trail[-1] == best.key
+
+
 def test_saved_models_without_steps_and_tuned_ones(spark, tmp_path):
     sinks.save_model(model.SequenceModel(bias=2.5, words=True, gaps=(3, 1)), spark, str(tmp_path / "empty"))
     back = sinks.open_model(spark, str(tmp_path / "empty"))
