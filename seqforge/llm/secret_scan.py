@@ -151,7 +151,8 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest of :func:`scan_secrets` for each document."""
+    """The digest of :func:`scan_secrets` for each document: counts, spans, and for each span its verdict and how many owners and
+    repositories its value has in the corpus."""
     out = scan_secrets(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "secrets")
     place = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("secrets", lambda s: s["base"])
@@ -163,4 +164,8 @@ def report(docs: DataFrame) -> DataFrame:
         count("hex").alias("n_hex"),
         F.sha2(F.array_join(F.transform(base, place), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("secrets", place), ",").alias("spans"),
+        F.array_join(F.transform("secrets", lambda s: s["verdict"]), ",").alias("verdicts"),
+        F.array_join(F.transform("secrets", lambda s: s["owners"].cast("string")), ",").alias("owners"),
+        F.array_join(F.transform("secrets", lambda s: s["repos"].cast("string")), ",").alias("repositories"),
+        F.size(F.filter("secrets", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
     )
