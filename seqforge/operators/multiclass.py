@@ -62,11 +62,6 @@ def class_gradients(docs: DataFrame, classes: list[int], size: int, config: Lear
     return rows.groupBy("ngram").agg(F.count("*").alias("support"), *[(-F.sum(f"g{k}")).alias(f"class{k}") for k in classes])
 
 
-def argmax(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows (keys, class, score): the class with the largest score, ties to the smallest."""
-    return scores.groupBy(*keys).agg(F.max_by("class", F.struct(F.col("score"), -F.col("class"))).alias("predicted"))
-
-
 def confusion(predicted: DataFrame, classes: list[int]) -> DataFrame:
     """A row for each true class and a column for each predicted one."""
     table = predicted.groupBy("label").pivot("predicted", classes).agg(F.count(F.lit(1)))
