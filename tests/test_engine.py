@@ -454,7 +454,7 @@ def test_registered_queries_have_oracles():
     from seqforge.plans import catalogue
 
     free = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert free == {"best_ngram_any_size", "toy_sequences", "motif_recovery", "ols_baseline", "ridge_baseline", "enet_baseline", "svr_baseline"}
+    assert free == {"baseline_report", "best_ngram_any_size", "toy_sequences", "motif_recovery", "ols_baseline", "ridge_baseline", "enet_baseline", "svr_baseline"}
 
 
 # --- the kept tree ---------------------------------------------------------------------------------------------------
