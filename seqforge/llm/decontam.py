@@ -3,8 +3,10 @@
 A pattern is a window of ``window`` consecutive words of a benchmark item (an item of fewer words, but not none, is
 one window). Windows of one length form a matcher: a table of shifts, looked up by a hash of a block of words, skips
 positions at which no window can end (blocks that share a place in the table keep the smallest shift, so nothing is
-missed); where the shift is zero, the windows whose last block has the same hash are selected, and these are compared
-with the text directly, byte by byte. A matcher is a few numpy arrays beside the benchmark's words: some 25 bytes a window.
+missed); where the shift is zero, the windows whose last block has the same hash are selected, among these that with the
+hash of all its words, and this is compared with the text directly, byte by byte. Equal windows are one, with a list of the items that
+have it, which a document takes once however often the window occurs. A matcher is a few numpy arrays beside the
+benchmark's words: some 35 bytes a window.
 
 A benchmark is taken in parts of about ``part_bytes`` of text; a worker holds the matchers of one part. Further parts are
 jobs of their own over the table that the one before has written. Long items are cut into pieces that overlap by a window
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from seqforge.llm.text import arrow_column, byte_values, struct_array, words
 from seqforge.session import materialise
 
-#: Benchmark text of one part (its matchers are some 8 times as large), and words of a piece of a long item.
+#: UTF-8 bytes of benchmark text of one part (its matchers are some 8 times as large), and words of a piece of a long item.
 PART_BYTES, PIECE_WORDS = 4 << 20, 4096
 #: Words that a worker remembers with their hashes.
 CACHE_WORDS = 100_000
@@ -59,6 +61,14 @@ def block_hashes(hashes: np.ndarray, block: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * _MIX
 
 
+def hashes_at(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each of ``starts`` on."""
+    out = hashes[starts].copy()
+    for i in range(1, size):
+        out = (out ^ (out >> np.uint64(31))) * _MIX + hashes[starts + i]
+    return out
+
+
 class WuManber:
     """Finds all occurrences of the windows of one length of items, given as (number, words)."""
 
@@ -77,18 +87,35 @@ class WuManber:
         #: All words one after another, and where each begins.
         self.text = b" ".join(text)
         self.at = np.cumsum([0, *(len(w) + 1 for w in text)]).astype(np.int64)
-        hashes = block_hashes(word_hashes(text, known), self.block)
+        of_words = word_hashes(text, known)
+        hashes, full = block_hashes(of_words, self.block), hashes_at(of_words, starts, size)
         bits = max(10, int(np.ceil(np.log2(8 * len(hashes) + 1))))
         self.right = np.uint64(64 - bits)
         self.shift = np.full(1 << bits, self.most, np.uint8 if self.most < 256 else np.int32)
         for k in range(self.most):  # a block whose last word is k words before a window's end
             np.minimum.at(self.shift, hashes[starts + self.most - 1 - k] >> self.right, k)
         last = hashes[starts + self.most - 1]
-        order = np.argsort(last, kind="stable")
-        self.last, self.starts, self.owners = last[order], starts[order], owners[order]
+        order = np.lexsort((starts, full, last))
+        last, full, starts, owners = last[order], full[order], starts[order], owners[order]
+        one = np.cumsum(self._differs(last, full, starts)) - 1  # the number of each distinct window
+        first = np.unique(one, return_index=True)[1]
+        self.last, self.full, self.starts = last[first], full[first], starts[first]
+        pairs = np.unique(one.astype(np.int64) << 32 | owners)
+        self.owners = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.begin = np.searchsorted(pairs >> 32, np.arange(len(first) + 1)).astype(np.int32)
+
+    def _window(self, start: int) -> bytes:
+        return self.text[self.at[start] : self.at[start + self.size] - 1]
+
+    def _differs(self, last: np.ndarray, full: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether a window is another one than that before it: hashes tell, and the bytes where these are equal."""
+        out = np.r_[True, (last[1:] != last[:-1]) | (full[1:] != full[:-1])]
+        for i in np.flatnonzero(~out).tolist():
+            out[i] = self._window(starts[i]) != self._window(starts[i - 1])
+        return out
 
     def find(self, text: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """The start of each occurrence, and the number of an item that has the window."""
+        """The start of each occurrence, and the number of the window."""
         if len(text) < self.size:
             return
         blocks = block_hashes(hashes, self.block)[self.most - 1 :]  # of each possible end of a window
@@ -102,14 +129,21 @@ class WuManber:
             else:
                 ends.append(i)
                 i += 1
+        ends = np.array(ends, np.int64)
         low, high = (np.searchsorted(self.last, blocks[ends], side) for side in ("left", "right"))
-        for start, a, b in zip(ends, low.tolist(), high.tolist(), strict=True):
-            if a < b:
-                here = b" ".join(text[start : start + self.size])
-                for k in range(a, b):
-                    first = self.starts[k]
-                    if self.text[self.at[first] : self.at[first + self.size] - 1] == here:
-                        yield start, int(self.owners[k])
+        chosen = low < high
+        ends, low, high = ends[chosen], low[chosen], high[chosen]
+        for start, whole, a, b in zip(ends.tolist(), hashes_at(hashes, ends, self.size), low.tolist(), high.tolist(), strict=True):
+            k = a + int(np.searchsorted(self.full[a:b], whole))
+            here = b" ".join(text[start : start + self.size]) if k < b and self.full[k] == whole else None
+            while k < b and self.full[k] == whole:
+                if self._window(self.starts[k]) == here:
+                    yield start, k
+                k += 1
+
+    def owners_of(self, windows: set[int]) -> np.ndarray:
+        """The numbers of the items that have any of ``windows``."""
+        return np.unique(np.concatenate([self.owners[self.begin[k] : self.begin[k + 1]] for k in windows]))
 
 
 class Matchers:
@@ -132,9 +166,12 @@ class Matchers:
         if self.matchers and text_words:
             hashes = word_hashes(text_words, known)
             for matcher in self.matchers:
-                for start, of in matcher.find(text_words, hashes):
+                windows: set[int] = set()
+                for start, window in matcher.find(text_words, hashes):
                     hits.append((start, start + matcher.size))
-                    items.add(of)
+                    windows.add(window)
+                if windows:
+                    items.update(matcher.owners_of(windows).tolist())
         return len(text_words), merged(hits), {self.items[i] for i in items}
 
 
@@ -160,7 +197,7 @@ def pieces_of(benchmark: DataFrame, window: int) -> DataFrame:
 def parts(benchmark: DataFrame, window: int, part_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The pieces in lists of about ``part_bytes`` of text; each list is taken alone, so the driver never holds more."""
     pieces = materialise(pieces_of(benchmark, window), "benchmark")
-    total = pieces.agg(F.sum(F.length(F.array_join("piece", " ")))).first()[0] or 0
+    total = pieces.agg(F.sum(F.octet_length(F.array_join("piece", " ")))).first()[0] or 0
     n = max(1, -(-total // part_bytes))
     for k in range(n):
         part = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(n)) == k)
