@@ -287,6 +287,26 @@ def test_blocks_that_share_a_place_lose_nothing(monkeypatch):
     assert m.scan(text, decontam.WordHashes())[1] == [(0, 20), (21, 31)]
 
 
+def test_windows_that_many_items_share_are_compared_once(monkeypatch):
+    line = b"a b c d e f g h i j k l".split()
+    items = [(str(i), [b"x%d" % i, *line, b"y%d" % (i % 7)]) for i in range(2000)]
+    m = decontam.Matchers([*items, ("other", b"q b c d e f g h i j k".split()), *items[:3]], 10)
+    asked, window = [], decontam.WuManber._window
+    monkeypatch.setattr(decontam.WuManber, "_window", lambda self, at: asked.append(at) or window(self, at))
+    n, spans, found = m.scan(b" ".join([b"z", *line] * 50), decontam.WordHashes())
+    assert (n, len(spans), found) == (650, 50, {*map(str, range(2000)), "other"}) and len(asked) == 50 * 3
+    assert m.scan(b" ".join([b"q", *line[1:10]]), decontam.WordHashes()) == (10, [(0, 10)], {"other"})
+    assert m.scan(b" ".join([*line[1:], b"y3"]), decontam.WordHashes())[2] == {*(str(i) for i in range(2000)), "other"}
+    assert m.scan(b" ".join([*line[3:], b"y3"]), decontam.WordHashes())[2] == {str(i) for i in range(3, 2000, 7)}
+
+
+def test_windows_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "hashes_at", lambda hashes, starts, size: np.zeros(len(starts), np.uint64))
+    rows = [("1", b"a b c d e".split()), ("2", b"x b c d e".split()), ("3", b"a b c d e".split()), ("4", b"y b c d e".split())]
+    m = decontam.Matchers(rows, 5)
+    assert [m.scan(b" ".join(ws), decontam.WordHashes())[2] for _, ws in rows] == [{"1", "3"}, {"2"}, {"1", "3"}, {"4"}]
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -384,6 +404,19 @@ def test_near_duplicates_of_a_large_family(spark):
     assert got == {i: least[c] for (i, _), c in zip(rows, comp)}
 
 
+@pytest.mark.parametrize("prefix", [lambda i: i // 20, lambda i: 0])
+def test_orders_are_compared_across_the_borders_of_their_ranges(spark, monkeypatch, prefix):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rows = [(7, 0, prefix(i).to_bytes(8), i, i, 10, bytes(near_dup.SKETCH // 8)) for i in range(400)]
+    kind = "cluster long, turn int, prefix binary, node long, comp long, n long, sketch binary"
+    small = spark.createDataFrame([(0, 0, i, i, 10, bytes(near_dup.SKETCH // 8)) for i in (900, 901)], "cluster long, turn int, node long, comp long, n long, sketch binary")
+    found = near_dup.close_pairs(spark.createDataFrame(rows, kind), small, 5, 80)
+    assert len(found.inputFiles()) > 1  # ranges
+    got = {(r.a, r.b) for r in found.collect()}
+    assert {(i, j) for i in range(400) for j in range(i + 1, min(400, i + 5))} <= got and (900, 901) in got
+    assert all(b - a < 8 for a, b in got)
+
+
 @pytest.mark.parametrize("size", [1, 3, 5])
 def test_shingles_of_any_size(size):
     known, a, b = near_dup.WordHashes(), b"a b c d e f g h".split(), b"x a b c d e f g".split()
