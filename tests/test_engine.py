@@ -5,12 +5,14 @@ import math
 import os
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqforge import session
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
 from seqforge.operators import baselines, evaluate, frontier, generate, index, learn, matcher, model, multiclass, postings, search, sweep
@@ -574,6 +576,23 @@ def test_blocks_hold_what_their_texts_hold():
             assert block.docs[block.doc_starts[k] : block.doc_starts[k + 1]].tolist() == [i for i, s in enumerate(own) if pattern.search(s)]
 
 
+def test_a_tree_has_one_table_of_small_row_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(frontier, "GROUP_BYTES", 1 << 10)
+    tables = lambda: set(Path(session.shared_dir(spark).removeprefix("file://")).glob("seqforge/frontier-*"))
+    others = tables()
+    rows = made_rows(5, 8 * postings.DOCS, "abcde", 20)
+    tree = frontier.Frontier.of(docs_of(spark, rows).coalesce(1), search.SearchConfig(maxpat=4), ["y"])
+    tree.search([("", 0)])
+    assert tree.counters.waves > 1
+    (table,) = tables() - others
+    assert all(pq.ParquetFile(f).num_row_groups > 5 for f in table.glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows)
+    tree.close()
+    learn.learn(docs_of(spark, rows), learn.LearnConfig(objective="logistic", maxpat=2, max_iterations=1))
+    assert tables() == others and "place" not in postings.SCHEMA
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_counts_of_children(spark, words):
     docs = docs_of(spark, [(i, (" " if words else "").join(s), y) for i, s, y in made_rows(31, 40)] + [(99, None, 0.0)])
