@@ -9,17 +9,16 @@ the smallest of those that share the seventh and eighth lane: a deeper prefix wh
 
 Candidates are confirmed on the full sets, in rounds: each node's most promising candidate first, then one in another
 component. Then come the nodes of regions that still hold different components. They get sketches of ``SKETCH`` bits (one
-bit of as many further MinHash values). A chain of such regions with up to ``BLOCK`` nodes is looked at whole. A larger one
-is ordered anew by ``ORDERS`` deep prefixes of ``PREFIX`` sketch bits each; in each order a node meets the ``BLOCK / 2``
-nodes before and after it, whose common prefixes are the longest, so the depth adapts to how crowded a region is and the
-work grows in proportion to the nodes. Pairs in different components whose sketches agree on ``LEAST_BITS`` bits at least
-(four standard deviations below a similarity of 0.8: a chance of 3e-5 there, and far less above) are confirmed on
-the full sets. This is repeated with further orders as long as a larger chain gains links.
-
-Two documents of similarity 0.8 share no region in any of the 42 trees with a chance of 3e-6. A pair that has no other way
-to be connected, in a chain of more than ``BLOCK`` nodes, can be missed if it never stands close in an order; the README has the
-measured recall of a dense family. Pairs whose ends are connected already are not looked at again, so a group of n copies
-costs some n comparisons and not n squared, and a pair of rows is made only for pairs that are close.
+bit of as many further MinHash values). Each chain of such regions is compared whole, all pairs of different components, without a cap:
+a chain is dealt to tiles of about ``TILE`` nodes, and each pair of tiles meets in one task. Two nodes agree if their sketches do on
+``LEAST_BITS`` bits at least (four standard deviations below a similarity of 0.8: a chance of 3e-5 there, and far less above). A task gives
+a forest of the agreeing pairs, so at most a row for each of its nodes. The trees of all forests together are far smaller than the chains; their
+nodes come with their texts, again in tiles (of ``TEXTS`` nodes or ``TEXT_BYTES``), where all agreeing pairs are confirmed on the
+full sets, as sorted hashes of their shingles, and a forest of the confirmed links is what comes out.
+
+Two documents of similarity 0.8 share no region in any of the 42 trees with a chance of 3e-6. Pairs whose ends are connected already are not
+looked at again. A chain of n nodes in different components costs n squared comparisons of sketches, spread over (n / ``TILE``) squared / 2
+tasks, but never more rows than nodes in a task.
 
 Texts are shuffled only of rows whose id a Bloom filter of the ids asked for may hold, by one plan at every size.
 Components come from min-label propagation with pointer jumping over tables in the shared folder.
@@ -55,6 +54,8 @@ SKETCH = 2048
 LEAST_BITS = int(0.9 * SKETCH - 4 * (0.09 * SKETCH) ** 0.5)
 #: Nodes that are compared with each other in an order, orders at a time, and bits of a prefix.
 BLOCK, ORDERS, PREFIX = 512, 16, 64
+#: Nodes of a tile of sketches, and nodes and bytes of text of a tile of texts.
+TILE, TEXTS, TEXT_BYTES = 8192, 2048, 8 << 20
 #: Parts of the pairs that share an end.
 SALTS = 64
 #: Words that a worker remembers with their hashes, and rows of an order that one task reads.
@@ -368,6 +369,92 @@ def close_pairs(large: DataFrame, small: DataFrame | None, parts: int, percent:
     return scanned.where("b is not null").unionByName(met).select("a", "b")
 
 
+def tiled(rows: DataFrame, most: int, most_bytes: int = 0) -> DataFrame:
+    """``rows`` (cluster, node, ...; t, if bytes count) once for each pair of their cluster's tiles that they are part of: lo and hi are the
+    pair, tile is the row's own. A cluster of one tile is there once."""
+    parts = F.ceil(F.count("*") / most)
+    if most_bytes:
+        parts = F.greatest(parts, F.ceil(F.sum(F.octet_length("t")) / most_bytes))
+    # a row for each cluster; most are of one tile, and the few others are joined by a written table's size
+    several = materialise(rows.groupBy("cluster").agg(parts.cast("int").alias("parts")).where("parts > 1"), "tiles")
+    rows = rows.join(several, "cluster", "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0)))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other")
+    return rows.select("*", other).withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")}).drop("other", "parts")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (cluster, lo, hi), one after another, of batches that are sorted by these."""
+    held, key = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "lo", "hi")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(keys[:, begin].tolist())
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest_of(table: pa.Table, percent: int, size: int, exact: bool) -> Iterator[tuple[int, int]]:
+    """Of one pair of tiles the pairs of nodes that join different components, each joined as soon as it is found: pairs whose sketches
+    agree or, if ``exact``, those among them that are similar on the full sets of their texts."""
+    node, own, n, tile = (table.column(c).to_numpy() for c in ("node", "comp", "n", "tile"))
+    if len(node) < 2:
+        return
+    own, cross = own.copy(), bool((tile != tile[0]).any())
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+    ids = begins = mark = None
+    if exact:
+        known, hashes = WordHashes(), []
+        for t in byte_values(table.column("t").combine_chunks()):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            hashes.append(shingle_hashes(chunks(t), known, size))
+        begins = np.r_[0, np.cumsum([len(h) for h in hashes])]
+        values, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+        mark = np.zeros(len(values), np.int64)
+    for i in range(len(node) - 1):
+        j = slice(i + 1, len(node))
+        fits = (own[j] != own[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
+        if cross:  # pairs within a tile meet where the tile meets itself
+            fits &= tile[j] != tile[i]
+        other = np.flatnonzero(fits) + i + 1
+        if not len(other):
+            continue
+        other = other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= SKETCH - LEAST_BITS]
+        if exact and len(other):
+            mark[ids[begins[i] : begins[i + 1]]] = 1
+            both = np.array([mark[ids[begins[k] : begins[k + 1]]].sum() for k in other])
+            mark[ids[begins[i] : begins[i + 1]]] = 0
+            sizes = begins[other + 1] - begins[other]
+            other = other[100 * both >= percent * (sizes + begins[i + 1] - begins[i] - both)]
+        for k in other.tolist():
+            if own[k] != own[i]:
+                yield int(min(node[i], node[k])), int(max(node[i], node[k]))
+                own[own == own[k]] = own[i]
+
+
+def forests(rows: DataFrame, percent: int, size: int, exact: bool) -> DataFrame:
+    """The pairs (a, b) of :func:`forest_of` for each pair of tiles of ``rows``: no more in a task than it has nodes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches):
+            found = list(forest_of(table, percent, size, exact))
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    key = ["cluster", "lo", "hi"]
+    columns = [*key, "tile", "node", "comp", "n", "sketch", *(["t"] if exact else [])]
+    tiles = tiled(rows, TEXTS, TEXT_BYTES) if exact else tiled(rows, TILE)
+    return tiles.select(*columns).repartition(*key).sortWithinPartitions(*key).mapInArrow(scan, "a long, b long")
+
+
 def still_open(forest: DataFrame, labels: DataFrame) -> DataFrame:
     """node, n, comp and cluster of the nodes in regions that hold different components; a cluster is a chain of such regions."""
     rows = forest.select("tree", region(F.col("place")).alias("key"), "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -432,35 +519,19 @@ def link(docs: DataFrame, forest: DataFrame, pairs: DataFrame, shared: DataFrame
         labels = components(links)
     left = materialise(with_components(pairs, labels).join(asked.select("a", "b"), ["a", "b"], "left_anti"), "left")
     if not left.isEmpty():
-        asked2 = confirmed(best(left, F.struct("c", -F.col("a"))), "second")
-        labels = joined(labels, asked2)
-        asked = asked.unionByName(asked2)
+        labels = joined(labels, confirmed(best(left, F.struct("c", -F.col("a"))), "second"))
     opened = still_open(forest.join(shared, "node", "left_semi"), labels)
-    sketched = materialise(texts.join(opened.select("node", "n", "cluster"), "node").select("node", "n", "cluster", sketches(F.col("t"), size).alias("sketch")).where("sketch is not null"), "sketched")
-    # a written table of the few large chains, which Spark joins by its size: broadcast, or with skewed keys split
-    large = materialise(sketched.groupBy("cluster").agg(F.count("*").alias("nodes")).where(F.col("nodes") > BLOCK), "large")
-    sketched = materialise(sketched.join(large.select("cluster", F.lit(True).alias("large")), "cluster", "left"), "sketched")
-    sweep = 0
-    while True:
-        rows = sketched.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # chains that are one component by now are done
-        several = rows.groupBy("cluster").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cluster")
-        rows = materialise(rows.join(materialise(several, "several"), "cluster", "left_semi"), "sweep")
-        large = rows.where("large").select("*", F.explode(prefixes(F.col("sketch"), sweep)).alias("p")).select("cluster", "p.turn", "p.prefix", "node", "comp", "n", "sketch")
-        small = None  # chains that are looked at whole, once
-        if sweep == 0:
-            small = rows.where("large is null").select("cluster", F.lit(0).alias("turn"), "node", "comp", "n", "sketch")
-        near = close_pairs(large, small, max(1, -(-rows.count() * ORDERS // SKETCH_ROWS)), percent)
-        near = materialise(near.distinct().join(asked.select("a", "b"), ["a", "b"], "left_anti"), "near")
-        if near.isEmpty():
-            return labels
-        asked3 = confirmed(near, "third")
-        grown = materialise(with_components(asked3.where("near").select("a", "b"), labels), "grown")
-        if grown.isEmpty():
-            return labels
-        labels = joined(labels, asked3)
-        asked = asked.unionByName(asked3.select("a", "b", "near"))
-        sweep += 1
+    sketched = texts.join(opened.select("node", "n", "comp", "cluster"), "node").select("node", "n", "comp", "cluster", sketches(F.col("t"), size).alias("sketch")).where("sketch is not null")
+    sketched = materialise(sketched, "sketched")
+    agreeing = materialise(forests(sketched, percent, size, False), "agreeing")
+    if agreeing.isEmpty():
+        return labels
+    # components are joined in an order that differs from tile to tile, so all nodes of the components that agree belong together
+    ends = with_components(agreeing, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    groups = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
+    close = sketched.drop("cluster").join(groups, "comp").join(texts, "node")
+    links = materialise(forests(close, percent, size, True), "third")
+    return joined(labels, links.withColumn("near", F.lit(True)))
 
 
 def joined(labels: DataFrame, asked: DataFrame) -> DataFrame:

@@ -417,6 +417,34 @@ def test_orders_are_compared_across_the_borders_of_their_ranges(spark, monkeypat
     assert all(b - a < 8 for a, b in got)
 
 
+@pytest.mark.parametrize("most", [7, 10_000])
+def test_chains_are_compared_whole_and_give_no_more_rows_than_nodes(spark, monkeypatch, most):
+    rng, vocab = random.Random(5), vocabulary(2, 300)
+    monkeypatch.setattr(near_dup, "TILE", most)
+    monkeypatch.setattr(near_dup, "TEXTS", most)
+    rows = []
+    for i in range(40):  # a pair of each family, whose ends lie far apart among the others
+        base = [rng.choice(vocab) for _ in range(60)]
+        rows += [(i, " ".join(base)), (1000 - i, " ".join([*base[:-1], "x"]))]
+    rows += [(2000 + i, " ".join(["a b c d e f g h i j k l m n o p q r s t u v w", *["y"] * (i % 2), str(i)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "node long, t string").select("*", F.col("node").alias("comp"), F.lit(7).cast("long").alias("cluster"))
+    docs = docs.select("*", near_dup.sketches(F.col("t"), 2).alias("sketch"), F.size(F.array_distinct(F.split("t", " "))).cast("long").alias("n"))
+    for exact in (False, True):
+        found = [tuple(r) for r in near_dup.forests(docs, 80, 2, exact).collect()]
+        if most == 10_000:
+            assert len(found) < len(rows)
+        assert {(i, 1000 - i) for i in range(40)} <= set(found)
+        assert len(brute_reach({i for i, _ in rows}, found)) == 41
+
+
+def brute_reach(nodes, pairs):
+    low = {i: i for i in nodes}
+    for a, b in pairs:
+        old, new = low[a], low[b]
+        low = {i: new if c == old else c for i, c in low.items()}
+    return set(low.values())
+
+
 @pytest.mark.parametrize("size", [1, 3, 5])
 def test_shingles_of_any_size(size):
     known, a, b = near_dup.WordHashes(), b"a b c d e f g h".split(), b"x a b c d e f g".split()
