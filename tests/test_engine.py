@@ -715,3 +715,19 @@ def test_scores_of_a_stream_of_lines(spark, tmp_path):
     m = model.SequenceModel([(1.0, "b"), (0.5, "\U0001f600")], bias=0.25)
     scoring.start(stream.read_labelled_stream(spark, folder), m, out, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.score for r in spark.read.parquet(out).collect()) == [0.25, 0.25, 0.75, 1.25, 1.25]
+
+
+def test_a_file_of_lines_is_written_by_many_tasks(spark, tmp_path):
+    from seqforge.plans import catalogue
+
+    spark.createDataFrame([(i, f"text {'ab' * i}", "en") for i in range(400)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = Path(catalogue._line_file(spark, str(tmp_path)).removeprefix("file://"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(path.glob("part-*"))
+    assert len(files) > 1  # in the order of their names the lines go on by doc_id
+    lengths = [len(x) for f in files for x in f.read_text().split("\n") if x.startswith("text")]
+    assert lengths == sorted(lengths)
