@@ -731,3 +731,19 @@ def test_a_file_of_lines_is_written_by_many_tasks(spark, tmp_path):
     assert len(files) > 1  # in the order of their names the lines go on by doc_id
     lengths = [len(x) for f in files for x in f.read_text().split("\n") if x.startswith("text")]
     assert lengths == sorted(lengths)
+
+
+def test_ngrams_are_found_once_and_no_batch_is_large(spark):
+    from seqforge.functions.arrow import BATCH_ROWS
+
+    texts = ["", "a", "abab", "É\U0001f600b", None, "ba" * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "seq string").select("seq", baselines.distinct_grams(F.col("seq"), range(1, 4)).alias("g")).collect()
+    for r in got:
+        assert (r.g is None) == (r.seq is None)
+        want = {r.seq[i : i + n] for n in (1, 2, 3) for i in range(len(r.seq) - n + 1)} if r.seq else set()
+        assert len(r.g or []) == len(want) and set(r.g or []) == want
+    rows, names = baselines.vectorise(docs_of(spark, [(0, "ab", 1.0), (1, "B", 2.0)]), range(1, 3))
+    assert names == ["b", "a", "ab"] and "regexp" not in rows._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    baselines.sparse(rows.select("grams", "y"), names).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
