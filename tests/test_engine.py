@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -13,10 +14,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqforge import session
+from seqforge.functions import arrow
 from seqforge.functions import loss as L
 from seqforge.functions import text as T
 from seqforge.operators import baselines, evaluate, frontier, generate, index, learn, matcher, model, multiclass, postings, search, sweep
 from seqforge.operators.model import INTERCEPT
+from seqforge.plans import fixtures as X
 from seqforge.sources import labelled, sinks, stream
 from seqforge.streaming import scoring
 
@@ -622,6 +625,58 @@ def test_a_large_model_is_one_walk(spark, monkeypatch):
     assert matcher.RuleTree([]).found(texts)[0].tolist() == []
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_a_walk_takes_windows_of_a_long_text(words, monkeypatch):
+    sep, rng = " " if words else "", random.Random(37)
+    rules = [sep.join(g) for g in ("abc", "cab", "aaaaaaa", f"b{T.WILD}{T.WILD}b", f"c{T.WILD}a", "zzzz", "b")]
+    texts = ["", None, "abcab", "zzz", "c" * 9] + ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 5, 40, 300)]
+    want = [[g for g in sorted(rules) if re.search(g.replace(" ", "").replace(T.WILD, "."), t or "")] for t in texts]
+    for places in (1, 3, 7, 64, 1 << 16):
+        monkeypatch.setattr(matcher, "PLACES", places)
+        tree = matcher.RuleTree([(g, 1.0) for g in rules], words)
+        text, rule = tree.found([t and sep.join(t) for t in texts])
+        assert [[tree.rules[k][0] for k in rule[text == i]] for i in range(len(texts))] == want
+
+
+def test_memory_of_a_walk_does_not_grow_with_a_batch():
+    tree = matcher.RuleTree([(g, 1.0) for g in ("nt", "e", "th", f"e{T.WILD}h", "zzzzz")])
+    peaks = []
+    for n in (1, 4):
+        for texts in (["the" * (n * 300_000)], ["the" * 3_000] * (n * 100)):
+            tracemalloc.start()
+            assert len(tree.found(texts)[0]) == 3 * len(texts)
+            peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+            tracemalloc.stop()
+    # windows of a fixed number of places: far less than the eight bytes of one number for each of 3,600,000 places
+    assert max(peaks) < 20 and max(peaks[2:]) < 1.2 * max(peaks[:2]) + 1
+
+
+def test_batches_are_taken_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(arrow, "SLICE_BYTES", 10)
+    batch = pa.array(["abc", None, "", "abcdefgh", "x" * 50, None, "y", "z", ""])
+    parts = list(arrow.slices(batch))
+    assert pa.concat_arrays(parts).equals(batch) and [len(p) for p in parts] == [4, 1, 4]
+    assert list(arrow.slices(batch.slice(0, 0))) == [] and pa.concat_arrays([*arrow.slices(batch.slice(3, 4))]).equals(batch.slice(3, 4))
+    for kind in (pa.large_string(), pa.string()):
+        assert len(list(arrow.slices(pa.nulls(5, kind)))) == 1
+    monkeypatch.undo()
+    most = arrow_rows(spark, 3000)
+    assert most["rows"] == list(range(3000)) and most["bytes"] <= arrow.SLICE_BYTES + 1000
+
+
+def arrow_rows(spark, n: int) -> dict:
+    """The order of rows and the largest call of a function over texts of a thousand characters."""
+    column = arrow.arrow_column(lambda: lambda texts: pa.array([sum(map(len, texts.to_pylist()))] * len(texts), pa.int64()), "bigint", F.col("t"))
+    rows = spark.range(0, n, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("t")).select("id", column.alias("b")).collect()
+    return {"rows": [r.id for r in rows], "bytes": max(r.b for r in rows)}
+
+
+def test_literal_rules_need_no_python_worker(spark):
+    rules = X.rules_frame(spark, X.WILD_RULES)
+    assert [tuple(r) for r in rules.collect()] == [(g.replace("*", T.WILD), w) for g, w in X.WILD_RULES]
+    assert rules.dtypes == [("ngram", "string"), ("weight", "double")] and "RDD" not in rules._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reasons_and_trails(spark):
     rows = made_rows(29, 30)
     out = learn.learn(docs_of(spark, rows), learn.LearnConfig(minsup=1000, max_iterations=3))
