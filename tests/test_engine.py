@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import pickle
 import random
 import re
 import tracemalloc
@@ -677,6 +678,30 @@ def test_literal_rules_need_no_python_worker(spark):
     assert rules.dtypes == [("ngram", "string"), ("weight", "double")] and "RDD" not in rules._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_scores_are_summed_where_rules_are_found(spark):
+    rng = random.Random(41)
+    rules = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))): rng.uniform(-1, 1) for _ in range(3000)}.items())
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(500)), 0.0) for i in range(40)] + [(40, "", 0.0), (40, None, 0.0), (None, "ab", 0.0)]
+    docs = docs_of(spark, rows)
+    out = model.score(docs, rules, -0.3)
+    named = model.score(docs, rules, -0.3, with_rules=True)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.seq or "", r.score)
+    got, want = ([(r.doc_id, r.seq, r.score, r.probability, r.n_rules) for r in sorted(x.collect(), key=key)] for x in (out, named))
+    assert got == want and sum(r[4] for r in got) > 10_000
+    assert out.dtypes == named.drop("rules").dtypes
+    # arrays of a document's rules leave the task only where they are asked for
+    assert ["aggregate(" in x._jdf.queryExecution().executedPlan().toString() for x in (out, named)] == [False, True]
+
+
+def test_tasks_get_a_tree_as_arrays():
+    rules = [(f"{i:05d}", i / 7) for i in range(20_000)]
+    for words in (False, True):
+        tree = matcher.RuleTree(rules, words)
+        back = pickle.loads(pickle.dumps(tree))
+        assert back.rules is None and back.weights.tolist() == [w for _, w in tree.rules] and back.names.to_pylist() == [g for g, _ in tree.rules]
+        assert [x.tolist() for x in back.found(["00017 x", None, "19999"])] == [x.tolist() for x in tree.found(["00017 x", None, "19999"])]
+
+
 def test_reasons_and_trails(spark):
     rows = made_rows(29, 30)
     out = learn.learn(docs_of(spark, rows), learn.LearnConfig(minsup=1000, max_iterations=3))
