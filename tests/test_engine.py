@@ -597,6 +597,61 @@ def test_a_tree_has_one_table_of_small_row_groups(spark, monkeypatch):
     assert tables() == others and "place" not in postings.SCHEMA
 
 
+@pytest.mark.parametrize("seed,gaps,traversal,queue", [(0, (0, 0), "bfs", 20_000), (1, (0, 0), "best", 4), (2, (1, 1), "dfs", 3), (3, (2, 1), "bfs", 5), (4, (0, 2), "best", 20_000), (5, (0, 5), "bfs", 3)])
+def test_a_tree_asked_once_writes_nothing_until_its_queue_overflows(spark, monkeypatch, seed, gaps, traversal, queue):
+    rows, config = made_rows(40 + seed, 60, "abcd", 12), search.SearchConfig(maxpat=5, minsup=2, gaps=gaps, traversal=traversal)
+    want = tree_of(spark, rows, config).search([("", 0)])["", 0]
+    written, write = [], frontier.Frontier._written
+    monkeypatch.setattr(frontier, "QUEUE", queue)
+    monkeypatch.setattr(frontier, "BEAM", 3)
+    monkeypatch.setattr(frontier.Frontier, "_written", lambda self, blocks: (written.append(1), write(self, blocks))[1])
+    tree = tree_of(spark, rows, config, once=True)
+    found = tree.search([("", 0)])["", 0]
+    assert (found.ngram, found.support) == (want.ngram, want.support) and found.gradient == pytest.approx(want.gradient)
+    assert tree.counters.waves and (len(written) == 1) == (queue == 20_000)
+    with pytest.raises(ValueError):
+        tree.search([("", 0)])
+
+
+def test_a_task_adds_up_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(postings, "DOCS", 8)
+    rows = made_rows(7, 100, "abc", 9)
+    batch = pa.RecordBatch.from_pydict({"grp": [""] * 100, "bare": [t for _, t, _ in rows], "y0": [y for _, _, y in rows], "f0": [0.0] * 100})
+    blocks = [b for r in postings.index_texts(iter([batch]), 1, False, False) for b in postings.blocks_of(r, r.schema.names)]
+    sums = [postings.sums(postings.children_of(b, {"a": 1, "b": 1, "z": 1}, 3, (1, 1), False), "squared", True) for b in blocks]
+    want = {}
+    for x in sums:
+        for r in x.to_pylist():
+            own = want.setdefault(r["gram"], [r["size"], r["is_open"], 0, 0.0, 0.0])
+            for i, c in enumerate(("support", "gradient0", "upos0"), 2):
+                own[i] += r[c]
+    for most in (1 << 18, 30):  # a task that holds all, and one that gives on what it has now and then
+        monkeypatch.setattr(postings, "MERGE", most)
+        out = [r for x in postings.merged(iter(sums)) for r in x.to_pylist()]
+        assert (len(out) == len(want)) == (most > 30) and {r["gram"]: [r["size"], r["is_open"]] for r in out} == {g: w[:2] for g, w in want.items()}
+        for i, c in enumerate(("support", "gradient0", "upos0"), 2):
+            for g, w in want.items():
+                assert sum(r[c] for r in out if r["gram"] == g) == pytest.approx(w[i])
+    assert len(blocks) > 10 and not list(postings.merged(iter([])))
+
+
+def test_children_by_table_and_by_bisection(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    batch = pa.RecordBatch.from_pydict({"grp": ["g"] * 40, "bare": texts, "y0": [1.0] * 40, "f0": [0.0] * 40})
+    (block,) = (b for r in postings.index_texts(iter([batch]), 1, False, False) for b in postings.blocks_of(r, r.schema.names))
+    grams = {"a": 1, "b" + T.WILD + "c": 3, "ca": 2, "zz": 2}
+    out = []
+    for walk, table in ((1 << 14, 1 << 22), (7, 0)):
+        monkeypatch.setattr(postings, "WALK", walk)
+        monkeypatch.setattr(postings, "TABLE", table)
+        b = postings.planted(block, {"e": 1, "d" + T.WILD + "a": 3, "q": 1}, grams, 4, (2, 2), False)
+        out.append({g: (size, b.docs[i:j].tolist()) for g, size, i, j in zip(b.names.to_pylist(), b.sizes.tolist(), b.doc_starts[:-1].tolist(), b.doc_starts[1:].tolist(), strict=True)})
+    pattern = lambda g: re.compile(g.replace(T.WILD, "."))
+    assert out[0] == out[1] and {"e", "d" + T.WILD + "a"} < out[0].keys() and len(out[0]) > 30
+    assert all(size == len(g) and own == [i for i, s in enumerate(texts) if pattern(g).search(s)] for g, (size, own) in out[0].items())
+
+
 @pytest.mark.parametrize("words", [False, True])
 def test_counts_of_children(spark, words):
     docs = docs_of(spark, [(i, (" " if words else "").join(s), y) for i, s, y in made_rows(31, 40)] + [(99, None, 0.0)])
