@@ -797,6 +797,32 @@ def test_baselines_meet_their_conditions(spark):
         assert {r.ngram: r.support for r in found} == {g: sum(g in s for _, s, _ in rows) for g in names} | {INTERCEPT: 90}
 
 
+def test_baseline_conditions_hold_the_features_of_the_baselines(spark, tmp_path):
+    from seqforge.plans import catalogue
+
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, rng.randint(0, 1)) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = catalogue.queries()["baseline_conditions"](spark, str(tmp_path)).collect()
+    bare = [b for t in texts if (b := t.replace(" ", ""))]
+    want = {g: sum(g in b for b in bare) for b in bare for n in (1, 2, 3) for g in (b[i : i + n] for i in range(len(b) - n + 1))} | {INTERCEPT: len(bare)}
+    assert {(r.kind, r.ngram, r.support) for r in found} == {(k, g, c) for k in ("ols", "ridge", "enet") for g, c in want.items()} and len(found) == 3 * len(want)
+    assert all(r.gap == 0.0 for r in found)
+
+
+@pytest.mark.parametrize("normal", [4096, 0])
+def test_baselines_are_fitted_until_they_converge(spark, monkeypatch, normal):
+    monkeypatch.setattr(baselines, "NORMAL", normal)
+    rng = random.Random(28)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(rng.randint(20, 60))), rng.gauss(0, 30)) for i in range(120)]
+    df, names = baselines.vectorise(docs_of(spark, rows), range(1, 4))
+    for kind in ("ols", "ridge", "enet"):
+        fitted = baselines.fit(kind, df, 120)
+        assert max(r.gap for r in baselines.optimality(kind, fitted, df, names, 120).collect()) < 5e-3 * (kind == "ols") + 5e-4
+        assert (kind != "enet") or any(fitted.coefficients)
+
+
 # --- labelled lines as a stream --------------------------------------------------------------------------------------
 
 LINES = ["1 abc", "; comment", "", "-2\tb\r", "noDelim", "3 ", "1 é\U0001f600", "0.5 last"]
